@@ -20,6 +20,8 @@ from tessera.llm.exchange import BYTE_CODE
 
 MIN_BYTES = 50
 ANCHOR_BYTES = 16
+#: Windows in one suffix array, about.
+ARRAY_WINDOWS = 100_000
 
 
 def _words(buffer: np.ndarray) -> np.ndarray:
@@ -122,8 +124,20 @@ def maximal_repeats(pieces: list[bytes], n: list[int], least: int = MIN_BYTES) -
     return (lcp[two + 1], order[two], order[two + 1]), larger()
 
 
-def least_ids(pieces: list[bytes], n: list[int], doc_ids: list[int], anchors: list[int] | None = None, least: int = MIN_BYTES) -> list[np.ndarray]:
-    """For each piece, the smallest doc_id that has each of its windows."""
+def least_ids(pieces: list[bytes], n: list[int], doc_ids: list[int], anchors: list[int], least: int = MIN_BYTES) -> list[np.ndarray]:
+    """For each piece, the smallest doc_id that has each of its windows; a suffix array holds some anchors at a time."""
+    out, at = [], 0
+    while at < len(pieces):
+        end, size = at, 0
+        while end < len(pieces) and (size < ARRAY_WINDOWS or anchors[end] == anchors[end - 1]):
+            size += n[end]
+            end += 1
+        out += _least(pieces[at:end], n[at:end], doc_ids[at:end], least)
+        at = end
+    return out
+
+
+def _least(pieces: list[bytes], n: list[int], doc_ids: list[int], least: int) -> list[np.ndarray]:
     count = np.array(n, np.int64)
     own = np.repeat(np.array(doc_ids, np.int64), count)
     found = own.copy()

@@ -18,11 +18,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from tessera.llm.exchange import NO_ID, bucket_of, chunk_count, chunked, unpack, unzip_arrays, zip_arrays
+from tessera.llm.exchange import NO_ID, bucket_of, chunk_count, chunked, mix, unpack, unzip_arrays, zip_arrays
 
 #: Windows of a piece at most: longer runs of one anchor (periodic text) are sent in several pieces.
 PIECE_WINDOWS = 64
 KEY_BYTES = 6
+#: Buckets hold less than chunks: a bucket's pieces are held and sorted together.
+BUCKETS_PER_CHUNK = 3
 #: Texts are hashed together in blocks that fit a core's cache.
 BLOCK_BYTES = 150_000
 
@@ -93,7 +95,7 @@ def anchors(symbols: np.ndarray, counts: np.ndarray, scheme: Scheme) -> tuple[np
         k = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
         first, text = np.repeat(first, parts) + k * PIECE_WINDOWS, np.repeat(text, parts)
         n = np.minimum(np.repeat(n, parts) - k * PIECE_WINDOWS, PIECE_WINDOWS)
-    return low[first], text, first, n
+    return mix(low[first]), text, first, n  # minima are small: spread them over all hashes again
 
 
 def _blocks(ids: np.ndarray, texts: list[bytes], scheme: Scheme) -> Iterator[tuple]:
@@ -231,7 +233,7 @@ def process(docs: DataFrame, scheme: Scheme) -> DataFrame:
     same document to each other.
     """
     chunks = chunk_count(docs)
-    buckets = chunks
+    buckets = BUCKETS_PER_CHUNK * chunks
     texts = chunked(docs, chunks)
 
     def ask(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
