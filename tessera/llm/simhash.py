@@ -206,7 +206,7 @@ def components(docs: DataFrame, words: int = SHINGLE_WORDS, distance: int = MAX_
     found = connected_components(links(nodes, distance))
     named = nodes.join(found, nodes["fp"] == found["id"]).groupBy("component").agg(F.min("first").alias("smallest"))
     of = found.join(named, "component").select(F.col("id").alias("fp"), "smallest")
-    label = nodes.join(of, "fp", "left").select("fp", F.coalesce("smallest", "first").alias("component_id"))
+    label = materialize(nodes.join(of, "fp", "left").select("fp", F.coalesce("smallest", "first").alias("component_id")), "labels")
     return prints.join(label, "fp").select("doc_id", "fp", "component_id")
 
 
