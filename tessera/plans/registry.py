@@ -1,6 +1,444 @@
-"""Registered queries and their DuckDB oracles."""
+"""Registered queries and their DuckDB oracles; each runs one operator over its whole table."""
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from tessera.functions import scalars as S
+from tessera.operators import curation as C
+from tessera.operators import evaluation as V
+from tessera.operators import logs as L
+from tessera.operators import similarity as M
+from tessera.operators.graph import connected_components
+from tessera.sources.views import ITEMS_DUP_SQL, ITEMS_SQL, JUDGE_SQL, PREF_SQL, items, items_dup, judgments, pref_events, table
+from tessera.streaming import streams
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a function (spark, sf_dir) -> DataFrame under its name, with its oracle."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+# --- retrieval -----------------------------------------------------------------------------------------------
+
+_SEARCH = f"""WITH {ITEMS_SQL},
+s AS (SELECT q.item_id AS query_id, i.item_id, i.quality_score, round(list_sum(list_transform(list_zip(i.vec, q.vec), lambda p: p[1] * p[2])), 6) AS score
+      FROM items q JOIN items i ON i.collection_id = q.collection_id AND i.item_id <> q.item_id WHERE q.item_no % 50 = 0),
+ranked AS (SELECT query_id, item_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, quality_score DESC, item_id) AS INTEGER) AS rank FROM s)"""
+
+
+def _ranked(spark, sf_dir, k=10):
+    i = items(spark, sf_dir)
+    return C.search_by_item(i, i.where("item_no % 50 = 0"), k)
+
+
+@query(f"{_SEARCH} SELECT query_id, rank, item_id, score FROM ranked WHERE rank <= 10")
+def c1_search(spark, sf_dir):
+    return _ranked(spark, sf_dir)
+
+
+@query(f"""WITH {ITEMS_SQL}, pr AS (SELECT collection_id AS label, list(x ORDER BY k) AS pv FROM
+  (SELECT collection_id, k, avg(vec[k]) AS x FROM items, range(1, 65) t(k) GROUP BY ALL) GROUP BY 1)
+  SELECT label, CAST(len(pv) AS INTEGER) AS dim, round(pv[1], 6) AS first, round(pv[64], 6) AS last FROM pr""")
+def d20_prototypes(spark, sf_dir):
+    long = items(spark, sf_dir).select("collection_id", F.posexplode("vec").alias("k", "x")).groupBy("collection_id", "k").agg(F.avg("x").alias("x"))
+    folded = long.groupBy(F.col("collection_id").alias("label")).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "x"))), lambda p: p["x"]).alias("pv"))
+    return folded.select("label", F.size("pv").alias("dim"), F.round(F.get("pv", F.lit(0)), 6).alias("first"), F.round(F.get("pv", F.lit(63)), 6).alias("last"))
+
+
+@query(f"WITH {ITEMS_SQL} SELECT collection_id, count(*) AS n, round(min(s), 6) AS min_norm, round(max(s), 6) AS max_norm FROM (SELECT collection_id, sqrt(list_sum(list_transform(vec, lambda x: x * x))) AS s FROM items) GROUP BY 1")
+def d21_vector_stats(spark, sf_dir):
+    n = S.norm("vec")
+    return items(spark, sf_dir).groupBy("collection_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.min(n), 6).alias("min_norm"), F.round(F.max(n), 6).alias("max_norm"))
+
+
+# --- filters, gates, selection -------------------------------------------------------------------------------
+
+@query(f"WITH {ITEMS_SQL} SELECT item_id, quality_score FROM items WHERE quality_score >= 40 AND NOT auto_reject")
+def b1_eligible(spark, sf_dir):
+    return C.eligible(items(spark, sf_dir), 40).select("item_id", "quality_score")
+
+
+@query(f"WITH {ITEMS_SQL} SELECT collection_id, count(*) FILTER (auto_reject) AS rejected, count(*) FILTER (NOT auto_reject AND quality_score < 40) AS low_quality, count(*) FILTER (NOT auto_reject AND quality_score >= 40) AS eligible FROM items GROUP BY 1")
+def b1_eligibility_counts(spark, sf_dir):
+    return C.eligibility_counts(items(spark, sf_dir), 40)
+
+
+@query(f"WITH {ITEMS_SQL} SELECT item_id FROM items WHERE item_no IN (SELECT event_id % 500 FROM events WHERE event_type = 'purchase')")
+def b2_restrict(spark, sf_dir):
+    ids = table(spark, sf_dir, "events").where("event_type = 'purchase'").select((F.col("event_id") % 500).alias("item_no"))
+    return C.restrict(items(spark, sf_dir), ids, "item_no").select("item_id")
+
+
+@query(f"WITH {ITEMS_SQL} SELECT item_id FROM items WHERE collection_id NOT IN (SELECT collection_id FROM items WHERE quality_score < 4)")
+def b7_complete_collections(spark, sf_dir):
+    return C.complete_collections(items(spark, sf_dir), F.col("quality_score") >= 4).select("item_id")
+
+
+@query(f"""WITH {ITEMS_SQL} SELECT item_id, array_to_string(list_filter([CASE WHEN quality_score >= 30 THEN NULL ELSE 'quality' END, CASE WHEN blur_score >= 20 THEN NULL ELSE 'blur' END,
+  CASE WHEN auto_reject THEN 'reject' ELSE NULL END], lambda x: x IS NOT NULL), ',') AS reasons FROM items""")
+def b8_gate_reasons(spark, sf_dir):
+    gates = {"quality": F.col("quality_score") >= 30, "blur": F.col("blur_score") >= 20, "reject": ~F.col("auto_reject")}
+    return C.gate_reasons(items(spark, sf_dir), gates).select("item_id", F.array_join("reasons", ",").alias("reasons"))
+
+
+@query(f"WITH {ITEMS_DUP_SQL} SELECT item_no, round(sqrt(list_sum(list_transform(u, lambda x: x * x))), 6) AS length, round(u[1], 6) AS first FROM (SELECT item_no, list_transform(vec, lambda x: x / sqrt(list_sum(list_transform(vec, lambda y: y * y)))) AS u FROM items_dup)")
+def b9_normalize(spark, sf_dir):
+    u = items_dup(spark, sf_dir).withColumn("u", S.unit("vec"))
+    return u.select("item_no", F.round(S.norm("u"), 6).alias("length"), F.round(F.get("u", F.lit(0)), 6).alias("first"))
+
+
+@query("""SELECT o_orderkey AS id, v AS violation FROM (SELECT o_orderkey, unnest(list_filter([CASE WHEN o_totalprice > 1000 THEN NULL ELSE 'price' END,
+  CASE WHEN o_orderstatus IN ('O', 'F') THEN NULL ELSE 'status' END], lambda x: x IS NOT NULL)) AS v FROM orders)""")
+def b10_validate_rows(spark, sf_dir):
+    rules = {"price": F.col("o_totalprice") > 1000, "status": F.col("o_orderstatus").isin("O", "F")}
+    return C.validate_rows(table(spark, sf_dir, "orders").withColumnRenamed("o_orderkey", "id"), "id", rules)
+
+
+@query(f"WITH {ITEMS_SQL} SELECT collection_id, item_id, quality_score FROM items QUALIFY row_number() OVER (PARTITION BY collection_id ORDER BY quality_score DESC, item_id) <= 5")
+def f2_cap_per_group(spark, sf_dir):
+    return C.cap_per_group(items(spark, sf_dir), F.col("collection_id"), 5, [F.desc("quality_score"), "item_id"]).select("collection_id", "item_id", "quality_score")
+
+
+@query(f"""WITH {ITEMS_SQL}, g AS (SELECT collection_id AS problem, item_no % 7 AS grp, count(*) AS n FROM items GROUP BY 1, 2)
+  SELECT problem, CAST(sum(least(n, 3)) AS BIGINT) AS capacity, sum(least(n, 3)) >= 15 AS feasible FROM g GROUP BY 1""")
+def d3_group_capacity(spark, sf_dir):
+    i = items(spark, sf_dir).select(F.col("collection_id").alias("problem"), (F.col("item_no") % 7).alias("grp"))
+    return C.group_capacity(i, "problem", "grp", 3, 15)
+
+
+@query(f"""WITH {ITEMS_SQL}, c AS (SELECT collection_id AS problem, item_id, item_no % 7 AS grp, round((quality_score + blur_score) * 1000000) AS s FROM items),
+  k AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY problem, grp ORDER BY s DESC, item_id) <= 3)
+  SELECT problem, CAST(row_number() OVER (PARTITION BY problem ORDER BY s DESC, item_id) AS INTEGER) AS rank, item_id FROM k
+  WHERE problem IN (SELECT problem FROM k GROUP BY 1 HAVING count(*) >= 15) QUALIFY rank <= 15""")
+def g3_select_capped(spark, sf_dir):
+    i = items(spark, sf_dir).select(F.col("collection_id").alias("problem"), "item_id", (F.col("item_no") % 7).alias("grp"), (F.col("quality_score") + F.col("blur_score")).alias("score"))
+    return C.select_capped(i, "problem", "grp", 15, 3).select("problem", "rank", "item_id")
+
+
+@query(f"""WITH {ITEMS_SQL}, j AS (SELECT item_id, 'g' || (item_no // 5) AS g, quality_score, blur_score, quality_score >= 30 AND NOT auto_reject AS ok,
+  0.65 * least(greatest((quality_score / 10 - 1) / 9, 0), 1) + 0.35 * least(greatest(blur_score / 100, 0), 1) AS u FROM items)
+  SELECT item_id, round(u, 6) AS utility, ok AND row_number() OVER (PARTITION BY g ORDER BY ok DESC, u DESC, item_id) = 1 AS kept FROM j""")
+def e3_curate(spark, sf_dir):
+    i = items(spark, sf_dir).withColumn("group_id", F.concat(F.lit("g"), F.floor(F.col("item_no") / 5).cast("string")))
+    found = C.curate(i, {"quality": F.col("quality_score") >= 30, "reject": ~F.col("auto_reject")}, S.curation_utility(F.col("quality_score") / 10, F.col("blur_score")))
+    return found.select("item_id", F.round("utility", 6).alias("utility"), "kept")
+
+
+@query(f"""WITH {ITEMS_SQL}, c AS (SELECT collection_id AS problem, item_id, item_no, 'g' || (item_no % 4) AS group_id, quality_score AS score FROM items),
+  sel AS (SELECT * FROM c WHERE item_no % 9 = 0), rem AS (SELECT problem, min(item_id) AS item_id FROM sel GROUP BY 1),
+  rest AS (SELECT * FROM sel WHERE (problem, item_id) NOT IN (SELECT (problem, item_id) FROM rem)),
+  f AS (SELECT problem, group_id FROM rest GROUP BY 1, 2 HAVING count(*) >= 2),
+  cand AS (SELECT * FROM c WHERE problem IN (SELECT problem FROM rem) AND (problem, item_id) NOT IN (SELECT (problem, item_id) FROM sel)
+           AND (problem, group_id) NOT IN (SELECT (problem, group_id) FROM f))
+  SELECT problem, item_id FROM rest UNION ALL
+  SELECT problem, item_id FROM cand QUALIFY row_number() OVER (PARTITION BY problem ORDER BY score DESC, item_id) = 1""")
+def g6_replace_item(spark, sf_dir):
+    c = items(spark, sf_dir).select(F.col("collection_id").alias("problem"), "item_id", "item_no", F.concat(F.lit("g"), (F.col("item_no") % 4).cast("string")).alias("group_id"), F.col("quality_score").alias("score"))
+    chosen = c.where("item_no % 9 = 0")
+    return C.replace_item(chosen.select("problem", "item_id", "group_id"), chosen.groupBy("problem").agg(F.min("item_id").alias("item_id")), c.drop("item_no"), 2)
+
+
+@query(f"""WITH {ITEMS_SQL} SELECT item_id, capture_ts FROM items ORDER BY capture_ts NULLS LAST, item_id LIMIT 50 OFFSET 100""")
+def a11_page(spark, sf_dir):
+    return C.page(items(spark, sf_dir).select("item_id", "capture_ts"), [F.asc_nulls_last("capture_ts"), "item_id"], 50, 100)
+
+
+@query(f"""WITH {ITEMS_SQL}, p AS (SELECT collection_id AS label, list(x ORDER BY k) AS pv FROM
+    (SELECT collection_id, k, avg(vec[k]) AS x FROM items, range(1, 65) t(k) GROUP BY ALL) GROUP BY 1),
+  s AS (SELECT item_id, label, round(list_sum(list_transform(list_zip(vec, pv), lambda z: z[1] * z[2])), 9) AS s FROM items, p),
+  r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY s DESC, label) AS rn, lead(s) OVER (PARTITION BY item_id ORDER BY s DESC, label) AS s2 FROM s)
+  SELECT item_id, CASE WHEN s - s2 >= 0.015 THEN label ELSE 'uncertain' END AS label FROM r WHERE rn = 1""")
+def i25_classify(spark, sf_dir):
+    i = items(spark, sf_dir)
+    long = i.select("collection_id", F.posexplode("vec").alias("k", "x")).groupBy("collection_id", "k").agg(F.avg("x").alias("x"))
+    protos = long.groupBy(F.col("collection_id").alias("label")).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "x"))), lambda p: p["x"]).alias("vec"))
+    return C.classify(i, protos)
+
+
+# --- similarity and grouping ---------------------------------------------------------------------------------
+
+_HASHES = f"""{ITEMS_DUP_SQL}, md AS (SELECT *, list_sort(vec) AS o FROM items_dup),
+h AS (SELECT item_no, collection_id, CAST(array_to_string(list_transform(vec, lambda x: CASE WHEN x > (o[32] + o[33]) / 2 THEN 1 ELSE 0 END), '') AS BIT) AS ph,
+             CAST(array_to_string(list_transform(range(2, 65), lambda k: CASE WHEN vec[k] > vec[k - 1] THEN 1 ELSE 0 END), '') AS BIT) AS dh FROM md),
+e AS (SELECT a.collection_id, a.item_no AS left_no, b.item_no AS right_no, bit_count(xor(a.ph, b.ph)) AS p, bit_count(xor(a.dh, b.dh)) AS d
+      FROM h a JOIN h b ON a.collection_id = b.collection_id AND a.item_no < b.item_no WHERE bit_count(xor(a.ph, b.ph)) <= 7 AND bit_count(xor(a.dh, b.dh)) <= 9)"""
+_REACH = f"""{_HASHES}, n AS (SELECT left_no AS x, right_no AS y FROM e UNION SELECT right_no, left_no FROM e),
+r(x, y) AS (SELECT DISTINCT x, x FROM n UNION SELECT r.x, n.y FROM r JOIN n ON r.y = n.x), comp AS (SELECT x AS id, min(y) AS component FROM r GROUP BY 1)"""
+
+
+@query(f"WITH {_HASHES} SELECT collection_id, left_no, right_no, CAST(p AS INTEGER) AS p, CAST(d AS INTEGER) AS d FROM e")
+def c3_hamming_pairs(spark, sf_dir):
+    return M.hamming_pairs(M.with_hashes(items_dup(spark, sf_dir)))
+
+
+@query(f"WITH RECURSIVE {_REACH} SELECT id, component FROM comp")
+def e1_components(spark, sf_dir):
+    return connected_components(M.hamming_pairs(M.with_hashes(items_dup(spark, sf_dir))), "left_no", "right_no")
+
+
+@query(f"""WITH RECURSIVE {_REACH}, f AS (SELECT DISTINCT collection_id, component FROM comp JOIN items_dup ON id = item_no),
+  g AS (SELECT component, 'sim_' || lpad(CAST(row_number() OVER (PARTITION BY collection_id ORDER BY component) - 1 AS VARCHAR), 3, '0') AS group_id FROM f)
+  SELECT item_no, group_id FROM items_dup LEFT JOIN comp ON id = item_no LEFT JOIN g USING (component)""")
+def e2_similarity_groups(spark, sf_dir):
+    i = M.with_hashes(items_dup(spark, sf_dir))
+    return M.similarity_groups(i, M.hamming_pairs(i))
+
+
+_COS = f"""{ITEMS_DUP_SQL}, u AS (SELECT item_no, collection_id, list_transform(vec, lambda x: x / sqrt(list_sum(list_transform(vec, lambda y: y * y)))) AS u FROM items_dup),
+c AS (SELECT a.collection_id, a.item_no AS left_no, b.item_no AS right_no, list_sum(list_transform(list_zip(a.u, b.u), lambda p: p[1] * p[2])) AS cosine
+      FROM u a JOIN u b ON a.collection_id = b.collection_id AND a.item_no < b.item_no)"""
+
+
+@query(f"""WITH {_COS} SELECT collection_id, left_no, right_no, cosine >= 0.97 AS conflict, CASE WHEN cosine >= 0.97 THEN 0.0 ELSE round(0.35 * (cosine - 0.8) / 0.2, 6) END AS penalty
+  FROM c WHERE cosine > 0.8""")
+def c5_pair_constraints(spark, sf_dir):
+    return M.pair_constraints(items_dup(spark, sf_dir))
+
+
+@query()
+def e4_fold_similar(spark, sf_dir):
+    i = items_dup(spark, sf_dir).select("item_no", "collection_id", "vec", F.col("quality_score").alias("score"))
+    return M.fold_similar(i.select("item_no", "score"), M.cosine_pairs(i, 0.97))
+
+
+# --- evaluation ----------------------------------------------------------------------------------------------
+
+_RANKED = """s AS (SELECT q.item_id AS query_id, i.item_id, i.quality_score, round(list_sum(list_transform(list_zip(i.vec, q.vec), lambda p: p[1] * p[2])), 6) AS score
+      FROM items q JOIN items i ON i.collection_id = q.collection_id AND i.item_id <> q.item_id WHERE q.item_no % 50 = 0),
+ranked AS (SELECT * FROM (SELECT query_id, item_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, quality_score DESC, item_id) AS rank FROM s) WHERE rank <= 10)"""
+_D7 = f"""{JUDGE_SQL}, {_RANKED}, g AS (SELECT r.query_id, rank, coalesce(grade, 0) AS g FROM ranked r LEFT JOIN judgments USING (query_id, item_id)),
+ideal AS (SELECT query_id, grade, row_number() OVER (PARTITION BY query_id ORDER BY grade DESC, item_id) AS rank FROM judgments),
+b AS (SELECT query_id, count(*) FILTER (grade > 0) AS rel, sum(CASE WHEN rank <= 5 THEN (2.0 ** grade - 1) / log2(rank + 1.0) ELSE 0 END) AS i5,
+      sum(CASE WHEN rank <= 10 THEN (2.0 ** grade - 1) / log2(rank + 1.0) ELSE 0 END) AS i10 FROM ideal GROUP BY 1),
+a AS (SELECT query_id, min(rank) FILTER (g > 0) AS first, count(*) FILTER (g > 0 AND rank <= 5) AS h5, count(*) FILTER (g > 0 AND rank <= 10) AS h10,
+      sum(CASE WHEN rank <= 5 THEN (2.0 ** g - 1) / log2(rank + 1.0) ELSE 0 END) AS d5, sum(CASE WHEN rank <= 10 THEN (2.0 ** g - 1) / log2(rank + 1.0) ELSE 0 END) AS d10 FROM g GROUP BY 1),
+m AS (SELECT query_id, round(coalesce(1.0 / first, 0), 6) AS rr, round(coalesce(h5, 0) / 5.0, 6) AS p_5, round(coalesce(h5, 0) / rel, 6) AS r_5, round(coalesce(d5, 0) / i5, 6) AS ndcg_5,
+      round(coalesce(h10, 0) / 10.0, 6) AS p_10, round(coalesce(h10, 0) / rel, 6) AS r_10, round(coalesce(d10, 0) / i10, 6) AS ndcg_10 FROM b LEFT JOIN a USING (query_id))"""
+
+
+@query(f"WITH {_D7} SELECT * FROM m")
+def d7_retrieval_metrics(spark, sf_dir):
+    return V.retrieval_metrics(_ranked(spark, sf_dir), judgments(spark, sf_dir), [5, 10])
+
+
+@query(f"""WITH {_D7} SELECT round(avg(rr), 6) AS rr, round(avg(p_5), 6) AS p_5, round(avg(r_5), 6) AS r_5, round(avg(ndcg_5), 6) AS ndcg_5, round(avg(p_10), 6) AS p_10,
+  round(avg(r_10), 6) AS r_10, round(avg(ndcg_10), 6) AS ndcg_10, count(rr) AS judged, count(*) - count(rr) AS skipped FROM (SELECT item_id AS query_id FROM items WHERE item_no % 25 = 0) LEFT JOIN m USING (query_id)""")
+def d8_macro_metrics(spark, sf_dir):
+    q = items(spark, sf_dir).where("item_no % 25 = 0").select(F.col("item_id").alias("query_id"))
+    return V.macro_metrics(V.retrieval_metrics(_ranked(spark, sf_dir), judgments(spark, sf_dir), [5, 10]), q)
+
+
+@query(f"""WITH {JUDGE_SQL} SELECT query_id, count(j.item_id) AS judged, count(*) FILTER (grade > 0) AS relevant FROM (SELECT item_id AS query_id FROM items WHERE item_no % 25 = 0) q
+  LEFT JOIN judgments j USING (query_id) GROUP BY 1""")
+def d6_query_summary(spark, sf_dir):
+    return V.query_summary(items(spark, sf_dir).where("item_no % 25 = 0").select(F.col("item_id").alias("query_id")), judgments(spark, sf_dir))
+
+
+_CASES = f"""{ITEMS_SQL}, {PREF_SQL}, cases AS (SELECT event_id AS id, CASE WHEN choice = 'preferred' THEN 'left' WHEN choice = 'tie' THEN 'tie' ELSE 'right' END AS winner, preferred_no, rejected_no FROM pref),
+preds AS (SELECT c.id, m.method, CASE m.method WHEN 'quality' THEN a.quality_score ELSE a.blur_score END AS l, CASE m.method WHEN 'quality' THEN b.quality_score ELSE b.blur_score END AS r
+  FROM cases c JOIN items a ON a.item_no = preferred_no JOIN items b ON b.item_no = rejected_no, (VALUES ('quality'), ('blur')) m(method))"""
+
+
+def _cases(spark, sf_dir):
+    e = pref_events(spark, sf_dir).withColumnRenamed("event_id", "id").withColumn("winner", F.when(F.col("choice") == "preferred", "left").when(F.col("choice") == "tie", "tie").otherwise("right"))
+    i = items(spark, sf_dir).select("item_no", "quality_score", "blur_score")
+    a = i.select(F.col("item_no").alias("preferred_no"), F.col("quality_score").alias("lq"), F.col("blur_score").alias("lb"))
+    b = i.select(F.col("item_no").alias("rejected_no"), F.col("quality_score").alias("rq"), F.col("blur_score").alias("rb"))
+    both = e.join(a, "preferred_no").join(b, "rejected_no")
+    lines = F.array(F.struct(F.lit("quality").alias("method"), F.col("lq").alias("left_score"), F.col("rq").alias("right_score")), F.struct(F.lit("blur").alias("method"), F.col("lb").alias("left_score"), F.col("rb").alias("right_score")))
+    return e.select("id", "winner", "user_id"), both.select("id", F.inline(lines))
+
+
+@query(f"""WITH {_CASES}, a AS (SELECT method, avg(CASE WHEN (CASE WHEN abs(l - r) <= 1e-9 THEN 'tie' WHEN l > r THEN 'left' ELSE 'right' END) = winner THEN 1.0 ELSE 0.0 END) AS a FROM preds JOIN cases USING (id) GROUP BY 1),
+  b AS (SELECT a AS b FROM a WHERE method = 'blur') SELECT method, round(a, 6) AS agreement, round(100 * (a - b), 6) AS delta_pp, round(100 * (a - b) / nullif(b, 0), 6) AS relative_pct FROM a, b""")
+def d10_pair_agreement(spark, sf_dir):
+    return V.pair_agreement(*[x.drop("user_id") for x in _cases(spark, sf_dir)], "blur")
+
+
+@query()
+def d11_bootstrap_ci(spark, sf_dir):
+    cases, preds = _cases(spark, sf_dir)
+    gap = F.col("left_score") - F.col("right_score")
+    right = (F.when(F.abs(gap) <= 1e-9, "tie").when(gap > 0, "left").otherwise("right") == F.col("winner")).cast("double")
+    return V.bootstrap_ci(preds.where("method = 'quality'").join(cases, "id").select("user_id", right.alias("v")), "user_id", "v", 500)
+
+
+@query(f"""WITH {ITEMS_SQL} SELECT item_id, row_number() OVER (PARTITION BY collection_id ORDER BY sha256('7|' || item_id), item_id) <= round_even(count(*) OVER (PARTITION BY collection_id) * 0.4, 0) AS test FROM items""")
+def f8_stratified_split(spark, sf_dir):
+    return V.stratified_split(items(spark, sf_dir), "collection_id", "item_id", 0.4, 7).select("item_id", "test")
+
+
+# --- logs, windows, snapshots, audits ------------------------------------------------------------------------
+
+@query("""SELECT user_id, event_id, CAST(rank AS INTEGER) AS rank, n > 20 AS truncated FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rank,
+  count(*) OVER (PARTITION BY user_id) AS n FROM events) WHERE rank <= 20""")
+def f3_recent_events(spark, sf_dir):
+    return L.recent_events(table(spark, sf_dir, "events"), 20).select("user_id", "event_id", "rank", "truncated")
+
+
+@query("SELECT event_id AS model_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1 AS active FROM events WHERE event_type = 'signup'")
+def f4_activate_models(spark, sf_dir):
+    m = table(spark, sf_dir, "events").where("event_type = 'signup'").select(F.col("event_id").alias("model_id"), "user_id", F.col("ts").alias("created_at"))
+    return L.activate_models(m, ["user_id"]).select("model_id", "active")
+
+
+@query("""SELECT event_id, CAST(sum(b) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS segment FROM (SELECT *, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id))
+  > 43200000000 THEN 1 ELSE 0 END AS b FROM events)""")
+def f5_segment_by_gap(spark, sf_dir):
+    return L.segment_by_gap(table(spark, sf_dir, "events"), "user_id", "ts", ["ts", "event_id"], 43200).select("event_id", "segment")
+
+
+@query(f"""WITH {ITEMS_SQL}, r AS (SELECT collection_id, item_no, CASE WHEN coalesce(item_no - lag(item_no) OVER w <= 20, FALSE) AND abs(epoch(capture_ts) - lag(epoch(capture_ts)) OVER w) <= 2000 THEN 0 ELSE 1 END AS b
+  FROM items WINDOW w AS (PARTITION BY collection_id ORDER BY item_no)), s AS (SELECT *, CAST(sum(b) OVER (PARTITION BY collection_id ORDER BY item_no) AS BIGINT) AS burst FROM r),
+  z AS (SELECT collection_id, item_no, burst, count(*) OVER (PARTITION BY collection_id, burst) AS size FROM s) SELECT * FROM z WHERE size >= 2""")
+def f6_detect_bursts(spark, sf_dir):
+    i = items(spark, sf_dir).withColumns({"ts_s": F.unix_timestamp("capture_ts").cast("double"), "ph": F.lit(None).cast("long")})
+    return L.detect_bursts(i, 20, 2000.0)
+
+
+_SNAPS = """o AS (SELECT o_orderkey AS id, o_totalprice AS price, o_orderstatus AS status FROM orders WHERE o_orderkey % 10 <> 1),
+n AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 10 = 3 THEN o_totalprice + 1 ELSE o_totalprice END AS price, o_orderstatus AS status FROM orders WHERE o_orderkey % 10 <> 2)"""
+
+
+def _snaps(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("price"), F.col("o_orderstatus").alias("status"))
+    return o.where("id % 10 <> 1"), o.where("id % 10 <> 2").withColumn("price", F.when(F.col("id") % 10 == 3, F.col("price") + 1).otherwise(F.col("price")))
+
+
+@query(f"WITH {_SNAPS} SELECT id, CASE WHEN o.price IS NULL THEN 'new' WHEN n.price IS NULL THEN 'deleted' WHEN o.price = n.price AND o.status = n.status THEN 'unchanged' ELSE 'changed' END AS status FROM o FULL JOIN n USING (id)")
+def c13_diff_snapshots(spark, sf_dir):
+    return L.diff_snapshots(*_snaps(spark, sf_dir), "id", ["price", "status"])
+
+
+@query(f"WITH {_SNAPS} SELECT s AS status, count(*) AS n FROM (SELECT CASE WHEN o.price IS NULL THEN 'new' WHEN n.price IS NULL THEN 'deleted' WHEN o.price = n.price THEN 'unchanged' ELSE 'changed' END AS s FROM o FULL JOIN n USING (id)) GROUP BY 1")
+def d23_drift_audit(spark, sf_dir):
+    return L.diff_snapshots(*_snaps(spark, sf_dir), "id", ["price", "status"]).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {_SNAPS} SELECT n.id, round(n.price, 2) AS price, CASE WHEN o.price = n.price THEN 'd' || n.id END AS digest FROM n LEFT JOIN o USING (id)")
+def a7_merge_snapshot(spark, sf_dir):
+    o, n = _snaps(spark, sf_dir)
+    return L.merge_snapshot(o.withColumn("digest", F.concat(F.lit("d"), F.col("id").cast("string"))), n, "id", ["price"], ["digest"]).withColumn("price", F.round("price", 2))
+
+
+@query("SELECT event_id FROM events WHERE event_id // 2 NOT IN (SELECT event_id // 2 FROM events WHERE event_id % 10 = 0) QUALIFY row_number() OVER (PARTITION BY event_id // 2 ORDER BY ts, event_id) = 1")
+def a8_append_new(spark, sf_dir):
+    e = table(spark, sf_dir, "events").withColumn("suggestion_id", F.floor(F.col("event_id") / 2))
+    return L.append_new(e.where("event_id % 10 = 0"), e, "suggestion_id").select("event_id")
+
+
+@query("SELECT lower(trim(regexp_replace(text, '[ \\t\\n\\r\\f\\v]+', ' ', 'g'))) AS key, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1")
+def d19_duplicates(spark, sf_dir):
+    return L.duplicates(table(spark, sf_dir, "documents"), [S.normalize_text("text").alias("key")])
+
+
+@query("SELECT conv_id, turn, item_id FROM (SELECT conv_id, turn, (conv_id * 7 + turn) % 50 AS item_id FROM conversations WHERE role = 'assistant') WHERE item_id NOT IN (SELECT item_id FROM benchmark)")
+def c15_foreign_refs(spark, sf_dir):
+    cited = table(spark, sf_dir, "conversations").where("role = 'assistant'").select("conv_id", "turn", ((F.col("conv_id") * 7 + F.col("turn")) % 50).alias("item_id"))
+    return L.foreign_refs(cited, table(spark, sf_dir, "benchmark"), "item_id").select("conv_id", "turn", "item_id")
+
+
+def _files(spark, sf_dir):
+    p = table(spark, sf_dir, "pages")
+    return p.select(F.col("url").alias("path"), F.length("html").cast("long").alias("size"), F.col("page_id").alias("age"), F.concat(F.lit("k"), (F.col("page_id") % 5).cast("string")).alias("category"), "page_id")
+
+
+@query("SELECT url AS path, CAST(length(html) AS BIGINT) AS size FROM pages WHERE page_id >= 24 AND url NOT IN (SELECT url FROM pages WHERE page_id % 3 <> 0)")
+def c12_orphan_files(spark, sf_dir):
+    f = _files(spark, sf_dir)
+    return L.orphan_files(f, f.where("page_id % 3 <> 0").select("path"), 24).select("path", "size")
+
+
+@query("SELECT 'k' || (page_id % 5) AS category, count(*) AS files, CAST(sum(length(html)) AS BIGINT) AS bytes, CAST(greatest(sum(length(html)) - 100000, 0) AS BIGINT) AS over FROM pages GROUP BY 1")
+def d15_usage_report(spark, sf_dir):
+    return L.usage_report(_files(spark, sf_dir), 100000)
+
+
+@query()
+def d18_snapshot_digest(spark, sf_dir):
+    return L.snapshot_digest(items(spark, sf_dir).drop("vec"), "collection_id", "item_id", ["quality_score", "file_size"])
+
+
+@query(f"""WITH {PREF_SQL} SELECT event_id AS id, 'group' AS reason FROM pref WHERE user_id IN (SELECT user_id FROM pref WHERE choice = 'skip' AND user_id % 2 = 0) UNION ALL
+  SELECT event_id, 'digest' FROM pref WHERE sha256(CAST(preferred_no AS VARCHAR)) IN (SELECT sha256(CAST(rejected_no AS VARCHAR)) FROM pref WHERE user_id % 20 = 3)""")
+def c14_leakage(spark, sf_dir):
+    e = pref_events(spark, sf_dir)
+    digest = lambda c: F.sha2(F.col(c).cast("string"), 256)
+    cases = e.select(F.col("event_id").alias("id"), F.col("user_id").alias("group"), digest("preferred_no").alias("digest"))
+    return L.leakage(cases, e.where("user_id % 20 = 3").select(digest("rejected_no").alias("digest")), e.where("choice = 'skip' and user_id % 2 = 0").select(F.col("user_id").alias("group")))
+
+
+@query(f"WITH {ITEMS_SQL}, {PREF_SQL} SELECT event_id, a.collection_id AS preferred_collection, b.collection_id AS rejected_collection FROM pref JOIN items a ON a.item_no = preferred_no JOIN items b ON b.item_no = rejected_no")
+def c11_event_pairs(spark, sf_dir):
+    return L.event_pairs(pref_events(spark, sf_dir), items(spark, sf_dir)).select("event_id", "preferred_collection", "rejected_collection")
+
+
+@query(f"WITH {PREF_SQL} SELECT user_id, choice, count(*) AS n, count(DISTINCT preferred_no) AS items FROM pref GROUP BY 1, 2")
+def d16_feedback_count(spark, sf_dir):
+    return pref_events(spark, sf_dir).groupBy("user_id", "choice").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("preferred_no").alias("items"))
+
+
+@query("SELECT source, min(same) AS same FROM (SELECT coalesce(a.source, b.source) AS source, a.lang IS NOT NULL AND b.lang IS NOT NULL AS same FROM (SELECT DISTINCT source, lang FROM documents WHERE doc_id % 2 = 0) a FULL JOIN (SELECT DISTINCT source, lang FROM documents WHERE doc_id % 2 = 1) b ON a.source = b.source AND a.lang = b.lang) GROUP BY 1")
+def h2_same_members(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    return L.same_members(d.where("doc_id % 2 = 0"), d.where("doc_id % 2 = 1"), "source", "lang")
+
+
+@query("SELECT user_id FROM events WHERE event_type = 'purchase' INTERSECT SELECT user_id FROM events WHERE event_type = 'error'")
+def h4_overlap(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    return e.where("event_type = 'purchase'").select("user_id").intersect(e.where("event_type = 'error'").select("user_id"))
+
+
+@query("SELECT event_id FROM events WHERE event_type = 'view' EXCEPT SELECT event_id FROM events WHERE user_id % 3 = 0")
+def h3_difference(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    return e.where("event_type = 'view'").select("event_id").subtract(e.where("user_id % 3 = 0").select("event_id"))
+
+
+# --- scalar functions ----------------------------------------------------------------------------------------
+
+@query("SELECT doc_id, round(CAST('0x' || substr(sha256('3|' || doc_id), 1, 13) AS BIGINT) / 4503599627370496.0, 12) AS u FROM documents")
+def i34_stable_uniform(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.round(S.stable_uniform(F.lit(3), "doc_id"), 12).alias("u"))
+
+
+@query(f"""WITH {ITEMS_SQL} SELECT item_id, round(exp(-abs(item_no % 90 - 30) / 60.0), 9) AS time_sim, round(1 / (1 + exp(-least(greatest(blur_score - 20, -20), 20))), 9) AS p,
+  round(0.65 * least(greatest((quality_score / 10 - 1) / 9, 0), 1) + 0.35 * least(greatest(blur_score / 100, 0), 1), 9) AS utility FROM items""")
+def i4_i22_i37_scores(spark, sf_dir):
+    return items(spark, sf_dir).select(
+        "item_id", F.round(S.time_sim(F.col("item_no") % 90, F.lit(30)), 9).alias("time_sim"), F.round(S.logistic(F.col("blur_score") - 20), 9).alias("p"),
+        F.round(S.curation_utility(F.col("quality_score") / 10, "blur_score"), 9).alias("utility"),
+    )
+
+
+@query(f"WITH {ITEMS_SQL} SELECT a.item_id, CASE WHEN a.item_no < 1 THEN 0.0 ELSE round(greatest(0, 1 - (a.item_no % 40) / 30.0), 9) END AS name_sim FROM items a")
+def i7_name_sim(spark, sf_dir):
+    i = items(spark, sf_dir)
+    other = F.concat(F.lit("IMG_"), F.lpad((F.col("item_no") - F.col("item_no") % 40).cast("string"), 4, "0"), F.lit(".jpg"))
+    return i.select("item_id", F.when(F.col("item_no") < 1, 0.0).otherwise(F.round(S.name_sim("file_name", other), 9)).alias("name_sim"))
+
+
+# --- streaming -----------------------------------------------------------------------------------------------
+
+@query("SELECT user_id, time_bucket(INTERVAL 1 DAY, ts) AS start, count(*) AS n FROM events GROUP BY 1, 2")
+def l4_stream_counts(spark, sf_dir):
+    return streams.run_available(streams.counts(streams.event_stream(spark, sf_dir), "1 day"), "counts")
+
+
+@query("""WITH s AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS g FROM (SELECT *, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) > 1800000000
+  THEN 1 ELSE 0 END AS b FROM events)) SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", count(*) AS n FROM s GROUP BY user_id, g""")
+def l2_stream_segments(spark, sf_dir):
+    stream = streams.event_stream(spark, sf_dir).where("user_id is not null")
+    return streams.run_available(streams.segments(stream), "segments")
