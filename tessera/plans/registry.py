@@ -177,7 +177,9 @@ _REACH = f"""{_HASHES}, n AS (SELECT left_no AS x, right_no AS y FROM e UNION SE
 r(x, y) AS (SELECT DISTINCT x, x FROM n UNION SELECT r.x, n.y FROM r JOIN n ON r.y = n.x), comp AS (SELECT x AS id, min(y) AS component FROM r GROUP BY 1)"""
 
 
-@query(f"WITH {_HASHES} SELECT collection_id, left_no, right_no, CAST(p AS INTEGER) AS p, CAST(d AS INTEGER) AS d FROM e")
+@query(f"""WITH {_HASHES}, f AS (SELECT *, min(item_no) OVER (PARTITION BY collection_id, ph, dh) AS first FROM h)
+  SELECT collection_id, left_no, right_no, CAST(p AS INTEGER) AS p, CAST(d AS INTEGER) AS d FROM e WHERE left_no IN (SELECT first FROM f) AND right_no IN (SELECT first FROM f)
+  UNION ALL SELECT collection_id, first, item_no, 0, 0 FROM f WHERE first <> item_no""")
 def c3_hamming_pairs(spark, sf_dir):
     return M.hamming_pairs(M.with_hashes(items_dup(spark, sf_dir)))
 
