@@ -26,8 +26,13 @@ def norm(a: Any) -> Column:
 
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
 def unit(vectors: pd.Series) -> pd.Series:
-    """The vector divided by its length, an Arrow batch at a time; null stays null."""
-    return vectors.map(lambda v: None if v is None else np.asarray(v, float) / np.sqrt(np.dot(v, v)))
+    """The vector divided by its length, an Arrow batch at a time; null stays null, a zero vector stays itself."""
+
+    def of(v):
+        x = np.asarray(v, float)
+        return x / (np.sqrt(x @ x) or 1.0)
+
+    return vectors.map(lambda v: None if v is None else of(v))
 
 
 def bits_to_hex(bits: Any) -> Column:
