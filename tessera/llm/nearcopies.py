@@ -1,0 +1,129 @@
+"""Near copies by exact Jaccard similarity of word shingles, for the pipeline.
+
+A text is the set of XXH64 values of its 5-word shingles; texts with equal sets are one node. Candidates
+share the MinHash values of a band: with 24 bands of 4, a pair of similarity 0.8 has none in common with
+chance (1 - 0.8^4)^24 = 0.000003. Every candidate is settled by the exact similarity of the two sets.
+
+First each node of a band's key is compared with the smallest node of that key; what that joins needs no
+further comparison. Then the pairs of each key whose components still differ are compared, all of them.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from itertools import repeat
+
+import numpy as np
+import pandas as pd
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tessera.functions.shared import materialize
+from tessera.llm.inputs import documents
+from tessera.operators.graph import connected_components
+
+SEED = 42
+SHINGLE_WORDS = 5
+SIMILAR = 0.8
+BANDS, ROWS = 24, 4
+#: Nodes that may be broadcast to find their sets; beyond, an ordinary join finds them.
+BROADCAST_NODES = 500_000
+_DRAWS = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * ROWS), np.uint64)
+_FACTOR, _SHIFT = (_DRAWS[0] | np.uint64(1))[:, None], _DRAWS[1][:, None]
+
+
+def shingle_set(text: str, words: int = SHINGLE_WORDS) -> np.ndarray:
+    """Sorted distinct hashes of the text's shingles; a shorter text is one shingle, one without words has none."""
+    tokens = text.encode().lower().split()
+    if not tokens:
+        return np.empty(0, np.uint64)
+    shingles = map(b" ".join, zip(*(tokens[k:] for k in range(words)), strict=False)) if len(tokens) >= words else [b" ".join(tokens)]
+    return np.unique(np.frombuffer(b"".join(map(xxhash.xxh64_digest, shingles, repeat(SEED))), ">u8").astype(np.uint64))
+
+
+def band_keys(hashes: np.ndarray) -> list[int]:
+    """A key for each band of the set's MinHash values; none for the empty set."""
+    if not len(hashes):
+        return []
+    least = np.full(BANDS * ROWS, np.uint64(2**64 - 1))
+    for at in range(0, len(hashes), 1 << 11):
+        least = np.minimum(least, (hashes[at : at + (1 << 11)] * _FACTOR + _SHIFT).min(1))
+    keys = [xxhash.xxh64_intdigest(row.tobytes(), seed=band) for band, row in enumerate(least.reshape(BANDS, ROWS))]
+    return np.array(keys, np.uint64).view(np.int64).tolist()
+
+
+def sketches(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
+    """doc_id, node (names the set), n (its size), keys, hashes (the set) of every whole text."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            sets = [shingle_set(t, words) for t in batch["text"]]
+            blobs = [s.tobytes() for s in sets]
+            node = np.array([xxhash.xxh64_intdigest(b, seed=SEED) for b in blobs], np.uint64).view(np.int64)
+            columns = {"doc_id": batch["doc_id"].astype("Int64"), "node": node, "n": [len(s) for s in sets], "keys": [band_keys(s) for s in sets], "hashes": blobs}
+            yield pd.DataFrame(columns, index=batch.index)
+
+    return documents(docs).mapInPandas(run, "doc_id long, node long, n long, keys array<long>, hashes binary")
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
+    """src, dst: the pairs whose sets are similar enough, exactly."""
+    asked = materialize(pairs.distinct(), "pairs")
+    named = asked.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    if named.count() <= BROADCAST_NODES:
+        named = F.broadcast(named)
+    used = materialize(sets.join(named, "node", "left_semi").dropDuplicates(["node"]), "sets")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            keep = np.zeros(len(batch), bool)
+            for k, (a, b) in enumerate(zip(batch["a"], batch["b"], strict=True)):
+                one, two = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+                both = np.sort(np.concatenate([one, two]))
+                common = int((both[1:] == both[:-1]).sum())
+                keep[k] = common >= similar * (len(both) - common) - 1e-9
+            yield batch.loc[keep, ["src", "dst"]]
+
+    left = used.select(F.col("node").alias("src"), F.col("hashes").alias("a"))
+    right = used.select(F.col("node").alias("dst"), F.col("hashes").alias("b"))
+    return materialize(asked.join(left, "src").join(right, "dst").select("src", "dst", "a", "b").mapInPandas(run, "src long, dst long"), "links")
+
+
+def components(docs: DataFrame, words: int = SHINGLE_WORDS, similar: float = SIMILAR) -> DataFrame:
+    """Per document: doc_id, component_id (smallest doc_id that links of similar texts reach; iterative).
+
+    A null text is an empty one, and texts without words are copies of each other. Rows that repeat a doc_id
+    get a row each. A null doc_id is never a component's name unless it is alone. An empty table gives no
+    rows; other columns are ignored.
+    """
+    rows = materialize(sketches(docs, words), "sketches")
+    nodes = materialize(rows.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("keys").alias("keys")), "nodes")
+    sets = rows.select("node", "hashes")
+    keyed = nodes.select("node", "n", F.posexplode("keys").alias("band", "key"))
+    shared = keyed.groupBy("band", "key").agg(F.min(F.struct("node", "n")).alias("least"), F.count(F.lit(1)).alias("members")).where("members > 1")
+    members = materialize(keyed.join(shared, ["band", "key"]), "members")
+    near = lambda a, b: F.least(a, b) >= F.greatest(a, b) * F.lit(similar) - 1e-9  # noqa: E731  (sizes that can be similar)
+    stars = members.where("node <> least.node").where(near(F.col("n"), F.col("least.n")))
+    links = _similar(stars.select(F.col("least.node").alias("src"), F.col("node").alias("dst")), sets, similar)
+    joined = materialize(connected_components(links), "joined")
+    part = members.where("members > 2").join(joined.withColumnRenamed("id", "node"), "node", "left").select("band", "key", "node", "n", F.coalesce("component", "node").alias("part"))
+    open_keys = part.groupBy("band", "key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("band", "key")
+    left = materialize(part.join(open_keys, ["band", "key"]), "open")
+    other = left.select("band", "key", F.col("node").alias("dst"), F.col("n").alias("m"), F.col("part").alias("with"))
+    rest = left.join(other, ["band", "key"]).where((F.col("node") < F.col("dst")) & (F.col("part") != F.col("with")) & near(F.col("n"), F.col("m")))
+    links = links.unionByName(_similar(rest.select(F.col("node").alias("src"), "dst"), sets, similar))
+    found = connected_components(links)
+    named = nodes.join(found, nodes["node"] == found["id"]).groupBy("component").agg(F.min("first").alias("smallest"))
+    of = found.join(named, "component").select(F.col("id").alias("node"), "smallest")
+    label = materialize(nodes.join(of, "node", "left").select("node", F.coalesce("smallest", "first").alias("component_id")), "labels")
+    return rows.select("doc_id", "node").join(label, "node").select("doc_id", "component_id")
+
+
+def keep_one(docs: DataFrame, words: int = SHINGLE_WORDS, similar: float = SIMILAR) -> DataFrame:
+    """The documents whose doc_id names their component, with all their columns.
+
+    Rows that repeat a doc_id are one document and stay together; rows with a null doc_id stay.
+    """
+    gone = components(docs, words, similar).where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
