@@ -167,7 +167,7 @@ def score(docs: DataFrame, path: str | None = None) -> DataFrame:
         often[A.END] += learn.sum()
         seen = np.flatnonzero(often)
         rows += [(1, int(learn.sum()), key[0], zip_arrays(seen.astype(np.int64), often[seen].astype(np.int64)))]
-        rows += [(2, 0, key[0], _windows(words, ids, sizes, doc_ids, learn).tobytes()), (3, 0, key[0], zip_arrays(ids, sizes.astype(np.uint16)))]
+        rows += [(2, 0, key[0], _windows(words, ids, sizes, doc_ids, learn).tobytes()), (3, 0, key[0], zip_arrays(ids, sizes))]
         return pd.DataFrame(rows, columns=["kind", "bucket", "chunk", "message"])
 
     counted = materialize(texts.groupBy("chunk").applyInPandas(count, "kind int, bucket int, chunk int, message binary"), "words")
@@ -212,7 +212,7 @@ def score(docs: DataFrame, path: str | None = None) -> DataFrame:
         for b, part in words.by_bucket(buckets):
             corpus[part] = np.frombuffer(unzip_arrays(answers[b])[0], np.int64)
         ids, sizes = unzip_arrays(answers[-1])
-        ids, sizes = np.frombuffer(ids, np.uint16), np.frombuffer(sizes, np.uint16).astype(np.int64)
+        ids, sizes = np.frombuffer(ids, np.uint16), np.frombuffer(sizes, np.int64)
         n_texts = len(doc_ids)
         tokens = words.counts + 1
         base = np.bincount(words.text, np.log10(corpus + 1.0)[words.word], n_texts) + np.log10(trained + 1.0) - tokens * np.log10(n_all + types + 1.0)
