@@ -273,7 +273,7 @@ def d11_bootstrap_ci(spark, sf_dir):
     cases, preds = _cases(spark, sf_dir)
     gap = F.col("left_score") - F.col("right_score")
     right = (F.when(F.abs(gap) <= 1e-9, "tie").when(gap > 0, "left").otherwise("right") == F.col("winner")).cast("double")
-    return V.bootstrap_ci(preds.where("method = 'quality'").join(cases, "id").select("user_id", right.alias("v")), "user_id", "v", 500)
+    return V.bootstrap_ci(preds.where("method = 'quality'").join(cases, "id").select("user_id", right.alias("v")), "user_id", "v")
 
 
 @query(f"""WITH {ITEMS_SQL} SELECT item_id, row_number() OVER (PARTITION BY collection_id ORDER BY sha256('7|' || item_id), item_id) <= round_even(count(*) OVER (PARTITION BY collection_id) * 0.4, 0) AS test FROM items""")
