@@ -2,9 +2,9 @@
 
 Chunks of documents count their words and send each distinct word's hash and training count to a bucket;
 buckets add up and answer in the order asked, so every document learns the corpus count of its words. The
-counts of subwords over all training documents shape the vocabulary of the attention model; each training
-document gives one context window, and the tasks that hold them train in numpy, their weights averaged
-between rounds. Every subword of every text is then scored once in overlapping windows. The chance of a
+counts of subwords over all training documents shape the vocabulary of the attention model; the training
+documents are cut into consecutive context windows, each subword the target of one, and the tasks that hold
+them train in numpy on all of them, a chunk at a time, the weights averaged between rounds. Every subword of every text is then scored once in overlapping windows. The chance of a
 word is that of its subwords, mixed with the word's corpus share (c / N; a share of 0 for unknown words), so
 the score is the log probability of a proper model of texts.
 """
@@ -27,6 +27,8 @@ from tessera.llm.packing import encoding, ranks_path
 
 DIVISOR, HELD_OUT = 7, 2
 ROUNDS, STEPS, RATE = 2, 300, 0.01
+#: Windows of a chunk from which on each round learns from its own share of them: one pass over all in total.
+MANY = 20_000
 #: Weight of the attention model against the corpus share of the word, for words that training documents have.
 MIXED = 0.5
 #: Training tasks average in this many groups before the driver adds up the last few.
@@ -82,18 +84,24 @@ def _spread(ids: np.ndarray, sizes: np.ndarray, word: np.ndarray) -> tuple[np.nd
     return ids[np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum())].astype(np.int64), n
 
 
-def _windows(words: Words, ids: np.ndarray, sizes: np.ndarray, doc_ids: np.ndarray, learn: np.ndarray) -> np.ndarray:
-    """For each training text, CONTEXT + 1 of its ids from a place that doc_id picks; -1: the start, -2: nothing."""
+def _windows(words: Words, ids: np.ndarray, sizes: np.ndarray, learn: np.ndarray) -> np.ndarray:
+    """All training texts as rows of CONTEXT + 1 ids, each from the last id of the row before; -1: the start, -2: nothing."""
     upto = np.r_[0, np.cumsum(words.counts)]
-    pick = mix(doc_ids.view(np.uint64) + np.uint64(17))
-    rows = []
+    rows = [np.empty((0, A.CONTEXT + 1), np.int32)]
     for t in np.flatnonzero(learn).tolist():
-        n, h = int(words.counts[t]), int(pick[t])
-        at = 0 if h & 1 or not n else (h >> 1) % n
-        own, _ = _spread(ids, sizes, words.word[upto[t] + at : min(upto[t] + at + A.CONTEXT + 1, upto[t + 1])])
-        own = np.r_[[-1] if at == 0 else [], own, [A.END] if upto[t] + at + A.CONTEXT + 1 >= upto[t + 1] else []][: A.CONTEXT + 1]
-        rows.append(np.r_[own, np.full(A.CONTEXT + 1 - len(own), -2)])
-    return np.array(rows, np.int32).reshape(-1, A.CONTEXT + 1)
+        own, _ = _spread(ids, sizes, words.word[upto[t] : upto[t + 1]])
+        n = -(-(len(own) + 1) // A.CONTEXT)
+        full = np.full(n * A.CONTEXT + 1, -2, np.int32)
+        full[0], full[1 : len(own) + 1], full[len(own) + 1] = -1, own, A.END
+        rows.append(np.lib.stride_tricks.sliding_window_view(full, A.CONTEXT + 1)[:: A.CONTEXT])
+    return np.concatenate(rows)
+
+
+def _turn(rows: np.ndarray, round_: int) -> np.ndarray:
+    """The rows of a round: all of them if they are few, else a share by hash, so that the rounds together are one pass."""
+    if len(rows) < MANY:
+        return rows
+    return rows[mix(np.arange(len(rows), dtype=np.uint64)) % np.uint64(ROUNDS) == round_]
 
 
 def _dump(p: dict[str, np.ndarray]) -> bytes:
@@ -107,7 +115,7 @@ def _load(blob: bytes) -> dict[str, np.ndarray]:
 
 
 def _train(windows: DataFrame, vocabulary: A.Vocabulary) -> dict[str, np.ndarray]:
-    """Rounds of local training in the tasks that hold the windows, each from the mean weights of the last."""
+    """Rounds of local training on each chunk's windows, each from the mean weights of the last."""
     weights, context = A.initial(vocabulary), windows.sparkSession.sparkContext
 
     def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -120,16 +128,17 @@ def _train(windows: DataFrame, vocabulary: A.Vocabulary) -> dict[str, np.ndarray
 
         def learn(batches: Iterator[pd.DataFrame], sent=sent, round_=round_) -> Iterator[pd.DataFrame]:
             weights, vocabulary = sent.value
-            parts = [np.frombuffer(m, np.int32).reshape(-1, A.CONTEXT + 1) for batch in batches for m in batch["message"]]
-            rows = np.concatenate(parts) if parts else np.empty((0, A.CONTEXT + 1), np.int32)
-            rows = rows[np.lexsort(rows.T)]
-            if not len(rows):
-                return
-            safe = np.maximum(rows, 0)
-            inputs = np.where(rows[:, :-1] >= 0, vocabulary.row[safe[:, :-1]], A.START)
-            valid = rows[:, 1:] >= 0
-            out = A.fit(weights, inputs, vocabulary.of[safe[:, 1:]], valid, STEPS, RATE / (1 + 2 * round_), seed=round_)
-            yield pd.DataFrame({"n": [len(rows)], "weights": [_dump(out)]})
+            for batch in batches:
+                for m in batch["message"]:  # a chunk at a time: memory stays bounded
+                    rows = np.frombuffer(unzip_arrays(m)[0], np.int32).reshape(-1, A.CONTEXT + 1)
+                    rows = _turn(rows[np.lexsort(rows.T)], round_)
+                    if not len(rows):
+                        continue
+                    safe = np.maximum(rows, 0)
+                    inputs = np.where(rows[:, :-1] >= 0, vocabulary.row[safe[:, :-1]], A.START)
+                    valid = rows[:, 1:] >= 0
+                    out = A.fit(weights, inputs, vocabulary.of[safe[:, 1:]], valid, STEPS, RATE / (1 + 2 * round_), seed=round_)
+                    yield pd.DataFrame({"n": [len(rows)], "weights": [_dump(out)]})
 
         done = windows.mapInPandas(learn, "n long, weights binary").repartition(GROUPS).mapInPandas(merge, "n long, weights binary").collect()
         if not done:
@@ -167,7 +176,7 @@ def score(docs: DataFrame, path: str | None = None) -> DataFrame:
         often[A.END] += learn.sum()
         seen = np.flatnonzero(often)
         rows += [(1, int(learn.sum()), key[0], zip_arrays(seen.astype(np.int64), often[seen].astype(np.int64)))]
-        rows += [(2, 0, key[0], _windows(words, ids, sizes, doc_ids, learn).tobytes()), (3, 0, key[0], zip_arrays(ids, sizes))]
+        rows += [(2, 0, key[0], zip_arrays(_windows(words, ids, sizes, learn))), (3, 0, key[0], zip_arrays(ids, sizes))]
         return pd.DataFrame(rows, columns=["kind", "bucket", "chunk", "message"])
 
     counted = materialize(texts.groupBy("chunk").applyInPandas(count, "kind int, bucket int, chunk int, message binary"), "words")
