@@ -15,6 +15,7 @@ from itertools import repeat
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +30,8 @@ SIMILAR = 0.8
 BANDS, ROWS = 24, 4
 #: Nodes that may be broadcast to find their sets; beyond, an ordinary join finds them.
 BROADCAST_NODES = 500_000
+#: Texts whose sets a task holds at once.
+SLICE = 500
 _DRAWS = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * ROWS), np.uint64)
 _FACTOR, _SHIFT = (_DRAWS[0] | np.uint64(1))[:, None], _DRAWS[1][:, None]
 
@@ -57,7 +60,7 @@ def sketches(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
     """doc_id, node (names the set), n (its size), keys, hashes (the set) of every whole text."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in (b.iloc[at : at + SLICE] for b in batches for at in range(0, len(b), SLICE)):
             sets = [shingle_set(t, words) for t in batch["text"]]
             blobs = [s.tobytes() for s in sets]
             node = np.array([xxhash.xxh64_intdigest(b, seed=SEED) for b in blobs], np.uint64).view(np.int64)
@@ -75,19 +78,19 @@ def _similar(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
         named = F.broadcast(named)
     used = materialize(sets.join(named, "node", "left_semi").dropDuplicates(["node"]), "sets")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = np.zeros(len(batch), bool)
             for k, (a, b) in enumerate(zip(batch["a"], batch["b"], strict=True)):
-                one, two = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+                one, two = (np.frombuffer(x.as_buffer(), np.uint64) for x in (a, b))  # no copies of the sets
                 both = np.sort(np.concatenate([one, two]))
                 common = int((both[1:] == both[:-1]).sum())
                 keep[k] = common >= similar * (len(both) - common) - 1e-9
-            yield batch.loc[keep, ["src", "dst"]]
+            yield batch.select(["src", "dst"]).filter(pa.array(keep))
 
     left = used.select(F.col("node").alias("src"), F.col("hashes").alias("a"))
     right = used.select(F.col("node").alias("dst"), F.col("hashes").alias("b"))
-    return materialize(asked.join(left, "src").join(right, "dst").select("src", "dst", "a", "b").mapInPandas(run, "src long, dst long"), "links")
+    return materialize(asked.join(left, "src").join(right, "dst").select("src", "dst", "a", "b").mapInArrow(run, "src long, dst long"), "links")
 
 
 def components(docs: DataFrame, words: int = SHINGLE_WORDS, similar: float = SIMILAR) -> DataFrame:
