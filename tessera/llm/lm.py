@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from tessera.functions.shared import materialize
 from tessera.llm import attention as A
 from tessera.llm.exchange import NO_ID, bucket_of, chunk_count, chunked, mix, unpack, unzip_arrays, word_hashes, zip_arrays
-from tessera.llm.packing import encoding, ranks_path
+from tessera.llm.packing import encoding, ordinary_ids, ranks_path
 
 DIVISOR, HELD_OUT = 7, 2
 ROUNDS, STEPS, RATE = 2, 300, 0.01
@@ -67,8 +67,7 @@ class Words:
 
     def subwords(self, path: str) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all distinct words in a row, ids of each): each word is encoded after a blank."""
-        encode = encoding(path).encode_ordinary
-        found = [encode(" " + self.buffer[a:z].decode()) for a, z in zip(self.start.tolist(), self.end.tolist(), strict=True)]
+        found = [ordinary_ids(path, " " + self.buffer[a:z].decode()) for a, z in zip(self.start.tolist(), self.end.tolist(), strict=True)]
         sizes = np.fromiter(map(len, found), np.int64, len(found))
         return np.fromiter((i for ids in found for i in ids), np.uint16, int(sizes.sum())), sizes
 

@@ -1,17 +1,19 @@
 """Best-fit packing of documents into sequences of a fixed number of tokens.
 
 Documents are range-sorted by length and open gaps by size, both as runs of equal values: there are at
-most `capacity` lengths and `capacity` gaps whatever the size of the corpus, so the sorted runs are a
-bounded table. Each superstep takes the longest lengths left, matches them with their successors among
-the gaps (the smallest gap that holds them), settles the documents that want the same gap by their rank
-within the length, updates the gaps and repeats. Rows never leave the executors: a row finds its place
-from its rank, which is counted with salted windows.
+most `capacity` lengths and `capacity` gaps whatever the size of the corpus. Because the runs are that few,
+the steps over them (take the longest length left, match it with its successor among the gaps, settle the
+documents that want the same gap by their rank within the length, update the gaps, repeat) are a loop in
+the driver over a bounded histogram, not Spark supersteps: the result is exactly best-fit decreasing, whose
+order is sequential. The documents never leave the executors: a row finds its place from its rank, which
+is counted with salted windows.
 """
 
 from __future__ import annotations
 
 import base64
 import bisect
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -26,7 +28,11 @@ from tessera.llm.inputs import documents
 CAPACITY = 2048
 #: Rows that one salted window partition of the ranking holds, about.
 ROWS_PER_SALT = 20_000
-SPECIAL = {"<|endoftext|>": 50256}
+END_MARK = "<|endoftext|>"
+SPECIAL = {END_MARK: 50256}
+#: White space in a row beyond which the splitting pattern would run out of stack.
+LONG_BLANK = 2_048
+_BLANKS = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{%d,}" % LONG_BLANK)
 _encodings: dict = {}
 
 
@@ -42,6 +48,34 @@ def encoding(path: str):
     return _encodings[path]
 
 
+def ordinary_ids(path: str, text: str) -> list[int]:
+    """Ids of a text of any shape without special tokens.
+
+    The pattern takes a run of white space but its last character as one piece (at the end of a text all of
+    it); runs of LONG_BLANK are cut out that way beforehand, so the ids are the same.
+    """
+    own = encoding(path)
+    if len(text) < LONG_BLANK:
+        return own.encode_ordinary(text)
+    ids, at = [], 0
+    for run in _BLANKS.finditer(text):
+        end = run.end() - (run.end() < len(text))
+        ids += own.encode_ordinary(text[at : run.start()])
+        ids += own._encode_single_piece(text[run.start() : end])
+        at = end
+    return ids + own.encode_ordinary(text[at:])
+
+
+def ids_of(path: str, text: str) -> list[int]:
+    """Ids of a text in which the end mark is a special token."""
+    parts = text.split(END_MARK)
+    ids = ordinary_ids(path, parts[0])
+    for part in parts[1:]:
+        ids.append(SPECIAL[END_MARK])
+        ids += ordinary_ids(path, part)
+    return ids
+
+
 def ranks_path(name: str = "byte_bpe_50k.tiktoken") -> str:
     """The ranks of the same vocabulary as byte_bpe_50k.json; ids are equal, encoding is five times faster."""
     import public_tokenizers
@@ -63,11 +97,10 @@ def token_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPAC
     path = path or ranks_path()
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode_one = encoding(path).encode
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                ids = encode_one(text, allowed_special="all")
+                ids = ids_of(path, text)
                 ids.append(0)
                 raw = np.array(ids, dtype="<u4").tobytes()
                 rows += [(doc_id, k, s, n, zlib.crc32(raw[4 * s : 4 * (s + n)])) for k, (s, n) in enumerate(cut(len(ids), capacity))]
