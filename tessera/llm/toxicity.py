@@ -1,8 +1,8 @@
 """Toxicity: gradient-boosted trees over dense features, with isotonic calibration.
 
 Two lexicons are counted from labelled training rows: whole words and word beginnings whose share of toxic
-documents stands out. A second part of the rows, which the lexicons have not seen, trains the trees. The
-features of a text are densities of lexicon words, their nearness to second-person words, capitals,
+documents stands out. A second part of the rows, which the lexicons have not seen, trains the trees; the
+calibration is fitted on the scores that each half of that part gets from trees of the other half. The features of a text are densities of lexicon words, their nearness to second-person words, capitals,
 punctuation and obfuscation rates. Only the text is an input of a score.
 """
 
@@ -29,6 +29,8 @@ SAMPLE_ROWS = 16_000
 #: Terms of the learned lexicons at most, the most telling first.
 LEXICON_TERMS = 4_000
 MIN_TOXIC, MIN_Z = 3, 3.0
+#: Tasks that read the bounded sample in every round of the trees.
+TREE_TASKS = 8
 PREFIXES = (4, 5)
 THRESHOLD = 0.7
 
@@ -45,7 +47,7 @@ LOOKALIKES = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7
 
 NEAR = 5
 WORD = re.compile(r"\w+")
-MIXED = re.compile(r"[^\W\d_]+(?:[0-9@$!*._\-]+[^\W\d_]+)+")
+MIXED = re.compile(r"(?<![^\W\d_])[^\W\d_]++(?:[0-9@$!*._\-]++[^\W\d_]++)++")  # begins where letters begin: linear
 SPELLED = re.compile(r"\b\w(?:[ .\-]\w){3,}\b")
 UPPER = re.compile(r"[A-ZÀ-ÖØ-Þ]")
 MARKS = re.compile(r"[^\w\s]")
@@ -138,6 +140,10 @@ def lexicons(rows: DataFrame, limit: int = LEXICON_TERMS) -> tuple[dict[str, flo
     return words, {r["term"][:-1]: r["odds"] for r in best if r["term"][-1] == "*"}
 
 
+def _trees() -> GBTClassifier:
+    return GBTClassifier(labelCol="toxic", featuresCol="features", maxIter=12, maxDepth=3, stepSize=0.3, minInstancesPerNode=2, seed=7)
+
+
 class Model:
     """Lexicons, trees and calibration; apply() scores a DataFrame of texts."""
 
@@ -145,9 +151,9 @@ class Model:
         self.words, self.stems, self.trees, self.isotonic, self.base = words, stems, trees, isotonic, base
         self.assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
 
-    def margin(self, rows: DataFrame) -> DataFrame:
+    def margin(self, rows: DataFrame, trees=None) -> DataFrame:
         """rows, which hold the features, with `raw`, the trees' probability."""
-        out = self.trees.transform(self.assembler.transform(rows))
+        out = (trees or self.trees).transform(self.assembler.transform(rows))
         return out.withColumn("raw", vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction")
 
     def apply(self, docs: DataFrame, *keep: str) -> DataFrame:
@@ -176,16 +182,20 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, us
     words, stems = lexicons(rows.where(half == 0))
     total = rows.agg(F.sum("toxic").alias("t"), F.count(F.lit(1)).alias("n")).first()
     base = ((total["t"] or 0) + 0.5) / (total["n"] + 1.0)
-    featured = materialize(with_features(rows.withColumn("part", half), words, stems, "toxic", "part").coalesce(4), "features")
-    classes = featured.where("part = 1").groupBy("toxic").count().count()
+    featured = materialize(with_features(rows.withColumn("part", half), words, stems, "doc_id", "toxic", "part"), "features")
     model = Model(words, stems, base=base)
-    if classes < 2:
+    grown = model.assembler.transform(featured.where("part = 1")).withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(13)), F.lit(2))).coalesce(TREE_TASKS)
+    held = {(r["fold"], r["toxic"]): r["count"] for r in grown.groupBy("fold", "toxic").count().collect()}
+    if len({y for _, y in held}) < 2:
         return model
-    vectors = model.assembler.transform(featured)
-    gbt = GBTClassifier(labelCol="toxic", featuresCol="features", maxIter=12, maxDepth=3, stepSize=0.3, minInstancesPerNode=2, seed=7)
-    model.trees = gbt.fit(vectors.where("part = 1"))
-    scored = model.margin(featured).select(F.col("toxic").cast("double").alias("toxic"), "raw")
-    model.isotonic = IsotonicRegression(labelCol="toxic", featuresCol="raw").fit(scored)
+    model.trees = _trees().fit(grown)
+    if len(held) == 4:  # each fold is scored by the trees of the other
+        folds = [model.margin(grown.where(F.col("fold") == k).drop("features"), _trees().fit(grown.where(F.col("fold") != k))) for k in (0, 1)]
+        fresh = folds[0].unionByName(folds[1])
+    else:  # a fold without one of the classes: too few labels to hold any out
+        fresh = model.margin(grown.drop("features"))
+    steps = fresh.groupBy("raw").agg(F.avg("toxic").alias("toxic"), F.count(F.lit(1)).cast("double").alias("rows"))
+    model.isotonic = IsotonicRegression(labelCol="toxic", featuresCol="raw", weightCol="rows").fit(steps)
     return model
 
 
@@ -193,7 +203,8 @@ def score(docs: DataFrame, labels: DataFrame, use: Column | None = None, thresho
     """doc_id, score, predicted of every row of docs.
 
     A null text is an empty one and is scored like any text; repeated rows get a row each; a null doc_id is
-    kept; without labels of both classes, fixed insults alone order the texts; an empty table gives no rows.
+    kept; without labels of both classes, fixed insults alone order the texts; an empty table gives no rows;
+    very long texts and words take time in proportion to their length.
     """
     model = train(docs, labels, use=use)
     return model.apply(documents(docs), "doc_id").withColumn("predicted", (F.col("score") >= threshold).cast("int"))
