@@ -1,16 +1,20 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped into lines, one for each block of the page; containers that hold no article (menus,
-forms, adverts, reader comments, ...) leave no line. The text lengths are summed over sliding windows of
-lines; the main text lies between the points where that sum surges and where it dives to nothing. Link text
-counts for nothing, and a line inside <article> or <main> counts as long.
+Markup is stripped into lines, one for each block of the page; elements that hold no article (nav, form,
+footer, ...) and what is not shown leave no line. The text lengths are summed over sliding windows of
+lines; the main text lies between the points where that sum surges and where it dives. Short link text
+counts for nothing, and a line inside <article> or <main> counts as long unless most text is elsewhere. Class
+and id names are hints: a container that they call a sidebar, advert or the like goes, but not if it holds
+the page's heading, an article or most of the text.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -20,9 +24,11 @@ from pyspark.sql import functions as F
 WINDOW = 3
 SURGE = 80
 
+_ATTRIBUTES = r"(?:\"[^\"]*\"|'[^']*'|[^'\"<>])*+"
+#: No part of it looks past the next < outside quotes, so a page takes time in proportion to its length.
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|iframe|svg|math|object|select)\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?][^>]*>",
+    rf"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|iframe|svg|math|object|select)\b{_ATTRIBUTES}>.*?(?:</\1\s*>|\Z)"
+    rf"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)({_ATTRIBUTES}|[^<>]*+)>|<[!?][^<>]*+>",
     re.DOTALL | re.IGNORECASE,
 )
 ATTRIBUTE = re.compile(r"""([a-zA-Z:-]+)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
@@ -46,13 +52,46 @@ NOT_ARTICLE = frozenset(
 )
 #: Roles of such containers.
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
+#: Words that only say where or what kind of box the word beside them names.
+BESIDE = frozenset(
+    "area bar block body bottom box btn button buttons container content footer form global group header holder icons inner item items left link links list main outer "
+    "page panel post posts primary region right row secondary section site thread top wrap wrapper".split()
+)
+#: Words of reader comments, which may well be longer than the article.
+COMMENTS = frozenset("comment comments commentlist disqus replies reply respond".split())
 #: Elements whose class and id are looked at.
 NAMED = BLOCKS | {"span", "a", "td", "th"}
-KEPT_NAMES = frozenset("html body article main".split())
+KEPT_NAMES = frozenset("html body main".split())
 SPLIT = re.compile(r"[^a-zA-Z0-9]+|(?<=[a-z])(?=[A-Z])")
+HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
+#: A named container with more than this share of the page's text is a wrapper of the article.
+WRAPPER = 0.5
+#: Characters from which on the text of a link counts like any other.
+LONG_LINK = 60
+#: The article of a page is what stands in <article> or <main>, unless other text is this many times longer.
+OUTSIDE = 3
+
+
+@dataclass
+class Box:
+    """A container whose class or id names something other than the article; `holds` an h1 or an article."""
+
+    parent: int
+    comments: bool
+    plain: int = 0
+    holds: bool = False
+
+
+@dataclass
+class Line:
+    text: str
+    plain: int
+    main: bool
+    box: int
 
 
 def _dropped(name: str, attributes: str, in_main: bool) -> bool:
+    """Whether the element itself says that it is no article text, or is not shown."""
     if name in DROPPED or (name == "header" and not in_main):
         return True
     if not attributes.strip() or name not in NAMED or name in KEPT_NAMES:
@@ -61,42 +100,65 @@ def _dropped(name: str, attributes: str, in_main: bool) -> bool:
         key, value = key.lower(), a or b or c
         if key == "hidden" or (key == "aria-hidden" and value.lower() == "true") or (key == "role" and value.lower() in ROLES):
             return True
-        if key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.IGNORECASE):
+        if key == "style" and HIDDEN.search(value):
             return True
-        if key in ("class", "id") and any(w.lower() in NOT_ARTICLE for w in SPLIT.split(value)):
-            return not (in_main and name == "header")
     return False
 
 
-def lines(page: str) -> list[tuple[str, int, bool]]:
-    """(text, characters outside links, inside article or main) of the page's blocks, in order."""
-    out: list[tuple[str, int, bool]] = []
+def _named(name: str, attributes: str) -> frozenset[str] | None:
+    """The words of a class or id that is wholly made of NOT_ARTICLE words and words BESIDE them, if there is one."""
+    if not attributes.strip() or name not in NAMED or name in KEPT_NAMES:
+        return None
+    for key, a, b, c in ATTRIBUTE.findall(attributes):
+        if key.lower() in ("class", "id"):
+            for token in (a or b or c).split():
+                words = frozenset(w.lower() for w in SPLIT.split(token) if w and not w.isdigit())
+                if words & NOT_ARTICLE and words <= NOT_ARTICLE | BESIDE:
+                    return words
+    return None
+
+
+def lines(page: str) -> tuple[list[Line], list[Box]]:
+    """The page's blocks in order, and the named containers they stand in (Line.box, -1: none)."""
+    out: list[Line] = []
+    boxes: list[Box] = []
     parts: list[str] = []
-    linked = 0
-    stack: list[tuple[str, bool]] = []
-    drops = mains = links = 0
+    stack: list[tuple[str, bool, int]] = []
+    opened: Counter[str] = Counter()
+    linked = drops = mains = links = link_size = 0
+    inside = -1
 
     def block() -> None:
         nonlocal linked
         text = " ".join(entities.unescape("".join(parts)).split())
         if text:
-            out.append((text, max(0, len(text) - linked), mains > 0))
+            plain = max(0, len(text) - linked)
+            out.append(Line(text, plain, mains > 0, inside))
+            if inside >= 0:
+                boxes[inside].plain += plain
         parts.clear()
         linked = 0
 
     def leave() -> None:
-        nonlocal drops, mains, links
-        name, drop = stack.pop()
+        nonlocal drops, mains, links, inside
+        name, drop, before = stack.pop()
+        opened[name] -= 1
         drops -= drop
         mains -= name in MAIN
         links -= name == "a"
+        inside = before
 
     def add(text: str) -> None:
-        nonlocal linked
+        nonlocal linked, link_size
         if text and not drops:
             parts.append(text)
             if links:
-                linked += len(" ".join(text.split()))
+                size = len(" ".join(text.split()))
+                if link_size + size < LONG_LINK:
+                    linked += size
+                elif link_size < LONG_LINK:
+                    linked = max(0, linked - link_size)
+                link_size += size
 
     at = 0
     for m in TOKEN.finditer(page):
@@ -108,7 +170,7 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
         if name in BLOCKS:
             block()
         if m[2]:
-            if any(x == name for x, _ in stack):
+            if opened[name]:
                 while stack[-1][0] != name:
                     leave()
                 leave()
@@ -116,42 +178,82 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
             if name == "br":
                 add(" ")
         elif not m[4].endswith("/") or name in BLOCKS:
-            if name == "body":
-                while stack and stack[-1][0] == "head":
+            if name == "body" and opened["head"]:
+                while opened["head"]:
                     leave()
             if name in BLOCKS:
                 inner = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] in BLOCKS), None)
                 if inner is not None and (stack[inner][0] == "p" or (name == stack[inner][0] and name in ("li", "dd", "dt", "tr"))):
                     while len(stack) > inner:
                         leave()
-            drop = _dropped(name, m[4], mains > 0)
-            stack.append((name, drop))
+            drop, words = _dropped(name, m[4], mains > 0), _named(name, m[4])
+            stack.append((name, drop, inside))
+            if words and not (name == "header" and mains):
+                boxes.append(Box(inside, bool(words & COMMENTS)))
+                inside = len(boxes) - 1
+            elif inside >= 0 and not drop and (name in MAIN or name == "h1"):
+                boxes[inside].holds = True
+            opened[name] += 1
             drops += drop
-            mains += name in MAIN
+            mains += name in MAIN and not words
             links += name == "a"
+            if name == "a":
+                link_size = 0
             if name in ("td", "th"):
                 add(" ")
     add(page[at:])
     block()
-    return out
+    return out, boxes
+
+
+def _without_boxes(found: list[Line], boxes: list[Box]) -> list[Line]:
+    """The lines outside named containers, and inside those that wrap the article: they hold it, or most of the text."""
+    for box in reversed(boxes):  # a container comes after the one around it
+        if box.parent >= 0:
+            boxes[box.parent].plain += box.plain
+            boxes[box.parent].holds |= box.holds
+    total = sum(line.plain for line in found)
+    gone: list[bool] = []
+    for box in boxes:
+        wraps = box.holds or (not box.comments and box.plain > WRAPPER * total)
+        gone.append((box.parent >= 0 and gone[box.parent]) or not wraps)
+    return [line for line in found if line.box < 0 or not gone[line.box]]
+
+
+def _between(size: list[int], window: int, surge: int) -> list[bool]:
+    """Whether each line lies between surge and dive: lines whose window holds enough text, and the text up to them.
+
+    From there the span reaches over neighbours with text of their own; lines without are never at its ends.
+    """
+    side = window // 2
+    total = [sum(size[max(0, i - side) : i + side + 1]) for i in range(len(size))]
+    need = min(surge, max(total, default=0) // 4)
+    kept = [t > 0 and t >= need for t in total]
+    for step in (1, -1):
+        order = range(len(size))[::step]
+        on = False
+        for i in order:  # what follows a span, up to a line without text
+            on = size[i] > 0 and (kept[i] or on)
+            kept[i] = kept[i] or on
+        edge = True
+        for i in order:
+            edge = (edge or not kept[i]) and not (kept[i] and size[i])
+            kept[i] = kept[i] and not edge
+    return kept
 
 
 def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
     """The lines between surge and dive points, joined by a line feed; empty if there are none."""
-    found = lines(page or "")
-    size = [max(n, surge) if inside else n for _, n, inside in found]
-    if any(inside for *_, inside in found):
-        size = [n if inside else 0 for n, (*_, inside) in zip(size, found, strict=True)]
-    total = [sum(size[i : i + window]) for i in range(len(size))]
-    kept, on = [], False
-    for i, (text, *_) in enumerate(found):
-        if not on and total[i] >= surge and size[i]:
-            on = True  # surge
-        elif on and not size[i] or total[i] < surge and not (on and i and total[i - 1] >= surge and size[i]):
-            on = False  # dive
-        if on:
-            kept.append(text)
-    return "\n".join(kept)
+    every, boxes = lines(page or "")
+    found = _without_boxes(every, boxes)
+    if not any(line.plain for line in found):
+        found = every  # names are hints: they never leave a page without its text
+    within = sum(line.plain for line in found if line.main)
+    if within and OUTSIDE * within >= sum(line.plain for line in found if not line.main):
+        size = [max(line.plain, surge) if line.main else 0 for line in found]
+    else:
+        size = [line.plain for line in found]
+    return "\n".join(line.text for line, kept in zip(found, _between(size, window, surge), strict=True) if kept)
 
 
 def extract(pages: DataFrame) -> DataFrame:
