@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.functions.shared import materialize
-from tessera.llm import decontamination, nearcopies, packing, repeats, toxicity
+from tessera.llm import decontamination, packing, repeats, simhash, toxicity
 from tessera.llm.inputs import table
 
 
@@ -16,7 +16,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of each group linked by 5-word Jaccard similarity >= 0.8."""
-    return nearcopies.keep_one(docs)
+    return simhash.keep_one_similar(docs)
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
