@@ -2,8 +2,11 @@
 
 import random
 
+import numpy as np
+
 import corpus_pipeline
 from conftest import DATA
+from tessera.llm import simhash
 
 
 def shingles(text):
@@ -51,3 +54,29 @@ def test_odd_rows(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(str(r["doc_id"]) for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()) == ["5", "5", "None"]
     assert corpus_pipeline.drop_near_copies(spark, docs.where("doc_id = -1"), "").count() == 0
+
+
+def test_anchors_cover_their_balls():
+    rng = np.random.default_rng(1)
+    bits = rng.integers(0, 2, (40, simhash.SLICES * simhash.SLICE_BITS)).astype(np.uint8)
+    anchors = simhash.anchors_of(bits)
+    assert len({a >> simhash.SLICE_BITS for a in anchors[0].tolist()}) == simhash.SLICES
+    value = (anchors[:, :, None] >> np.arange(simhash.SLICE_BITS) & 1).reshape(bits.shape).astype(np.uint8)
+    assert (simhash.anchors_of(value) == anchors).all()  # an anchor is its own
+    gap = (value != bits).reshape(40, simhash.SLICES, -1).sum(2)
+    assert gap.max() == 1  # nothing is further than the covering radius
+
+
+def test_recall_of_cut_and_inserted_texts(spark):
+    rng = random.Random(8)
+    texts = [r["text"] for r in spark.read.parquet(f"{DATA}/sf0.01/documents.parquet").where("length(text) > 600").orderBy("doc_id").limit(150).collect()]
+    rows = []
+    for k, text in enumerate(texts):
+        words = text.split()
+        n = max(1, len(words) * rng.randrange(2, 17) // 100)
+        at = rng.randrange(len(words) - n)
+        rows += [(2 * k, text), (2 * k + 1, " ".join(words[:at] + words[at + n :] if k % 2 else words[:at] + [f"in{k}x{j}" for j in range(n)] + words[at:]))]
+    similar = [k for k in range(len(texts)) if len(shingles(rows[2 * k][1]) & shingles(rows[2 * k + 1][1])) >= 0.8 * len(shingles(rows[2 * k][1]) | shingles(rows[2 * k + 1][1]))]
+    left = {r["doc_id"] for r in simhash.keep_one_similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found = sum(2 * k + 1 not in left for k in similar)
+    assert len(similar) > 100 and found >= 0.9 * len(similar)
