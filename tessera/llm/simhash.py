@@ -12,10 +12,9 @@ leaves a spanning forest of its links, never all pairs.
 
 similar_components() serves a similarity of texts instead of a distance of fingerprints. Texts that share 0.8 of
 their 5-word shingles differ in far more than 3 of 64 bits, so it covers a wider fingerprint of SLICES parts of
-24 bits, over the distinct words of a text. The anchors of a part are the words of the perfect [15, 11] Hamming
-code times nine free bits; a part is replicated to all anchors within the covering radius, which is one. Texts
-that meet at an anchor are candidates; the distance of the whole fingerprints sorts out chance meetings, and the
-exact similarity of the shingle sets decides. A group is joined by stars first, so it never leaves all pairs.
+32 bits, over the distinct words of a text, with the same code: a part is replicated to every anchor within the
+covering radius, and as the code is perfect that is one anchor. Texts that meet at an anchor are candidates, and
+the exact similarity of their shingle sets decides. A group is joined by stars first, so it leaves no all pairs.
 """
 
 from __future__ import annotations
@@ -43,15 +42,14 @@ BLOCK = 256
 BROADCAST_ANCHORS = 50_000
 _POSITIONS = np.arange(1, 32, dtype=np.uint64)
 
-#: For similar texts: words of a shingle, least Jaccard similarity, parts of the wide fingerprint and their bits.
+#: For similar texts: words of a shingle, least Jaccard similarity, parts of 32 bits of the wide fingerprint.
 SIMILAR_WORDS, SIMILAR = 5, 0.8
-SLICES, SLICE_BITS, CODE_BITS = 64, 24, 15
-#: Share of the wide fingerprint's bits in which texts of that similarity differ at most; about 0.06 to 0.12 is usual.
-FAR = 0.25
-_WIDE = SLICES * SLICE_BITS // 64
-_STREAMS = (np.arange(_WIDE, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[:, None]
+SLICES = 96
+_STREAMS = (np.arange(SLICES // 2, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[:, None]
 #: Texts whose sketches a task holds at once.
 BATCH = 250
+#: Rows of ids that may be broadcast; beyond, an ordinary join finds them.
+BROADCAST_IDS = 500_000
 
 
 def fingerprint(text: str, words: int = SHINGLE_WORDS) -> int:
@@ -252,87 +250,119 @@ def shingle_set(text: str, words: int = SIMILAR_WORDS) -> np.ndarray:
 
 
 def wide_fingerprint(text: str) -> np.ndarray:
-    """SLICES x SLICE_BITS bits; each is set if it is set in over half of the hashes of the distinct words."""
+    """SLICES numbers of 32 bits; a bit is set if it is set in over half of the hashes of the distinct words."""
     tokens = set(text.encode().lower().split())
     hashes = np.frombuffer(b"".join(map(xxhash.xxh64_digest, sorted(tokens), repeat(SEED))), ">u8").astype(np.uint64)
-    votes = np.zeros(64 * _WIDE, np.int64)
+    votes = np.zeros(32 * SLICES, np.int64)
     for at in range(0, len(hashes), 1 << 10):
         streams = mix(hashes[at : at + (1 << 10)] + _STREAMS)
         votes += np.unpackbits(np.ascontiguousarray(streams.T).view(np.uint8), axis=1).sum(0, dtype=np.int32)
-    return (2 * votes > len(hashes)).astype(np.uint8)
+    return np.packbits(2 * votes > len(hashes)).view(np.uint32).astype(np.uint64)
 
 
-def anchors_of(bits: np.ndarray) -> np.ndarray:
+def anchors_of(slices: np.ndarray) -> np.ndarray:
     """The one anchor within radius 1 of each slice of wide fingerprints (rows), numbered apart for each slice."""
-    parts = bits.reshape(len(bits), SLICES, SLICE_BITS).copy()
-    syndrome = np.bitwise_xor.reduce(parts[:, :, :CODE_BITS].astype(np.int64) * np.arange(1, CODE_BITS + 1), axis=2)
-    row, part = np.nonzero(syndrome)
-    parts[row, part, syndrome[row, part] - 1] ^= 1
-    value = parts.astype(np.int64) @ (1 << np.arange(SLICE_BITS, dtype=np.int64))
-    return value | np.arange(SLICES, dtype=np.int64) << SLICE_BITS
+    home = home_anchor(slices.ravel()).reshape(slices.shape)
+    return (home | np.arange(slices.shape[1], dtype=np.uint64) << np.uint64(32)).view(np.int64)
+
+
+def _node(hashes: np.ndarray) -> int:
+    """Names a set of shingles."""
+    return int(np.uint64(xxhash.xxh64_intdigest(hashes.tobytes(), seed=SEED)).view(np.int64))
 
 
 def sketches(docs: DataFrame, words: int = SIMILAR_WORDS) -> DataFrame:
-    """doc_id, node (names the set of shingles), n (its size), wide, anchors, hashes (the set) of every whole text."""
+    """doc_id, node (names the set of shingles), n (its size), wide (the fingerprint) of every whole text."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in (b.iloc[at : at + BATCH] for b in batches for at in range(0, len(b), BATCH)):
             sets = [shingle_set(t, words) for t in batch["text"]]
-            node = np.array([xxhash.xxh64_intdigest(s.tobytes(), seed=SEED) for s in sets], np.uint64).view(np.int64)
-            bits = np.stack([wide_fingerprint(t) for t in batch["text"]])
-            wide = np.packbits(bits, axis=1).view(np.int64)
-            anchors = [a if len(s) else a[:0] for a, s in zip(anchors_of(bits), sets, strict=True)]
-            columns = {"doc_id": batch["doc_id"].astype("Int64"), "node": node, "n": [len(s) for s in sets], "wide": list(wide), "anchors": anchors, "hashes": sets}
+            wide = [wide_fingerprint(t).astype(np.uint32).tobytes() for t in batch["text"]]
+            columns = {"doc_id": batch["doc_id"].astype("Int64"), "node": [_node(s) for s in sets], "n": [len(s) for s in sets], "wide": wide}
             yield pd.DataFrame(columns, index=batch.index)
 
-    return documents(docs).mapInPandas(run, "doc_id long, node long, n long, wide array<long>, anchors array<long>, hashes array<long>")
+    return documents(docs).mapInPandas(run, "doc_id long, node long, n long, wide binary")
+
+
+def _anchored_nodes(nodes: DataFrame) -> DataFrame:
+    """anchor, node, n: a row for each slice of every node that has shingles."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in (b.iloc[at : at + BATCH] for b in batches for at in range(0, len(b), BATCH)):
+            slices = np.frombuffer(b"".join(batch["wide"]), np.uint32).reshape(-1, SLICES).astype(np.uint64)
+            repeated = batch[["node", "n"]].loc[batch.index.repeat(SLICES)].reset_index(drop=True)
+            yield repeated.assign(anchor=anchors_of(slices).ravel())[["anchor", "node", "n"]]
+
+    return nodes.where("n > 0").select("node", "n", "wide").mapInPandas(run, "anchor long, node long, n long")
+
+
+def _few(ids: DataFrame) -> DataFrame:
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
 
-def _similar(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
+def _sets(docs: DataFrame, rows: DataFrame, named: DataFrame, words: int) -> DataFrame:
+    """node, hashes: the sets of the named nodes, made again from one text each."""
+    named = _few(materialize(named.distinct(), "named"))
+    ids = materialize(rows.join(named, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct(), "ids")
+    texts = documents(docs)
+    used = texts.join(_few(ids), "doc_id", "left_semi").unionByName(texts.where("doc_id is null"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in (b.iloc[at : at + BATCH] for b in batches for at in range(0, len(b), BATCH)):
+            sets = [shingle_set(t, words) for t in batch["text"]]
+            yield pd.DataFrame({"node": [_node(s) for s in sets], "hashes": sets})
+
+    return materialize(used.mapInPandas(run, "node long, hashes array<long>").join(named, "node", "left_semi").dropDuplicates(["node"]), "sets")
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
     """src, dst: the pairs whose sets are similar enough, exactly."""
-    prints = lambda name, to: nodes.select(F.col("node").alias(name), F.col("wide").alias(to))
-    bits = F.aggregate(F.zip_with("a", "b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    close = pairs.distinct().join(prints("src", "a"), "src").join(prints("dst", "b"), "dst").where(bits <= int(FAR * SLICES * SLICE_BITS)).select("src", "dst")
-    asked = materialize(close, "pairs")
-    named = asked.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
-    used = materialize(sets.join(named, "node", "left_semi").dropDuplicates(["node"]), "sets")
-    left = used.select(F.col("node").alias("src"), F.col("hashes").alias("a"))
-    right = used.select(F.col("node").alias("dst"), F.col("hashes").alias("b"))
+    left = sets.select(F.col("node").alias("src"), F.col("hashes").alias("a"))
+    right = sets.select(F.col("node").alias("dst"), F.col("hashes").alias("b"))
     common = F.size(F.array_intersect("a", "b"))
     enough = common >= F.lit(similar) * (F.size("a") + F.size("b") - common) - 1e-9
-    return materialize(asked.join(left, "src").join(right, "dst").where(enough).select("src", "dst"), "links")
+    return materialize(pairs.distinct().join(left, "src").join(right, "dst").where(enough).select("src", "dst"), "links")
+
+
+def _parts(members: DataFrame, links: DataFrame) -> DataFrame:
+    """members with `part`, the component of the links so far, where an anchor holds more than one."""
+    joined = connected_components(links).withColumnRenamed("id", "node")
+    parted = materialize(members.join(joined, "node", "left").select("anchor", "node", "n", F.coalesce("component", "node").alias("part")), "parts")
+    open_ = parted.groupBy("anchor").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.min(F.struct("node", "n", "part")).alias("least")).where("low <> high")
+    return materialize(parted.join(open_.select("anchor", "least"), "anchor"), "open")
 
 
 def similar_components(docs: DataFrame, words: int = SIMILAR_WORDS, similar: float = SIMILAR) -> DataFrame:
     """Per document: doc_id, component_id (smallest doc_id that links of similar texts reach; iterative).
 
-    First each text at an anchor is compared with the smallest one there; what that joins needs no further
-    comparison. Then the pairs of each anchor that are in different components still are compared, all of them.
+    First each text is compared with one smaller text that it meets, then at each anchor whose texts are not
+    joined by that with the smallest text there. Then the pairs of each anchor that are in different components
+    still are compared, all of them.
 
     A null text is an empty one, and texts without words are copies of each other. Rows that repeat a doc_id
     get a row each. A null doc_id is never a component's name unless it is alone. An empty table gives no
     rows; other columns are ignored.
     """
     rows = materialize(sketches(docs, words), "sketches")
-    nodes = materialize(rows.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("wide").alias("wide"), F.first("anchors").alias("anchors")), "nodes")
-    sets = rows.select("node", "hashes")
-    at = nodes.select("node", "n", F.explode("anchors").alias("anchor"))
+    nodes = materialize(rows.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("wide").alias("wide")), "nodes")
+    at = materialize(_anchored_nodes(nodes), "anchors")
     shared = at.groupBy("anchor").agg(F.min(F.struct("node", "n")).alias("least"), F.count(F.lit(1)).alias("members")).where("members > 1")
-    members = materialize(at.join(shared, "anchor"), "members")
+    members = materialize(at.join(shared.select("anchor", "least"), "anchor"), "members")
     near = lambda a, b: F.least(a, b) >= F.greatest(a, b) * F.lit(similar) - 1e-9  # noqa: E731  (sizes that can be similar)
-    stars = members.where("node <> least.node").where(near(F.col("n"), F.col("least.n")))
-    links = _similar(stars.select(F.col("least.node").alias("src"), F.col("node").alias("dst")), nodes, sets, similar)
-    joined = materialize(connected_components(links), "joined")
-    parted = members.where("members > 2").join(joined.withColumnRenamed("id", "node"), "node", "left").select("anchor", "node", "n", F.coalesce("component", "node").alias("part"))
-    parted = materialize(parted, "parts")
-    sizes = parted.groupBy("anchor", "part").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    sets = _sets(docs, rows, members.select("node"), words)
+    stars = members.where("node <> least.node").where(near(F.col("n"), F.col("least.n"))).groupBy("node").agg(F.min("least.node").alias("src"))
+    links = _similar(stars.select("src", F.col("node").alias("dst")), sets, similar)
+    left = _parts(members, links)
+    stars = left.where("part <> least.part").where(near(F.col("n"), F.col("least.n"))).select(F.col("least.node").alias("src"), F.col("node").alias("dst"))
+    links = links.unionByName(_similar(stars, sets, similar))
+    left = _parts(left, links)
+    sizes = left.groupBy("anchor", "part").agg(F.min("n").alias("low"), F.max("n").alias("high"))
     other = sizes.select("anchor", F.col("part").alias("with"), F.col("low").alias("other_low"), F.col("high").alias("other_high"))
     apart = sizes.join(other, "anchor").where(F.col("part") < F.col("with")).where((F.col("high") >= F.col("other_low") * similar - 1e-9) & (F.col("other_high") >= F.col("low") * similar - 1e-9))
-    left = parted.select("anchor", "part", F.col("node").alias("src"), "n")
-    right = parted.select("anchor", F.col("part").alias("with"), F.col("node").alias("dst"), F.col("n").alias("m"))
-    rest = apart.select("anchor", "part", "with").join(left, ["anchor", "part"]).join(right, ["anchor", "with"]).where(near(F.col("n"), F.col("m")))
-    rest = rest.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
-    found = connected_components(links.unionByName(_similar(rest, nodes, sets, similar)))
+    one = left.select("anchor", "part", F.col("node").alias("a"), "n")
+    two = left.select("anchor", F.col("part").alias("with"), F.col("node").alias("b"), F.col("n").alias("m"))
+    rest = apart.select("anchor", "part", "with").join(one, ["anchor", "part"]).join(two, ["anchor", "with"]).where(near(F.col("n"), F.col("m")))
+    found = connected_components(links.unionByName(_similar(rest.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")), sets, similar)))
     named = nodes.join(found, nodes["node"] == found["id"]).groupBy("component").agg(F.min("first").alias("smallest"))
     of = found.join(named, "component").select(F.col("id").alias("node"), "smallest")
     label = materialize(nodes.join(of, "node", "left").select("node", F.coalesce("smallest", "first").alias("component_id")), "labels")

@@ -58,13 +58,12 @@ def test_odd_rows(spark):
 
 def test_anchors_cover_their_balls():
     rng = np.random.default_rng(1)
-    bits = rng.integers(0, 2, (40, simhash.SLICES * simhash.SLICE_BITS)).astype(np.uint8)
-    anchors = simhash.anchors_of(bits)
-    assert len({a >> simhash.SLICE_BITS for a in anchors[0].tolist()}) == simhash.SLICES
-    value = (anchors[:, :, None] >> np.arange(simhash.SLICE_BITS) & 1).reshape(bits.shape).astype(np.uint8)
-    assert (simhash.anchors_of(value) == anchors).all()  # an anchor is its own
-    gap = (value != bits).reshape(40, simhash.SLICES, -1).sum(2)
-    assert gap.max() == 1  # nothing is further than the covering radius
+    slices = rng.integers(0, 1 << 32, (40, simhash.SLICES), dtype=np.uint64)
+    anchors = simhash.anchors_of(slices)
+    assert [a >> 32 for a in anchors[0].tolist()] == list(range(simhash.SLICES))
+    words = (anchors & 0xFFFFFFFF).astype(np.uint64)
+    assert (simhash.anchors_of(words) == anchors).all()  # an anchor is its own
+    assert np.bitwise_count(words ^ slices).max() == 1  # nothing is further than the covering radius
 
 
 def test_recall_of_cut_and_inserted_texts(spark):
