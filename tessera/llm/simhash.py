@@ -25,7 +25,7 @@ from itertools import repeat
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.shared import materialize
@@ -46,6 +46,8 @@ _POSITIONS = np.arange(1, 32, dtype=np.uint64)
 SIMILAR_WORDS, SIMILAR = 5, 0.8
 SLICES = 96
 _STREAMS = (np.arange(SLICES // 2, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[:, None]
+#: Texts at an anchor up to which all their pairs are candidates; beyond, those with a rare shingle in common.
+FEW = 12
 #: Texts whose sketches a task holds at once.
 BATCH = 250
 #: Rows of ids that may be broadcast; beyond, an ordinary join finds them.
@@ -325,11 +327,42 @@ def _similar(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
 
 
 def _parts(members: DataFrame, links: DataFrame) -> DataFrame:
-    """members with `part`, the component of the links so far, where an anchor holds more than one."""
+    """members with `part`, the component of the links so far, where an anchor holds more than one; least, parts of the anchor."""
     joined = connected_components(links).withColumnRenamed("id", "node")
     parted = materialize(members.join(joined, "node", "left").select("anchor", "node", "n", F.coalesce("component", "node").alias("part")), "parts")
-    open_ = parted.groupBy("anchor").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.min(F.struct("node", "n", "part")).alias("least")).where("low <> high")
-    return materialize(parted.join(open_.select("anchor", "least"), "anchor"), "open")
+    open_ = parted.groupBy("anchor").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.min(F.struct("node", "n", "part")).alias("least"), F.count(F.lit(1)).alias("members"))
+    return materialize(parted.join(open_.where("low <> high").select("anchor", "least", "members"), "anchor"), "open")
+
+
+def _near(a: Column, b: Column, similar: float) -> Column:
+    """Whether sets of these sizes can be similar."""
+    return F.least(a, b) >= F.greatest(a, b) * F.lit(similar) - 1e-9
+
+
+def _pairs_by_anchor(few: DataFrame, similar: float) -> DataFrame:
+    """src, dst: all pairs of nodes of different parts at anchors with few members."""
+    one = few.select("anchor", "part", F.col("node").alias("src"), "n")
+    two = few.select("anchor", F.col("part").alias("with"), F.col("node").alias("dst"), F.col("n").alias("m"))
+    return one.join(two, "anchor").where((F.col("src") < F.col("dst")) & (F.col("part") != F.col("with")) & _near(F.col("n"), F.col("m"), similar)).select("src", "dst")
+
+
+def _pairs_by_prefix(many: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
+    """src, dst: the pairs of nodes of different parts that can be similar, for anchors where very many meet.
+
+    Texts with a common passage may all meet at an anchor. If their shingles are put in order of frequency, the
+    rarest first, similar sets share one among the first (1 - similar) of each, and from the places of the first
+    one they share follows how many they can share at most. So the passage itself makes no pairs.
+    """
+    nodes = materialize(many.select("node", "n", "part").distinct(), "crowded")
+    every = sets.join(nodes, "node").select("node", "n", "part", F.explode("hashes").alias("shingle"))
+    often = every.groupBy("shingle").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
+    ranked = every.join(often, "shingle", "left").withColumn("at", F.row_number().over(Window.partitionBy("node").orderBy(F.coalesce("often", F.lit(1)), "shingle")) - 1)
+    first = materialize(ranked.where((F.col("often") > 1) & (F.col("at") <= F.col("n") * (1 - similar) + 1e-9)).select("shingle", "node", "n", "part", "at"), "prefixes")
+    other = first.select("shingle", F.col("node").alias("dst"), F.col("n").alias("m"), F.col("part").alias("with"), F.col("at").alias("place"))
+    most = F.least(F.col("n") - F.col("at"), F.col("m") - F.col("place"))  # true of the first shingle that two share
+    enough = most >= (F.col("n") + F.col("m")) * F.lit(similar / (1 + similar)) - 1e-9
+    kept = (F.col("node") < F.col("dst")) & (F.col("part") != F.col("with")) & _near(F.col("n"), F.col("m"), similar) & enough
+    return first.join(other, "shingle").where(kept).select(F.col("node").alias("src"), "dst")
 
 
 def similar_components(docs: DataFrame, words: int = SIMILAR_WORDS, similar: float = SIMILAR) -> DataFrame:
@@ -337,7 +370,7 @@ def similar_components(docs: DataFrame, words: int = SIMILAR_WORDS, similar: flo
 
     First each text is compared with one smaller text that it meets, then at each anchor whose texts are not
     joined by that with the smallest text there. Then the pairs of each anchor that are in different components
-    still are compared, all of them.
+    still are compared, all of them; where very many meet, all that can be similar by their rarest shingles.
 
     A null text is an empty one, and texts without words are copies of each other. Rows that repeat a doc_id
     get a row each. A null doc_id is never a component's name unless it is alone. An empty table gives no
@@ -346,23 +379,19 @@ def similar_components(docs: DataFrame, words: int = SIMILAR_WORDS, similar: flo
     rows = materialize(sketches(docs, words), "sketches")
     nodes = materialize(rows.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("wide").alias("wide")), "nodes")
     at = materialize(_anchored_nodes(nodes), "anchors")
-    shared = at.groupBy("anchor").agg(F.min(F.struct("node", "n")).alias("least"), F.count(F.lit(1)).alias("members")).where("members > 1")
-    members = materialize(at.join(shared.select("anchor", "least"), "anchor"), "members")
-    near = lambda a, b: F.least(a, b) >= F.greatest(a, b) * F.lit(similar) - 1e-9  # noqa: E731  (sizes that can be similar)
+    shared = materialize(at.groupBy("anchor").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("anchor"), "shared")
+    met = materialize(at.join(_few(shared), "anchor"), "met")
+    members = materialize(met.join(met.groupBy("anchor").agg(F.min(F.struct("node", "n")).alias("least")), "anchor"), "members")
     sets = _sets(docs, rows, members.select("node"), words)
-    stars = members.where("node <> least.node").where(near(F.col("n"), F.col("least.n"))).groupBy("node").agg(F.min("least.node").alias("src"))
+    stars = members.where("node <> least.node").where(_near(F.col("n"), F.col("least.n"), similar)).groupBy("node").agg(F.min("least.node").alias("src"))
     links = _similar(stars.select("src", F.col("node").alias("dst")), sets, similar)
-    left = _parts(members, links)
-    stars = left.where("part <> least.part").where(near(F.col("n"), F.col("least.n"))).select(F.col("least.node").alias("src"), F.col("node").alias("dst"))
+    left = _parts(met, links)
+    stars = left.where("part <> least.part").where(_near(F.col("n"), F.col("least.n"), similar)).select(F.col("least.node").alias("src"), F.col("node").alias("dst"))
     links = links.unionByName(_similar(stars, sets, similar))
-    left = _parts(left, links)
-    sizes = left.groupBy("anchor", "part").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    other = sizes.select("anchor", F.col("part").alias("with"), F.col("low").alias("other_low"), F.col("high").alias("other_high"))
-    apart = sizes.join(other, "anchor").where(F.col("part") < F.col("with")).where((F.col("high") >= F.col("other_low") * similar - 1e-9) & (F.col("other_high") >= F.col("low") * similar - 1e-9))
-    one = left.select("anchor", "part", F.col("node").alias("a"), "n")
-    two = left.select("anchor", F.col("part").alias("with"), F.col("node").alias("b"), F.col("n").alias("m"))
-    rest = apart.select("anchor", "part", "with").join(one, ["anchor", "part"]).join(two, ["anchor", "with"]).where(near(F.col("n"), F.col("m")))
-    found = connected_components(links.unionByName(_similar(rest.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")), sets, similar)))
+    left = _parts(left.select("anchor", "node", "n"), links)
+    few, many = left.where(F.col("members") <= FEW), left.where(F.col("members") > FEW)
+    rest = _pairs_by_anchor(few, similar).unionByName(_pairs_by_prefix(many, sets, similar))
+    found = connected_components(links.unionByName(_similar(rest, sets, similar)))
     named = nodes.join(found, nodes["node"] == found["id"]).groupBy("component").agg(F.min("first").alias("smallest"))
     of = found.join(named, "component").select(F.col("id").alias("node"), "smallest")
     label = materialize(nodes.join(of, "node", "left").select("node", F.coalesce("smallest", "first").alias("component_id")), "labels")

@@ -79,3 +79,15 @@ def test_recall_of_cut_and_inserted_texts(spark):
     left = {r["doc_id"] for r in simhash.keep_one_similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     found = sum(2 * k + 1 not in left for k in similar)
     assert len(similar) > 100 and found >= 0.9 * len(similar)
+
+
+def test_common_passage_in_many_texts(spark, monkeypatch):
+    """Texts that share most of their words without being similar, and similar ones among them."""
+    rng = random.Random(4)
+    passage = [f"p{k}" for k in range(80)]
+    rows = [(k, " ".join([*passage, *(f"own{k}x{j}" for j in range(rng.randrange(5, 30)))])) for k in range(200)]
+    rows += [(1_000 + k, text + f" more{k}") for k, text in rows[:40]]
+    for few in (2, 1_000):
+        monkeypatch.setattr(simhash, "FEW", few)
+        got = {r["doc_id"] for r in simhash.keep_one_similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert got == kept(rows)
