@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+#: Folders of the tables written inside each open temporary_tables().
+_open: list[dict[int, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,4 +31,30 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    if _open:
+        _open[-1][id(table)] = path
+    return table
+
+
+@contextmanager
+def temporary_tables(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables that materialize() writes inside are deleted at the end, but for those given to the function it yields.
+
+    Nothing that is used later may still have to be read from the others.
+    """
+    _open.append({})
+    kept: list[str] = []
+
+    def keep(table: DataFrame) -> DataFrame:
+        kept.append(_open[-1][id(table)])
+        return table
+
+    try:
+        yield keep
+    finally:
+        jvm = spark.sparkContext._jvm
+        for path in _open.pop().values():
+            if path not in kept:
+                folder = jvm.org.apache.hadoop.fs.Path(path)
+                folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)

@@ -1,3 +1,4 @@
+import os
 import random
 
 from pyspark.sql import functions as F
@@ -73,3 +74,13 @@ def test_infeasible_selection_is_empty(spark):
 def test_search_uses_no_cartesian_product(spark):
     plan = registry.QUERIES["c1_search"](spark, f"{DATA}/sf0.001")._jdf.queryExecution().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_temporary_tables_are_deleted_but_for_kept_ones(spark):
+    from tessera.functions.shared import materialize, temporary_tables
+
+    with temporary_tables(spark) as keep:
+        gone = materialize(spark.range(5).toDF("id"), "gone")
+        kept = keep(materialize(gone.where("id > 1"), "kept"))
+    assert kept.count() == 3
+    assert all(not os.path.exists(f.removeprefix("file://")) for f in gone.inputFiles())
