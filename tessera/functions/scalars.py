@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -144,6 +146,25 @@ def normalize_text(text: Any) -> Column:
     return F.lower(F.trim(F.regexp_replace(_c(text), r"[ \t\n\r\f\x0B]+", " ")))
 
 
+#: Characters of a label at most.
+MAX_LABEL = 80
+
+
+def normalize_label(label: Any, limit: int = MAX_LABEL) -> Column:
+    """The trimmed label in composed form; null if it is empty, too long, or holds control or invisible characters.
+
+    "unknown" and "me" are written Unknown and Me, whatever their case.
+    """
+
+    @F.pandas_udf("string")
+    def compose(labels: pd.Series) -> pd.Series:
+        return labels.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
+
+    plain = F.when(~_c(label).rlike(r"\p{C}"), F.regexp_replace(compose(_c(label)), r"(?U)^\s+|\s+$", ""))
+    fits = F.when((F.length(plain) > 0) & (F.length(plain) <= limit), plain)
+    return F.when(F.lower(fits) == "unknown", "Unknown").when(F.lower(fits) == "me", "Me").otherwise(fits)
+
+
 def stable_uniform(*keys: Any) -> Column:
     """A number in [0, 1) that only the keys decide: 13 hex digits of their SHA-256."""
     joined = F.concat_ws("|", *(_c(k).cast("string") for k in keys))

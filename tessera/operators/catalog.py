@@ -160,10 +160,20 @@ def pin_mismatches(assets: DataFrame, source: DataFrame, key: str, columns: list
     return joined.select(key, F.explode(F.array_compact(F.array(F.when(F.col("_found").isNull(), F.lit("missing")), *differ))).alias("field"))
 
 
+def _ranked_cases(cases: DataFrame) -> DataFrame:
+    query = [F.col("query")] if "query" in cases.columns else []
+    pair = Window.partitionBy(F.least("left", "right"), F.greatest("left", "right"), *query).orderBy("id")
+    return cases.withColumn("_rn", F.row_number().over(pair))
+
+
+def rejected_cases(cases: DataFrame) -> DataFrame:
+    """The cases that repeat a pair, whichever way round, of the same query (if there is such a column) and a smaller id."""
+    return _ranked_cases(cases).where("_rn > 1").drop("_rn")
+
+
 def blind_cases(cases: DataFrame, seed: int) -> DataFrame:
-    """Cases with sides swapped by a hash of (seed, id); of equal pairs, whichever way round, the smallest id stays."""
-    pair = Window.partitionBy(F.least("left", "right"), F.greatest("left", "right")).orderBy("id")
-    kept = cases.withColumn("_rn", F.row_number().over(pair)).where("_rn = 1")
+    """Cases with sides swapped by a hash of (seed, id), but for rejected_cases()."""
+    kept = _ranked_cases(cases).where("_rn = 1")
     swapped = F.substring(F.sha2(F.concat_ws("|", F.lit(str(seed)), F.col("id").cast("string")), 256), 1, 1) < "8"
     return kept.select("id", F.when(swapped, F.col("right")).otherwise(F.col("left")).alias("first"), F.when(swapped, F.col("left")).otherwise(F.col("right")).alias("second"), swapped.alias("swapped"))
 

@@ -77,3 +77,13 @@ def import_pairs(pairs: DataFrame, items: DataFrame, events: DataFrame) -> DataF
     good = known(known(pairs.where("preferred_no <> rejected_no"), "preferred_no"), "rejected_no").distinct()
     named = good.withColumn("import_id", canonical_sha256("user_id", "preferred_no", "rejected_no"))
     return named.join(events.select("import_id"), "import_id", "left_anti")
+
+
+def budget_violations(evidence: DataFrame, max_bytes: int = 128 * 1024 * 1024, max_pixels: int = 50_000_000) -> DataFrame:
+    """run_id, rule (bytes or pixels), found: runs whose evidence is over a budget; unknown sizes count as 0.
+
+    evidence: run_id, file_size, width, height.
+    """
+    total = evidence.groupBy("run_id").agg(F.coalesce(F.sum("file_size"), F.lit(0)).alias("bytes"), F.coalesce(F.sum(F.col("width").cast("long") * F.col("height")), F.lit(0)).alias("pixels"))
+    rules = F.array(F.struct(F.lit("bytes").alias("rule"), F.col("bytes").alias("found"), F.lit(max_bytes).alias("most")), F.struct(F.lit("pixels").alias("rule"), F.col("pixels").alias("found"), F.lit(max_pixels).alias("most")))
+    return total.select("run_id", F.explode(rules).alias("r")).where("r.found > r.most").select("run_id", "r.rule", "r.found")

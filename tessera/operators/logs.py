@@ -88,6 +88,23 @@ def usage_report(files: DataFrame, budget: int) -> DataFrame:
     return files.groupBy("category").agg(F.count(F.lit(1)).alias("files"), F.sum("size").alias("bytes")).withColumn("over", F.greatest(F.col("bytes") - budget, F.lit(0).cast("long")))
 
 
+def quota_plan(files: DataFrame, referenced: DataFrame, budget: int) -> DataFrame:
+    """One row: total and orphan bytes, what is over the budget, and what it would be once orphans are deleted.
+
+    files: path, size; referenced: path. Orphans are files that no table refers to. Sizes are added up in two
+    sums, so nothing but numbers leaves the executors; an empty table has a total of 0.
+    """
+    named = referenced.select("path").distinct().withColumn("_named", F.lit(True))
+    sums = files.join(named, "path", "left").agg(
+        F.coalesce(F.sum("size"), F.lit(0)).alias("total_bytes"), F.coalesce(F.sum(F.when(F.col("_named").isNull(), F.col("size"))), F.lit(0)).alias("orphan_bytes"), F.count_if(F.col("_named").isNull()).alias("orphan_files")
+    )
+    after = F.greatest(F.col("total_bytes") - F.col("orphan_bytes"), F.lit(0))
+    return sums.select(
+        "*", F.greatest(F.col("total_bytes") - budget, F.lit(0)).alias("over_bytes"), after.alias("projected_bytes"), (after <= budget).alias("satisfied"),
+        F.when(F.col("total_bytes") <= budget, "within_budget").when(after > budget, "cannot_satisfy").otherwise("delete_orphans").alias("plan"),
+    )
+
+
 def snapshot_digest(rows: DataFrame, group: str, key: str, columns: list[str], buckets: int = 256) -> DataFrame:
     """group, digest: SHA-256 of the group's rows in any order, folded by hash bucket so that no list is long."""
     line = F.sha2(F.to_json(F.struct(key, *columns)), 256)

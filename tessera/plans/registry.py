@@ -33,13 +33,13 @@ def query(sql: str | None = None):
 
 _SEARCH = f"""WITH {ITEMS_SQL},
 s AS (SELECT q.item_id AS query_id, i.item_id, i.quality_score, round(list_sum(list_transform(list_zip(i.vec, q.vec), lambda p: p[1] * p[2])), 6) AS score
-      FROM items q JOIN items i ON i.collection_id = q.collection_id AND i.item_id <> q.item_id WHERE q.item_no % 50 = 0),
+      FROM items q JOIN items i ON i.collection_id = q.collection_id AND i.item_id <> q.item_id WHERE q.item_no % 20 = 0),
 ranked AS (SELECT query_id, item_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, quality_score DESC, item_id) AS INTEGER) AS rank FROM s)"""
 
 
 def _ranked(spark, sf_dir, k=10):
     i = items(spark, sf_dir)
-    return C.search_by_item(i, i.where("item_no % 50 = 0"), k)
+    return C.search_by_item(i, i.where("item_no % 20 = 0"), k)
 
 
 @query(f"{_SEARCH} SELECT query_id, rank, item_id, score FROM ranked WHERE rank <= 10")
@@ -217,7 +217,7 @@ def e4_fold_similar(spark, sf_dir):
 # --- evaluation ----------------------------------------------------------------------------------------------
 
 _RANKED = """s AS (SELECT q.item_id AS query_id, i.item_id, i.quality_score, round(list_sum(list_transform(list_zip(i.vec, q.vec), lambda p: p[1] * p[2])), 6) AS score
-      FROM items q JOIN items i ON i.collection_id = q.collection_id AND i.item_id <> q.item_id WHERE q.item_no % 50 = 0),
+      FROM items q JOIN items i ON i.collection_id = q.collection_id AND i.item_id <> q.item_id WHERE q.item_no % 20 = 0),
 ranked AS (SELECT * FROM (SELECT query_id, item_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, quality_score DESC, item_id) AS rank FROM s) WHERE rank <= 10)"""
 _D7 = f"""{JUDGE_SQL}, {_RANKED}, g AS (SELECT r.query_id, rank, coalesce(grade, 0) AS g FROM ranked r LEFT JOIN judgments USING (query_id, item_id)),
 ideal AS (SELECT query_id, grade, row_number() OVER (PARTITION BY query_id ORDER BY grade DESC, item_id) AS rank FROM judgments),
@@ -235,16 +235,16 @@ def d7_retrieval_metrics(spark, sf_dir):
 
 
 @query(f"""WITH {_D7} SELECT round(avg(rr), 6) AS rr, round(avg(p_5), 6) AS p_5, round(avg(r_5), 6) AS r_5, round(avg(ndcg_5), 6) AS ndcg_5, round(avg(p_10), 6) AS p_10,
-  round(avg(r_10), 6) AS r_10, round(avg(ndcg_10), 6) AS ndcg_10, count(rr) AS judged, count(*) - count(rr) AS skipped FROM (SELECT item_id AS query_id FROM items WHERE item_no % 25 = 0) LEFT JOIN m USING (query_id)""")
+  round(avg(r_10), 6) AS r_10, round(avg(ndcg_10), 6) AS ndcg_10, count(rr) AS judged, count(*) - count(rr) AS skipped FROM (SELECT item_id AS query_id FROM items WHERE item_no % 10 = 0) LEFT JOIN m USING (query_id)""")
 def d8_macro_metrics(spark, sf_dir):
-    q = items(spark, sf_dir).where("item_no % 25 = 0").select(F.col("item_id").alias("query_id"))
+    q = items(spark, sf_dir).where("item_no % 10 = 0").select(F.col("item_id").alias("query_id"))
     return V.macro_metrics(V.retrieval_metrics(_ranked(spark, sf_dir), judgments(spark, sf_dir), [5, 10]), q)
 
 
-@query(f"""WITH {JUDGE_SQL} SELECT query_id, count(j.item_id) AS judged, count(*) FILTER (grade > 0) AS relevant FROM (SELECT item_id AS query_id FROM items WHERE item_no % 25 = 0) q
+@query(f"""WITH {JUDGE_SQL} SELECT query_id, count(j.item_id) AS judged, count(*) FILTER (grade > 0) AS relevant FROM (SELECT item_id AS query_id FROM items WHERE item_no % 10 = 0) q
   LEFT JOIN judgments j USING (query_id) GROUP BY 1""")
 def d6_query_summary(spark, sf_dir):
-    return V.query_summary(items(spark, sf_dir).where("item_no % 25 = 0").select(F.col("item_id").alias("query_id")), judgments(spark, sf_dir))
+    return V.query_summary(items(spark, sf_dir).where("item_no % 10 = 0").select(F.col("item_id").alias("query_id")), judgments(spark, sf_dir))
 
 
 _CASES = f"""{ITEMS_SQL}, {PREF_SQL}, cases AS (SELECT event_id AS id, CASE WHEN choice = 'preferred' THEN 'left' WHEN choice = 'tie' THEN 'tie' ELSE 'right' END AS winner, preferred_no, rejected_no FROM pref),

@@ -53,8 +53,8 @@ def pref_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def judgments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Graded relevance of every second item for the query items."""
     i = items(spark, sf_dir)
-    q = i.where("item_no % 50 = 0").select(F.col("item_id").alias("query_id"), F.col("collection_id").alias("qc"))
-    # the query set is one item in fifty and the judged set one in two of a few collections: a stated query set
+    q = i.where("item_no % 20 = 0").select(F.col("item_id").alias("query_id"), F.col("collection_id").alias("qc"))
+    # the query set is one item in twenty and the judged set one in two of a few collections: a stated query set
     grade = F.when((F.col("qc") == F.col("collection_id")) & (F.col("item_no") % 3 == 0), 3).when(F.col("qc") == F.col("collection_id"), 1).otherwise(0)
     judged = i.where("item_no % 2 = 0").withColumn("bucket", F.pmod(F.col("item_no"), F.lit(8)))
     asked = q.withColumn("bucket", F.explode(F.sequence(F.lit(0), F.lit(7))))
@@ -86,5 +86,5 @@ JUDGE_SQL = (
     ITEMS_SQL
     + """, judgments AS (
   SELECT q.item_id AS query_id, i.item_id, CASE WHEN q.collection_id = i.collection_id AND i.item_no % 3 = 0 THEN 3 WHEN q.collection_id = i.collection_id THEN 1 ELSE 0 END AS grade
-  FROM items q, items i WHERE q.item_no % 50 = 0 AND i.item_no % 2 = 0)"""
+  FROM items q, items i WHERE q.item_no % 20 = 0 AND i.item_no % 2 = 0)"""
 )
