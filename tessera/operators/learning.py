@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions.scalars import binary_entropy, logistic
+from tessera.functions.shared import materialize, temporary_tables
 
 _VEC = T.ArrayType(T.DoubleType())
 
@@ -115,6 +116,69 @@ def fit_preference(events: DataFrame, dim: int, ridge: float = 1.0, rounds: int
     return theta, (inverse + inverse.T) / 2, told
 
 
+def _newton_move(row: dict, sums: np.ndarray, dim: int, ridge: float, rounds: int) -> dict:
+    """The state of one key after its sums at the point tried: take the point or halve the step."""
+    at = np.asarray(row["trial"], float)
+    loss = sums[0] + ridge / 2 * at @ at
+    if row["rounds"] >= 0 and loss > row["value"] + 1e-4 * row["size"] * row["gain"]:
+        size = row["size"] / 2
+        return row | {"size": size, "trial": np.asarray(row["theta"], float) + size * np.asarray(row["step"], float), "done": size <= 1e-12}
+    slope, bend = sums[1 : 1 + dim] + ridge * at, sums[1 + dim :].reshape(dim, dim) + ridge * np.eye(dim)
+    step, used = -np.linalg.solve(bend, slope), row["rounds"] + 1
+    settled = np.linalg.norm(slope) <= 1e-8 or np.linalg.norm(step) <= 1e-10 * (1 + np.linalg.norm(at)) or (used > 0 and abs(row["value"] - loss) <= 1e-12 * (1 + abs(loss)))
+    moved = {"theta": at, "value": loss, "bend": bend.ravel(), "step": step, "gain": slope @ step, "size": 1.0, "trial": at + step}
+    return row | moved | {"rounds": used, "converged": bool(settled), "done": bool(settled) or used >= rounds}
+
+
+def fit_by_key(events: DataFrame, key: str, dim: int, ridge: float = 1.0, rounds: int = 50) -> DataFrame:
+    """key, mean, covariance (dim * dim values by rows), value, rounds, converged: fit_preference() for every key at once.
+
+    events: key, features (array of dim doubles), margin. A pass joins each event with the point its key tries and adds
+    up partial sums, so the events of a key are never one group and a hot key is spread like any other; a key is one
+    small row of the state table. Keys that are settled are no longer read. Rows with a null, or features of another
+    length, are left out, and so are keys that have no others; repeated rows count as often as they occur; an empty
+    table gives no rows.
+    """
+    vectors, spark = "array<double>", events.sparkSession
+    kind = events.schema[key].dataType.simpleString()
+    state_schema = f"_key {kind}, theta {vectors}, value double, bend {vectors}, step {vectors}, gain double, size double, trial {vectors}, rounds int, converged boolean, done boolean"
+    names = [part.split()[0] for part in state_schema.split(", ")]
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for who, own in batch.groupby("_key", sort=False):
+                x = np.stack(own["features"].to_numpy()).astype(float)
+                m = own["margin"].to_numpy(float) + x @ np.asarray(own["trial"].iloc[0], float)
+                p = 1 / (1 + np.exp(-np.clip(m, -500, 500)))
+                out.append((who, np.concatenate([[np.logaddexp(0, -m).sum()], x.T @ (p - 1), (x.T @ (x * (p * (1 - p))[:, None])).ravel()])))
+            yield pd.DataFrame(out, columns=["_key", "sums"])
+
+    def move(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [_newton_move(r, np.asarray(r["sums"], float), dim, ridge, rounds) if r["sums"] is not None else r for r in batch.to_dict("records")]
+            yield pd.DataFrame([[r[n] for n in names] for r in rows], columns=names)
+
+    def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            inverses = [np.linalg.inv(np.asarray(b, float).reshape(dim, dim)) for b in batch["bend"]]
+            yield batch[["_key", "theta"]].assign(covariance=[((a + a.T) / 2).ravel() for a in inverses], value=batch["value"], rounds=batch["rounds"], converged=batch["converged"])
+
+    with temporary_tables(spark) as keep:
+        known = events.select(F.col(key).alias("_key"), "features", F.col("margin").cast("double").alias("margin"))
+        known = materialize(known.where(F.col("_key").isNotNull() & F.col("margin").isNotNull() & (F.size("features") == dim) & ~F.exists("features", lambda x: x.isNull())), "events")
+        zeros = F.array_repeat(F.lit(0.0), dim)
+        first = {"theta": zeros, "value": F.lit(0.0), "bend": zeros, "step": zeros, "gain": F.lit(0.0), "size": F.lit(1.0), "trial": zeros, "rounds": F.lit(-1), "converged": F.lit(False), "done": F.lit(False)}
+        state = materialize(known.select("_key").distinct().withColumns(first), "state")
+        while not state.where("not done").isEmpty():
+            tried = known.join(state.where("not done").select("_key", "trial"), "_key").mapInPandas(partial, f"_key {kind}, sums {vectors}")
+            summed = tried.select("_key", F.posexplode("sums")).groupBy("_key", "pos").agg(F.sum("col").alias("col"))
+            whole = summed.groupBy("_key").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "col"))), lambda e: e["col"]).alias("sums"))  # 1 + dim + dim * dim values
+            state = materialize(state.join(whole, "_key", "left").mapInPandas(move, state_schema), "state")
+        schema = f"_key {kind}, theta {vectors}, covariance {vectors}, value double, rounds int, converged boolean"
+        return keep(materialize(state.mapInPandas(finish, schema).withColumnsRenamed({"_key": key, "theta": "mean"}), "models"))
+
+
 def online_weights(events: DataFrame, dim: int = 7) -> DataFrame:
     """user_id, n, weights after each user's events (user_id, ts, event_id, features) in order of (ts, event_id).
 

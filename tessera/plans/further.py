@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import scalars as S
-from tessera.operators import bursts, catalog, evidence, logs, selection
+from tessera.operators import bursts, catalog, evidence, learning, logs, selection
 from tessera.operators import similarity as M
+from tessera.plans.extended import k8_pair_events
 from tessera.plans.registry import query
-from tessera.sources.views import items_dup, table
+from tessera.sources.views import items_dup, pref_events, table
+from tessera.streaming import streams
 
 
 def _problems(spark, sf_dir):
@@ -94,3 +96,17 @@ def j7_rejected_cases(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     cases = e.select(F.col("event_id").alias("id"), (F.col("user_id") % 10).alias("query"), (F.col("event_id") % 40).alias("left"), ((F.col("event_id") * 7 + 3) % 41).alias("right"))
     return catalog.rejected_cases(cases).select("id", "query")
+
+
+@query()
+def k3_fit_by_key(spark, sf_dir):
+    pairs = k8_pair_events(spark, sf_dir).join(pref_events(spark, sf_dir).select("event_id", "user_id"), "event_id")
+    return learning.fit_by_key(pairs, "user_id", 35)
+
+
+@query()
+def l6_refresh_models(spark, sf_dir):
+    e = F.col("event_id")
+    seven = F.array(*(((e * k + 11) % 21 - 10) / 10.0 for k in (3, 5, 7, 9, 13, 15, 17)))
+    stream = streams.event_stream(spark, sf_dir).where("event_type in ('purchase', 'click')").select("user_id", seven.alias("features"), ((e % 9 - 4) / 4.0).alias("margin"))
+    return streams.refresh_models(stream, "user_id", 7, "models")

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.shared import shared_dir
+from tessera.operators.learning import fit_by_key
+from tessera.operators.logs import activate_models
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,3 +45,31 @@ def run_available(result: DataFrame, label: str, mode: str = "complete") -> Data
     query = result.writeStream.outputMode(mode).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).foreachBatch(put).start()
     query.awaitTermination()
     return spark.read.schema(result.schema).parquet(f"{root}/out")
+
+
+def refresh_models(stream: DataFrame, key: str, dim: int, label: str) -> DataFrame:
+    """The active model of every key after the available input: key, mean, covariance, value, rounds, converged, version.
+
+    stream: key, features, margin. Each micro-batch joins the log of events, and the keys it touches are fitted again
+    over all their events of the log; version is the number of the batch. A batch that is run again after a failure
+    replaces what it wrote, so no event counts twice. An empty input, or one without a usable event, gives no rows.
+    """
+    spark = stream.sparkSession
+    root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    rows = stream.select(key, "features", "margin")
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    ran: list[int] = []
+
+    def refresh(batch: DataFrame, number: int) -> None:
+        ran.append(number)
+        batch.write.mode("overwrite").parquet(f"{root}/log/batch={number}")
+        log = spark.read.schema(rows.schema).parquet(f"{root}/log").drop("batch")
+        touched = spark.read.schema(rows.schema).parquet(f"{root}/log/batch={number}").select(key).distinct()
+        fit_by_key(log.join(touched, key, "left_semi"), key, dim).write.mode("overwrite").parquet(f"{root}/models/version={number}")
+
+    query = rows.writeStream.option("checkpointLocation", f"{root}/state").trigger(availableNow=True).foreachBatch(refresh).start()
+    query.awaitTermination()
+    columns = f"{key} {kinds[key]}, mean array<double>, covariance array<double>, value double, rounds int, converged boolean, version int"
+    models = spark.read.schema(columns).parquet(f"{root}/models") if ran else spark.createDataFrame([], columns)
+    dated = models.withColumns({"created_at": F.col("version"), "model_id": F.col("version")})
+    return activate_models(dated, [key]).where("active").drop("created_at", "model_id", "active")
