@@ -126,7 +126,10 @@ def _newton_move(row: dict, sums: np.ndarray, dim: int, ridge: float, rounds: in
     slope, bend = sums[1 : 1 + dim] + ridge * at, sums[1 + dim :].reshape(dim, dim) + ridge * np.eye(dim)
     step, used = -np.linalg.solve(bend, slope), row["rounds"] + 1
     settled = np.linalg.norm(slope) <= 1e-8 or np.linalg.norm(step) <= 1e-10 * (1 + np.linalg.norm(at)) or (used > 0 and abs(row["value"] - loss) <= 1e-12 * (1 + abs(loss)))
-    moved = {"theta": at, "value": loss, "bend": bend.ravel(), "step": step, "gain": slope @ step, "size": 1.0, "trial": at + step}
+    # a last step that promises less than the rounding of the loss is taken untested
+    last = not settled and -(slope @ step) <= 1e-13 * (1 + abs(loss))
+    settled = settled or last
+    moved = {"theta": at + step if last else at, "value": loss, "bend": bend.ravel(), "step": step, "gain": slope @ step, "size": 1.0, "trial": at + step}
     return row | moved | {"rounds": used, "converged": bool(settled), "done": bool(settled) or used >= rounds}
 
 
