@@ -22,6 +22,7 @@ END = 50256
 #: Passes over few windows.
 PASSES = 6
 _TRIANGLE = np.tril(np.ones((CONTEXT, CONTEXT), np.float32))
+_ONES = np.ones(CLASSES, np.float32)
 NAMES = ("embed", "place", "qkv", "out", "w1", "b1", "w2", "u", "b")
 
 
@@ -77,39 +78,39 @@ def _hidden(p: dict[str, np.ndarray], rows: np.ndarray) -> tuple:
     return x, q, k, v, a, o, flat + o @ p["out"]
 
 
-def forward(p: dict[str, np.ndarray], rows: np.ndarray) -> tuple:
-    """Class log probabilities after each of the embedding rows (windows, CONTEXT), and what gradient() needs."""
-    *seen, h = _hidden(p, rows)
-    r = np.maximum(h @ p["w1"] + p["b1"], 0)
-    y = h + r @ p["w2"]
-    logits = y @ p["u"] + p["b"]
-    logits -= logits.max(1, keepdims=True)
-    logits -= np.log(np.exp(logits).sum(1, keepdims=True))
-    return logits, (*seen, h, r, y)
+def _logits(p: dict[str, np.ndarray], y: np.ndarray, room: np.ndarray | None) -> np.ndarray:
+    """Scores of all classes, at most 80, in the rows of `room` if given: fresh pages cost more than the products."""
+    out = np.empty((len(y), CLASSES), np.float32) if room is None else room[: len(y)]
+    np.matmul(y, p["u"], out=out)
+    out += p["b"]
+    return np.minimum(out, 80, out=out)
 
 
-def log_chance(p: dict[str, np.ndarray], rows: np.ndarray, counted: np.ndarray, classes: np.ndarray) -> np.ndarray:
+def log_chance(p: dict[str, np.ndarray], rows: np.ndarray, counted: np.ndarray, classes: np.ndarray, room: np.ndarray | None = None) -> np.ndarray:
     """Log probability of the class that follows each counted place."""
     h = _hidden(p, rows)[-1][counted.ravel()]
     r = h @ p["w1"]
     r += p["b1"]
     h += np.maximum(r, 0, out=r) @ p["w2"]
-    logits = h @ p["u"]
-    logits += p["b"]
-    got = logits[np.arange(len(logits)), classes]
-    np.exp(np.minimum(logits, 80, out=logits), out=logits)
-    return np.minimum(got, 80) - np.log(logits.sum(1))
+    e = _logits(p, h, room)
+    got = e[np.arange(len(e)), classes]
+    return got - np.log(np.exp(e, out=e) @ _ONES)
 
 
-def gradient(p: dict[str, np.ndarray], rows: np.ndarray, classes: np.ndarray, valid: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+def gradient(p: dict[str, np.ndarray], rows: np.ndarray, classes: np.ndarray, valid: np.ndarray, room: np.ndarray | None = None) -> tuple[float, dict[str, np.ndarray]]:
     """Mean loss in nats over the valid targets, and its gradient."""
-    logp, (x, q, k, v, a, o, h, r, y) = forward(p, rows)
+    x, q, k, v, a, o, h = _hidden(p, rows)
+    r = np.maximum(h @ p["w1"] + p["b1"], 0)
+    y = h + r @ p["w2"]
     n, count, c, ok = len(rows), max(int(valid.sum()), 1), classes.ravel(), valid.ravel()
-    loss = -float(logp[np.arange(len(c)), c][ok].sum()) / count
-    d = np.exp(logp)
-    d[np.arange(len(c)), c] -= 1
-    d *= (ok / np.float32(count))[:, None].astype(np.float32)
-    g = {"u": y.T @ d, "b": d.sum(0)}
+    d, place = _logits(p, y, room), np.arange(len(c))
+    got = d[place, c]
+    total = np.exp(d, out=d) @ _ONES
+    loss = float((np.log(total) - got)[ok].sum()) / count
+    part = ok / np.float32(count)
+    d *= (part / total)[:, None]
+    d[place, c] -= part
+    g = {"u": y.T @ d, "b": np.ones(len(c), np.float32) @ d}
     dy = d @ p["u"].T
     dr = (dy @ p["w2"].T) * (r > 0)
     g |= {"w2": r.T @ dy, "w1": h.T @ dr, "b1": dr.sum(0)}
@@ -117,14 +118,19 @@ def gradient(p: dict[str, np.ndarray], rows: np.ndarray, classes: np.ndarray, va
     g["out"] = o.T @ dh
     do = (dh @ p["out"].T).reshape(n, CONTEXT, WIDTH)
     da = do @ v.transpose(0, 2, 1)
-    ds = a * (da - (da * a).sum(2, keepdims=True)) * np.float32(WIDTH**-0.5)
-    parts = np.concatenate([ds @ k, ds.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ do], axis=2).reshape(-1, 3 * WIDTH)
-    flat = x.reshape(-1, WIDTH)
-    g["qkv"] = flat.T @ parts
+    da -= np.einsum("nij,nij->ni", da, a)[:, :, None]
+    da *= a
+    da *= np.float32(WIDTH**-0.5)
+    parts = np.empty((n, CONTEXT, 3 * WIDTH), np.float32)
+    np.matmul(da, k, out=parts[:, :, :WIDTH])
+    np.matmul(da.transpose(0, 2, 1), q, out=parts[:, :, WIDTH : 2 * WIDTH])
+    np.matmul(a.transpose(0, 2, 1), do, out=parts[:, :, 2 * WIDTH :])
+    parts = parts.reshape(-1, 3 * WIDTH)
+    g["qkv"] = x.reshape(-1, WIDTH).T @ parts
     dx = dh + parts @ p["qkv"].T
     g["place"] = dx.reshape(n, CONTEXT, WIDTH).sum(0)
     g["embed"] = np.zeros_like(p["embed"])
-    order = np.argsort(rows.ravel(), kind="stable")
+    order = np.argsort(rows.ravel().astype(np.int16), kind="stable")  # EMBEDDINGS rows: a radix sort
     sorted_rows = rows.ravel()[order]
     first = np.flatnonzero(np.r_[True, sorted_rows[1:] != sorted_rows[:-1]])
     g["embed"][sorted_rows[first]] = np.add.reduceat(dx[order], first)
@@ -138,12 +144,12 @@ def fit(p: dict[str, np.ndarray], rows: np.ndarray, classes: np.ndarray, valid:
     rng, n = np.random.default_rng(seed), len(rows)
     per_pass = -(-n // batch)
     total = min(max(1, -(-steps // per_pass)), PASSES) * per_pass
-    order = np.empty(0, np.int64)
+    order, room = np.empty(0, np.int64), np.empty((batch * CONTEXT, CLASSES), np.float32)
     for t in range(1, total + 1):
         if len(order) < min(batch, n):
             order = np.r_[order, rng.permutation(n)]
         part, order = order[:batch], order[batch:]
-        _, g = gradient(p, rows[part], classes[part], valid[part])
+        _, g = gradient(p, rows[part], classes[part], valid[part], room)
         now = rate * (1 - 0.9 * (t - 1) / total)
         for key in NAMES:
             m[key] += 0.1 * (g[key] - m[key])
@@ -152,7 +158,7 @@ def fit(p: dict[str, np.ndarray], rows: np.ndarray, classes: np.ndarray, valid:
     return {k: v.astype(np.float32) for k, v in p.items()}
 
 
-def score_ids(p: dict[str, np.ndarray], vocabulary: Vocabulary, ids: np.ndarray, sizes: np.ndarray, batch: int = 384) -> np.ndarray:
+def score_ids(p: dict[str, np.ndarray], vocabulary: Vocabulary, ids: np.ndarray, sizes: np.ndarray, batch: int = 64) -> np.ndarray:
     """Natural log probability of every id; ids: those of all texts in a row, sizes: ids of each (1 at least).
 
     Windows overlap by CONTEXT - STRIDE; every id is scored once, with CONTEXT - STRIDE ids before it at
@@ -167,11 +173,12 @@ def score_ids(p: dict[str, np.ndarray], vocabulary: Vocabulary, ids: np.ndarray,
     before[begin] = START
     before = np.r_[before, np.full(CONTEXT, START)]
     of, out, place = vocabulary.of[ids], np.zeros(len(ids)), np.arange(CONTEXT)
+    room = np.empty((batch * CONTEXT, CLASSES), np.float32)
     for a in range(0, len(first), batch):
         at = first[a : a + batch, None] + place
         counted = (at < last[a : a + batch, None]) & ((place >= CONTEXT - STRIDE) | (nth[a : a + batch, None] == 0))
         use = at[counted]
-        out[use] = log_chance(p, before[at], counted, of[use])
+        out[use] = log_chance(p, before[at], counted, of[use], room)
     return out + vocabulary.within[ids]
 
 
