@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontamination, html, lm, ordinal, packing, repeats, simhash, substring, topk, toxicity
+from tessera.llm import audit, decontamination, html, lm, merkle, ordinal, packing, repeats, sharding, simhash, substring, topk, toxicity
 from tessera.llm.inputs import remainder, table
 
 
@@ -53,10 +53,32 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaves and proofs of all documents; every fifth crc32 is checked against a copy with lower-case text."""
+    docs = table(spark, sf_dir, "documents").select(*merkle.FIELDS)
+    changed = F.coalesce(remainder(F.col("doc_id"), 5) == 0, F.lit(False))
+    claimed = F.when(changed, merkle.leaves(docs, merkle.lower_ascii(F.col("text")))).otherwise(merkle.leaves(docs))
+    proven = merkle.manifest(docs.select("doc_id", "source", merkle.leaves(docs).alias("leaf"), claimed.alias("claimed")))
+    found = proven.select("doc_id", "leaf", "subroot", "root", merkle.siblings_digest(F.col("proof")).alias("proof_sha256"), merkle.folded(F.col("claimed"), F.col("proof")).alias("folded_root"))
+    return found.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def op12_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sharding.assign(table(spark, sf_dir, "documents"), 16)
+    return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_quality, op2_toxicity, op3_topk, op4_repeats, op5_substring, op6_html, op7_lm, op8_decontamination, op9_simhash, op10_packing)
-}
+    for f in (
+        op1_quality, op2_toxicity, op3_topk, op4_repeats, op5_substring, op6_html, op7_lm, op8_decontamination, op9_simhash, op10_packing, op11_merkle, op12_audit,
+        op13_sharding,
+    )
+}
 
 OP3_SQL = """
 WITH t AS (
@@ -141,4 +163,80 @@ FROM found WHERE best >= ceil(width * {decontamination.SIMILAR}) GROUP BY doc_id
 """
 
 
-ORACLE_SQL = {"op3_topk": OP3_SQL, "op4_repeats": OP4_SQL, "op5_substring": OP5_SQL, "op8_decontamination": _op8_sql()}
+#: crc32 of the decimal doc_id, byte by byte and bit by bit (3988292384 is the polynomial, 4294967295 the start and the final mask).
+CRC_SQL = """xor(list_reduce(list_transform(range(1, length(CAST(doc_id AS VARCHAR)) + 1), lambda i: CAST(ascii(substr(CAST(doc_id AS VARCHAR), CAST(i AS BIGINT), 1)) AS BIGINT)),
+    lambda c, b: list_reduce(range(0, 8), lambda x, k: xor(x >> 1, 3988292384 * (x & 1)), xor(c, b)), CAST(4294967295 AS BIGINT)), CAST(4294967295 AS BIGINT))"""
+
+
+def _op11_sql(levels: int = 6) -> str:
+    """Both trees level by level, up to 16 ** levels leaves each."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    field = "coalesce(CAST(strlen(CAST({0} AS VARCHAR)) AS VARCHAR) || ':' || CAST({0} AS VARCHAR), '-')".format
+    head = " || ".join(field(c) for c in merkle.FIELDS[:-1])
+    leaf, other = (f"sha256({head} || {field(t)})" for t in ("text", f"translate(text, '{upper}', '{lower}')"))
+    steps = [
+        f"""d AS (SELECT doc_id, source, {leaf} AS leaf, CASE WHEN {CRC_SQL} % 5 = 0 THEN {other} ELSE {leaf} END AS claimed FROM documents),
+l AS (SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS g, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i,
+             row_number() OVER () AS id FROM d)""",
+        "a0 AS (SELECT g, i, leaf AS h, count(*) OVER (PARTITION BY g) AS n FROM l)",
+    ]
+    for tree, start in (("a", None), ("b", f"b0 AS (SELECT 0 AS g, g AS i, h, count(*) OVER () AS n FROM a{levels})")):
+        steps += [start] if start else []
+        for k in range(levels):
+            steps.append(
+                f"""{tree}{k + 1} AS (SELECT g, i // 16 AS i, CASE WHEN first(n) > 1 THEN sha256(string_agg(h, '' ORDER BY i)) ELSE first(h) END AS h, CAST(ceil(first(n) / 16) AS BIGINT) AS n
+  FROM {tree}{k} GROUP BY g, i // 16)"""
+            )
+            steps.append(
+                f"""{tree}s{k} AS (SELECT x.g, x.i, coalesce(string_agg(y.h, '' ORDER BY y.i) FILTER (y.i < x.i), '') AS left_, coalesce(string_agg(y.h, '' ORDER BY y.i) FILTER (y.i > x.i), '') AS right_
+  FROM {tree}{k} x JOIN {tree}{k} y ON x.g = y.g AND x.i // 16 = y.i // 16 WHERE x.n > 1 GROUP BY x.g, x.i)"""
+            )
+    steps.append("p0 AS (SELECT doc_id, leaf, claimed AS f, '' AS proof, g, i, id FROM l)")
+    at = 0
+    for tree in "ab":
+        g, i = ("p.g", "p.i") if tree == "a" else ("0", "p.g")
+        for k in range(levels):
+            node = f"{i} // {16**k}"
+            steps.append(
+                f"""p{at + 1} AS (SELECT p.doc_id, p.leaf, CASE WHEN s.g IS NULL THEN p.f ELSE sha256(s.left_ || p.f || s.right_) END AS f, p.proof || coalesce(s.left_ || s.right_, '') AS proof, p.g, p.i, p.id
+  FROM p{at} p LEFT JOIN {tree}s{k} s ON s.g = {g} AND s.i = {node})"""
+            )
+            at += 1
+    return f"""WITH {", ".join(steps)}
+SELECT p.doc_id, p.leaf, u.h AS subroot, r.h AS root, sha256(p.proof) AS proof_sha256, p.f AS folded_root, p.f = r.h AS verified
+FROM p{at} p JOIN a{levels} u ON u.g = p.g CROSS JOIN b{levels} r
+"""
+
+
+OP12_SQL = r"""
+WITH letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5
+), d AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text,
+         list_filter(string_split_regex(coalesce(text, ''), '[ 	-]+'), lambda w: w <> '') AS w FROM documents
+), m AS (SELECT doc_id, max(quality = 1) AS good, max(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+f AS (
+  SELECT part, CASE WHEN len(w) < 200 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' ELSE '' END
+         || CASE WHEN 100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 3 * length(text) THEN 'C' ELSE '' END
+         || CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END
+         || CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY text) THEN 'E' ELSE '' END AS fails, coalesce(good, FALSE) AS good, coalesce(toxic, FALSE) AS toxic
+  FROM d LEFT JOIN m USING (doc_id)
+), c AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM f GROUP BY part, fails),
+steps AS (
+  SELECT part, fails, n, good, toxic, filter_order, step, substr(filter_order, CAST(step AS BIGINT), 1) AS x,
+         list_min(list_filter(range(1, 6), lambda s: contains(fails, substr(filter_order, CAST(s AS BIGINT), 1)))) AS goes
+  FROM c, orders, (SELECT unnest(range(1, 6)) AS step)
+), r AS (
+  SELECT part, filter_order, x, CAST(step AS INTEGER) AS step, CAST(coalesce(sum(n) FILTER (goes IS NULL OR goes > step), 0) AS BIGINT) AS kept,
+         CAST(coalesce(sum(n) FILTER (goes = step), 0) AS BIGINT) AS removed, CAST(coalesce(sum(n) FILTER (goes < step AND contains(fails, x)), 0) AS BIGINT) AS redundant,
+         CAST(coalesce(sum(n) FILTER (fails = x), 0) AS BIGINT) AS unique_fails, CAST(coalesce(sum(good) FILTER (goes = step), 0) AS BIGINT) AS good_lost,
+         CAST(coalesce(sum(toxic) FILTER (goes = step), 0) AS BIGINT) AS toxic_lost
+  FROM steps GROUP BY part, filter_order, x, step
+)
+SELECT * EXCLUDE (x), CAST(sum(removed) OVER (PARTITION BY part, x) AS BIGINT) AS shapley FROM r
+"""
+
+
+ORACLE_SQL = {"op3_topk": OP3_SQL, "op4_repeats": OP4_SQL, "op5_substring": OP5_SQL, "op8_decontamination": _op8_sql(), "op11_merkle": _op11_sql(), "op12_audit": OP12_SQL}
