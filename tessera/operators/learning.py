@@ -182,6 +182,12 @@ def fit_by_key(events: DataFrame, key: str, dim: int, ridge: float = 1.0, rounds
         return keep(materialize(state.mapInPandas(finish, schema).withColumnsRenamed({"_key": key, "theta": "mean"}), "models"))
 
 
+def next_weights(weights: np.ndarray, n: int, x: np.ndarray) -> np.ndarray:
+    """The weights after event number n (from 0). Rate, decay, bounds and digits."""
+    gain = 1 - 1 / (1 + np.exp(-np.clip(weights @ x, -20, 20)))
+    return np.round(np.clip(weights + 0.35 / np.sqrt(n + 1) * gain * x - 0.002 * weights, -2, 2), 8)
+
+
 def online_weights(events: DataFrame, dim: int = 7) -> DataFrame:
     """user_id, n, weights after each user's events (user_id, ts, event_id, features) in order of (ts, event_id).
 
@@ -198,9 +204,7 @@ def online_weights(events: DataFrame, dim: int = 7) -> DataFrame:
                     yield row()
                 if not seen or who != user:
                     user, n, w, seen = who, 0, np.zeros(dim), True
-                x = np.asarray(x, float)
-                gain = 1 - 1 / (1 + np.exp(-np.clip(w @ x, -20, 20)))
-                w = np.round(np.clip(w + 0.35 / np.sqrt(n + 1) * gain * x - 0.002 * w, -2, 2), 8)
+                w = next_weights(w, n, np.asarray(x, float))
                 n += 1
         if seen:
             yield row()
