@@ -42,19 +42,21 @@ def perceptual_hash(luma: pd.Series) -> pd.Series:
     return luma.map(of)
 
 
+def block_means_bits(luma: np.ndarray | None, size: int) -> list[int] | None:
+    """Bits of the size x size block means of one image; None unless side and size are powers of two, 2 <= size <= side."""
+    side = _side(luma)
+    if size < 2 or size & (size - 1) or side < size or side & (side - 1):
+        return None
+    # sums of whole numbers are exact; removing the mean and scaling would not change their order
+    return _bits(np.asarray(luma, float).reshape(size, side // size, size, side // size).sum(axis=(1, 3)))
+
+
 def wavelet_hash(luma: Column, size: int) -> Column:
     """Bits of the size x size block means above their median; null unless side and size are powers of two, size <= side."""
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def pooled(values: pd.Series) -> pd.Series:
-        def of(v):
-            side = _side(v)
-            if side < size or side & (side - 1):
-                return None
-            # sums of whole numbers are exact; removing the mean and scaling would not change their order
-            return _bits(np.asarray(v, float).reshape(size, side // size, size, side // size).sum(axis=(1, 3)))
-
-        return values.map(of)
+        return values.map(lambda v: block_means_bits(v, size))
 
     if size < 2 or size & (size - 1):
         raise ValueError("size must be a power of two")
@@ -123,8 +125,8 @@ def quality_flags_v2(profile: str) -> Column:
     return F.array_compact(F.array(*(F.when(faults[name], name) for name in PENALTIES)))
 
 
-def quality_v2(images: DataFrame, profile: str) -> DataFrame:
-    """images with flags, quality_score (0 to 100, 3 decimals), auto_reject and reject_reason.
+def quality_v2_of(flags: Column, profile: str) -> dict[str, Column]:
+    """quality_score (0 to 100, 3 decimals), auto_reject and reject_reason from the flags and the columns of the signals.
 
     The reason is the first flag where one rejects, low_quality where the score alone does.
     """
@@ -133,13 +135,16 @@ def quality_v2(images: DataFrame, profile: str) -> DataFrame:
         F.col("blur_combined") * 35 + F.greatest(25 - F.abs(F.col("brightness_mean") - 128) / 128 * 25, F.lit(0.0)) + F.least(F.col("contrast_score") / 64 * 20, F.lit(20.0))
         + F.least(F.col("entropy") / 7 * 10, F.lit(10.0)) + F.coalesce("composition", F.lit(0.5)) * 10 + THRESHOLDS["score_adjust"][at]
     )
-    off = sum((F.when(F.array_contains("flags", name), float(points)).otherwise(0.0) for name, points in PENALTIES.items()), F.lit(0.0))
-    hard = F.arrays_overlap("flags", F.array(*map(F.lit, HARD)))
-    low = F.col("_score") < THRESHOLDS["score_floor"][at]
-    scored = images.withColumn("flags", quality_flags_v2(profile)).withColumn("_score", F.least(F.greatest(parts - off, F.lit(0.0)), F.lit(100.0)))
-    return scored.withColumns({
-        "quality_score": F.round("_score", 3), "auto_reject": hard | low, "reject_reason": F.when(hard, F.get("flags", F.lit(0))).when(low, "low_quality"),
-    }).drop("_score")
+    off = sum((F.when(F.array_contains(flags, name), float(points)).otherwise(0.0) for name, points in PENALTIES.items()), F.lit(0.0))
+    hard = F.arrays_overlap(flags, F.array(*map(F.lit, HARD)))
+    score = F.least(F.greatest(parts - off, F.lit(0.0)), F.lit(100.0))
+    low = score < THRESHOLDS["score_floor"][at]
+    return {"quality_score": F.round(score, 3), "auto_reject": hard | low, "reject_reason": F.when(hard, F.get(flags, F.lit(0))).when(low, "low_quality")}
+
+
+def quality_v2(images: DataFrame, profile: str) -> DataFrame:
+    """images with flags, quality_score, auto_reject and reject_reason."""
+    return images.withColumn("flags", quality_flags_v2(profile)).withColumns(quality_v2_of(F.col("flags"), profile))
 
 
 def meta_sim(a: dict[str, Column], b: dict[str, Column]) -> Column:

@@ -73,7 +73,11 @@ _PATHS = (
 )
 
 
-def _redact(text: str, mark: str) -> tuple[str, int]:
+#: What stands for a path.
+MARK = "[path]"
+
+
+def redacted(text: str, mark: str) -> tuple[str, int]:
     urls = [m.span() for m in re.finditer(_URL, text)]
     hits = {
         m.span() for p in _PATHS for m in re.finditer(p, text)
@@ -88,7 +92,7 @@ def _redact(text: str, mark: str) -> tuple[str, int]:
     return "".join(out) + text[end:], count
 
 
-def redact_paths(text: Column, mark: str = "[path]") -> Column:
+def redact_paths(text: Column, mark: str = MARK) -> Column:
     """struct(text, n): overlapping local paths replaced by one mark; null stays null with n 0.
 
     Texts without a slash or backslash, most of them, never leave the JVM.
@@ -96,7 +100,7 @@ def redact_paths(text: Column, mark: str = "[path]") -> Column:
 
     @F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("n", T.IntegerType())]))
     def scrub(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([(None, 0) if t is None else _redact(t, mark) for t in texts], columns=["text", "n"])
+        return pd.DataFrame([(None, 0) if t is None else redacted(t, mark) for t in texts], columns=["text", "n"])
 
     asked = F.coalesce(text.rlike(r"[/\\]"), F.lit(False))
     done = scrub(F.when(asked, text))

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.functions import requests
+from tessera.functions import requests, sqlfunctions
 from tessera.functions import scalars as S
 from tessera.operators import acquisition, agglomeration, learning
-from tessera.plans.registry import query
+from tessera.plans.extended import _luma, _v2_sql, part_signals
+from tessera.plans.registry import ORACLE_SQL, query
 from tessera.sources.views import items, items_dup, pref_events, table
 from tessera.streaming import weights
 
@@ -91,3 +92,52 @@ def i27_request_constraints(spark, sf_dir):
         "i", F.col("target_count").cast("long").alias("target_count"), "min_quality", F.col("max_per_group").cast("long").alias("max_per_group"), "exclude_rejects", said("person_minimums").alias("people"),
         said("category_counts").alias("categories"), "error", "content",
     )
+
+
+@query(f"""SELECT a.vec_id, a.bits AS average, b.bits AS difference, c.bits AS perceptual, d.bits AS wavelet, CAST(bit_count(a.vec_id) AS INTEGER) AS ones
+  FROM ({ORACLE_SQL["i11_average_hash"]}) a JOIN ({ORACLE_SQL["i12_row_difference_hash"]}) b USING (vec_id) JOIN ({ORACLE_SQL["i13_perceptual_hash"]}) c USING (vec_id) JOIN ({ORACLE_SQL["i14_wavelet_hash"]}) d USING (vec_id)""")
+def m4_sql_hashes(spark, sf_dir):
+    """The four hashes called from SQL."""
+    sqlfunctions.register(spark)
+    _luma(spark, sf_dir).createOrReplaceTempView("m4_luma")
+    bits = lambda call, name: f"array_join(CAST({call} AS ARRAY<STRING>), '') AS {name}"
+    return spark.sql(f"""SELECT vec_id, {bits("average_hash(luma)", "average")}, {bits("difference_hash(luma, 8)", "difference")}, {bits("perceptual_hash(luma)", "perceptual")},
+      {bits("wavelet_hash(luma, 4)", "wavelet")}, hamming64(CAST(vec_id AS BIGINT), 0L) AS ones FROM m4_luma""")
+
+
+@query(f"""SELECT s.*, a.quality_score AS advanced_score, a.reject_reason AS advanced_reason,
+    round(100 * (0.36 * least(1.0, ln(1 + p_size * 20) / ln(901.0)) + 0.23 * greatest(0, 1 - abs(p_size * 5 - 127.5) / 127.5) + 0.17 * least(1.0, p_size / 64.0) + 0.14 * least(1.0, p_size / 7.5) + 0.10 * least(1.0, p_partkey % 3000 / 2200.0)), 3) AS v1
+  FROM ({_v2_sql(0)}) s JOIN ({_v2_sql(1)}) a USING (p_partkey) JOIN part USING (p_partkey)""")
+def m4_sql_quality(spark, sf_dir):
+    """Both quality scores called from SQL, the second with both profiles."""
+    sqlfunctions.register(spark)
+    part_signals(spark, sf_dir).join(table(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_partkey").createOrReplaceTempView("m4_signals")
+    given = ", ".join(sqlfunctions.V2_SIGNALS)
+    return spark.sql(f"""SELECT p_partkey, array_join(s.flags, ',') AS flags, s.quality_score, s.auto_reject, s.reject_reason, a.quality_score AS advanced_score, a.reject_reason AS advanced_reason, v1
+      FROM (SELECT p_partkey, quality_v2('standard', {given}) AS s, quality_v2('advanced', {given}) AS a, quality_v1(p_size * 20, p_size * 5, p_size, p_size, p_partkey % 3000) AS v1 FROM m4_signals)""")
+
+
+def _numbers(text):
+    import re
+
+    for m in re.finditer("[0-9]+", text):
+        yield m.group(), m.start()
+
+
+@query("""SELECT page_id, hit, CAST(row_number() OVER (PARTITION BY page_id ORDER BY i) AS BIGINT) AS nth, sum(length(hit)) OVER (PARTITION BY page_id) AS digits
+  FROM (SELECT page_id, unnest(regexp_extract_all(url, '[0-9]+')) AS hit, generate_subscripts(regexp_extract_all(url, '[0-9]+'), 1) AS i FROM pages)""")
+def m2_lateral_detections(spark, sf_dir):
+    """A detector as a table function: each number of a url is a row of the page."""
+    sqlfunctions.register_detector(spark, "numbers_of", _numbers, "hit string, place int")
+    table(spark, sf_dir, "pages").select("page_id", "url").createOrReplaceTempView("m2_pages")
+    return spark.sql("""SELECT page_id, hit, CAST(row_number() OVER (PARTITION BY page_id ORDER BY place) AS BIGINT) AS nth, sum(length(hit)) OVER (PARTITION BY page_id) AS digits
+      FROM m2_pages, LATERAL numbers_of(url)""")
+
+
+@query("""SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'saved to [path]' WHEN 1 THEN 'see http://example.com/a/' || c_custkey ELSE c_mktsegment END AS text, CASE WHEN c_custkey % 3 = 0 THEN 1 ELSE 0 END AS n FROM customer""")
+def m4_sql_redact(spark, sf_dir):
+    """Paths are taken out of texts by SQL; addresses and plain words stay."""
+    sqlfunctions.register(spark)
+    table(spark, sf_dir, "customer").createOrReplaceTempView("m4_customer")
+    return spark.sql("""SELECT c_custkey, r.text, r.n FROM (SELECT c_custkey, redact_paths(CASE c_custkey % 3 WHEN 0 THEN concat('saved to /home/ann/', c_name, '.txt')
+      WHEN 1 THEN concat('see http://example.com/a/', c_custkey) ELSE c_mktsegment END) AS r FROM m4_customer)""")

@@ -347,11 +347,14 @@ def _v2_sql(profile: int) -> str:
         CASE WHEN hard THEN flags[1] WHEN score < {t['score_floor']} THEN 'low_quality' END AS reject_reason FROM q"""
 
 
-def _v2(spark, sf_dir, profile):
+def part_signals(spark, sf_dir):
     p = F.col("p_partkey")
     value = lambda n, a, m, s: F.when((p % 11 != 0) | F.lit(n not in _OPTIONAL), ((p * a) % m) * F.lit(float(s)))
-    lines = table(spark, sf_dir, "part").select(p, *(value(n, *how).alias(n) for n, how in _SIGNALS.items()))
-    return I.quality_v2(lines, profile).select("p_partkey", F.array_join("flags", ",").alias("flags"), "quality_score", "auto_reject", "reject_reason")
+    return table(spark, sf_dir, "part").select(p, *(value(n, *how).alias(n) for n, how in _SIGNALS.items()))
+
+
+def _v2(spark, sf_dir, profile):
+    return I.quality_v2(part_signals(spark, sf_dir), profile).select("p_partkey", F.array_join("flags", ",").alias("flags"), "quality_score", "auto_reject", "reject_reason")
 
 
 @query(_v2_sql(0))
