@@ -15,6 +15,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -41,11 +42,15 @@ BLOCKS = frozenset(
     "hgroup hr html li main menu nav ol p pre section summary table tbody tfoot thead tr ul".split()
 )
 #: Elements that hold no article text.
-DROPPED = frozenset("head nav footer aside form button dialog menu fieldset".split())
+DROPPED = frozenset("head nav footer aside button dialog menu".split())
+#: Elements that hold none unless they are wrapped around the article.
+FORMS = frozenset("form fieldset".split())
 MAIN = frozenset("article main".split())
+#: Blocks that are lines of the container around them.
+PARAGRAPHS = frozenset("blockquote h1 h2 h3 h4 h5 h6 p pre".split())
 #: Words in class and id of containers that hold no article text.
 NOT_ARTICLE = frozenset(
-    "ad ads advert adverts advertisement advertising alert banner breadcrumb breadcrumbs bottombar comment comments commentlist consent cookie cookies "
+    "ad ads advert adverts advertisement advertising alert aside banner breadcrumb breadcrumbs bottombar comment comments commentlist consent cookie cookies "
     "disqus dropdown feedback footer gdpr header login masthead menu menubar modal nav navbar navigation newsletter notice notification notifications "
     "pager paging pagination popup promo promotion recommended related replies reply respond reviews search share sharing sidebar signin signup skip "
     "social sponsor sponsored subscribe subscription tags teaser toc toolbar topbar widget widgets".split()
@@ -62,6 +67,8 @@ COMMENTS = frozenset("comment comments commentlist disqus replies reply respond"
 #: Elements whose class and id are looked at.
 NAMED = BLOCKS | {"span", "a", "td", "th"}
 KEPT_NAMES = frozenset("html body main".split())
+#: Elements whose short text counts for nothing.
+LINKS = frozenset("a label legend".split())
 SPLIT = re.compile(r"[^a-zA-Z0-9]+|(?<=[a-z])(?=[A-Z])")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
 #: A named container with more than this share of the page's text is a wrapper of the article.
@@ -74,7 +81,7 @@ OUTSIDE = 3
 
 @dataclass
 class Box:
-    """A container whose class or id names something other than the article; `holds` an h1 or an article."""
+    """A container that is a form, or whose class or id names something other than the article; `holds` an h1 or an article."""
 
     parent: int
     comments: bool
@@ -88,11 +95,14 @@ class Line:
     plain: int
     main: bool
     box: int
+    tag: str
+    container: int
+    header: bool
 
 
-def _dropped(name: str, attributes: str, in_main: bool) -> bool:
+def _dropped(name: str, attributes: str) -> bool:
     """Whether the element itself says that it is no article text, or is not shown."""
-    if name in DROPPED or (name == "header" and not in_main):
+    if name in DROPPED:
         return True
     if not attributes.strip() or name not in NAMED or name in KEPT_NAMES:
         return False
@@ -112,7 +122,7 @@ def _named(name: str, attributes: str) -> frozenset[str] | None:
     for key, a, b, c in ATTRIBUTE.findall(attributes):
         if key.lower() in ("class", "id"):
             for token in (a or b or c).split():
-                words = frozenset(w.lower() for w in SPLIT.split(token) if w and not w.isdigit())
+                words = frozenset(w.lower() for w in SPLIT.split(token) if len(w) > 1 and not w.isdigit())
                 if words & NOT_ARTICLE and words <= NOT_ARTICLE | BESIDE:
                     return words
     return None
@@ -123,9 +133,9 @@ def lines(page: str) -> tuple[list[Line], list[Box]]:
     out: list[Line] = []
     boxes: list[Box] = []
     parts: list[str] = []
-    stack: list[tuple[str, bool, int]] = []
+    stack: list[tuple[str, bool, int, bool, bool, int]] = []
     opened: Counter[str] = Counter()
-    linked = drops = mains = links = link_size = 0
+    linked = drops = mains = links = headers = link_size = serial = 0
     inside = -1
 
     def block() -> None:
@@ -133,20 +143,23 @@ def lines(page: str) -> tuple[list[Line], list[Box]]:
         text = " ".join(entities.unescape("".join(parts)).split())
         if text:
             plain = max(0, len(text) - linked)
-            out.append(Line(text, plain, mains > 0, inside))
+            around = islice((e for e in reversed(stack) if e[0] in BLOCKS), 2)
+            tag, own = next(((e[0], e[5]) for e in around), ("", 0))
+            container = next((e[5] for e in around), 0) if tag in PARAGRAPHS else own
+            out.append(Line(text, plain, mains > 0, inside, tag, container, headers > 0))
             if inside >= 0:
                 boxes[inside].plain += plain
         parts.clear()
         linked = 0
 
     def leave() -> None:
-        nonlocal drops, mains, links, inside
-        name, drop, before = stack.pop()
+        nonlocal drops, mains, links, headers, inside
+        name, drop, inside, main, header, _ = stack.pop()
         opened[name] -= 1
         drops -= drop
-        mains -= name in MAIN
-        links -= name == "a"
-        inside = before
+        mains -= main
+        headers -= header
+        links -= name in LINKS
 
     def add(text: str) -> None:
         nonlocal linked, link_size
@@ -186,18 +199,21 @@ def lines(page: str) -> tuple[list[Line], list[Box]]:
                 if inner is not None and (stack[inner][0] == "p" or (name == stack[inner][0] and name in ("li", "dd", "dt", "tr"))):
                     while len(stack) > inner:
                         leave()
-            drop, words = _dropped(name, m[4], mains > 0), _named(name, m[4])
-            stack.append((name, drop, inside))
-            if words and not (name == "header" and mains):
-                boxes.append(Box(inside, bool(words & COMMENTS)))
+            drop, words = _dropped(name, m[4]), _named(name, m[4])
+            main, header = name in MAIN and not words, name == "header" and not mains
+            serial += 1
+            stack.append((name, drop, inside, main, header, serial))
+            if (words and name != "header") or name in FORMS:
+                boxes.append(Box(inside, bool(words and words & COMMENTS)))
                 inside = len(boxes) - 1
-            elif inside >= 0 and not drop and (name in MAIN or name == "h1"):
+            elif inside >= 0 and not drop and not headers and (name in MAIN or name == "h1"):
                 boxes[inside].holds = True
             opened[name] += 1
             drops += drop
-            mains += name in MAIN and not words
-            links += name == "a"
-            if name == "a":
+            mains += main
+            headers += header
+            links += name in LINKS
+            if name in LINKS:
                 link_size = 0
             if name in ("td", "th"):
                 add(" ")
@@ -206,18 +222,22 @@ def lines(page: str) -> tuple[list[Line], list[Box]]:
     return out, boxes
 
 
-def _without_boxes(found: list[Line], boxes: list[Box]) -> list[Line]:
-    """The lines outside named containers, and inside those that wrap the article: they hold it, or most of the text."""
+def _without_boxes(found: list[Line], boxes: list[Box]) -> tuple[list[Line], list[Line]]:
+    """The lines outside boxes and inside those that wrap the article: they hold it, or most of the text; and all but comments.
+
+    Reader comments go whatever they hold, and their text is nobody's.
+    """
     for box in reversed(boxes):  # a container comes after the one around it
-        if box.parent >= 0:
+        if box.parent >= 0 and not box.comments:
             boxes[box.parent].plain += box.plain
             boxes[box.parent].holds |= box.holds
-    total = sum(line.plain for line in found)
-    gone: list[bool] = []
+    comments, gone = [], []
     for box in boxes:
-        wraps = box.holds or (not box.comments and box.plain > WRAPPER * total)
-        gone.append((box.parent >= 0 and gone[box.parent]) or not wraps)
-    return [line for line in found if line.box < 0 or not gone[line.box]]
+        comments.append(box.comments or (box.parent >= 0 and comments[box.parent]))
+    total = sum(line.plain for line in found if not line.header and (line.box < 0 or not comments[line.box]))
+    for box, talk in zip(boxes, comments, strict=True):
+        gone.append(talk or (box.parent >= 0 and gone[box.parent]) or not (box.holds or box.plain > WRAPPER * total))
+    return [line for line in found if line.box < 0 or not gone[line.box]], [line for line in found if line.box < 0 or not comments[line.box]]
 
 
 def _between(size: list[int], window: int, surge: int) -> list[bool]:
@@ -242,18 +262,42 @@ def _between(size: list[int], window: int, surge: int) -> list[bool]:
     return kept
 
 
+def _whole_container(found: list[Line], size: list[int], kept: list[bool]) -> list[bool]:
+    """kept with the other paragraphs of the container that directly holds most of the kept text, short links between them too."""
+    direct: Counter[int] = Counter()
+    for line, n, k in zip(found, size, kept, strict=True):
+        if k and line.tag in PARAGRAPHS:
+            direct[line.container] += n
+    if not direct or 2 * max(direct.values()) < sum(n for n, k in zip(size, kept, strict=True) if k):
+        return kept
+    home = max(direct, key=direct.__getitem__)
+    own = [i for i, (line, n) in enumerate(zip(found, size, strict=True)) if line.container == home and line.tag in PARAGRAPHS and (n or kept[i])]
+    inside = lambda i, line: own[0] <= i <= own[-1] and line.container == home and line.tag in PARAGRAPHS
+    return [k or inside(i, line) for i, (k, line) in enumerate(zip(kept, found, strict=True))]
+
+
 def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
-    """The lines between surge and dive points, joined by a line feed; empty if there are none."""
+    """The lines between surge and dive points, joined by a line feed; empty if there are none.
+
+    A header of the page is no article text, but its h1 is the title where the page has no other and no <article> or <main>.
+    """
     every, boxes = lines(page or "")
-    found = _without_boxes(every, boxes)
+    title = [line for line in every if line.header and line.tag == "h1"]
+    if any(line.main or (line.tag == "h1" and not line.header) for line in every):
+        title = []
+    found, spoken = _without_boxes(every, boxes)
+    found = [line for line in found if not line.header]
     if not any(line.plain for line in found):
-        found = every  # names are hints: they never leave a page without its text
+        found = [line for line in spoken if not line.header]  # names are hints: they never leave a page without its text
     within = sum(line.plain for line in found if line.main)
     if within and OUTSIDE * within >= sum(line.plain for line in found if not line.main):
         size = [max(line.plain, surge) if line.main else 0 for line in found]
+        kept = _between(size, window, surge)
     else:
         size = [line.plain for line in found]
-    return "\n".join(line.text for line, kept in zip(found, _between(size, window, surge), strict=True) if kept)
+        kept = _whole_container(found, size, _between(size, window, surge))
+    text = [line.text for line, k in zip(found, kept, strict=True) if k]
+    return "\n".join([line.text for line in title] * bool(text) + text)
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -42,6 +42,58 @@ def test_teasers_short_and_linked_articles():
     assert html.main_text(f"<body><div><p>{BODY[0]}</p><p><a href=y>See more</a></p><p>{BODY[1]}</p></div>{MENU}</body>") == TEXT.replace("\n", "\nSee more\n")
 
 
+PLAIN = [f"Paragraph number {i} of a plain page, which goes on for a good while so that it is a long one, as they are." for i in range(4)]
+COMMENT = "I have an opinion about this and I write it down at length, so that it is as long as the article is, or longer."
+
+
+def plain(*more):
+    return "".join(f"<p>{t}</p>" for t in (*PLAIN, *more))
+
+
+@pytest.mark.parametrize("comment", ["<article class=comment><p>{}</p></article>", "<div class='comment-body'><article><p>{}</p></article></div>", "<article id=comment-7 class=comment><h1>Re</h1><p>{}</p></article>"])
+def test_a_comment_article_hides_nothing_after_it(comment):
+    talk = comment.format(COMMENT)
+    half = "".join(f"<p>{t}</p>" for t in PLAIN[:2]), "".join(f"<p>{t}</p>" for t in PLAIN[2:])
+    for page in (f"<main>{half[0]}{talk}{half[1]}</main><div>{COMMENT[:70]}</div>", f"{talk}<article>{plain()}</article><div><p>{COMMENT}</p></div>"):
+        assert html.main_text(f"<body>{page}</body>") == "\n".join(PLAIN)
+
+
+@pytest.mark.parametrize("wrap", ["<form id=aspnetForm action=x>{}</form>", "<fieldset>{}</fieldset>", "<form><fieldset><legend>Page</legend>{}</fieldset></form>", "<form><div class=page>{}</div><input name=q></form>"])
+def test_forms_around_the_page(wrap):
+    search = "<form><label>Search this site</label><input name=q><button>Go</button><p>Type a word.</p></form>"
+    assert html.main_text(f"<body>{wrap.format(MENU + plain())}</body>") == "\n".join(PLAIN)
+    assert html.main_text(f"<body>{wrap.format(MENU + '<article>' + plain() + '</article>')}</body>") == "\n".join(PLAIN)
+    assert html.main_text(f"<body>{MENU}{search}{plain()}{search}</body>") == "\n".join(PLAIN)
+
+
+@pytest.mark.parametrize("inner", ["<h1>Comments</h1><p>{0}</p><p>{0}</p>", "<article><p>{0}</p></article><article><p>{0}</p></article>", "<div class=sidebar><h1>x</h1><p>{0}</p></div>"])
+def test_comments_are_never_saved(inner):
+    talk = f"<section id=comments>{inner.format(COMMENT * 4)}</section>"
+    for page in (f"{plain()}{talk}", f"<article>{plain()}</article>{talk}", f"<main>{plain()}{talk}</main>", f"<div class=widget-area>{plain()}{talk}</div>"):
+        assert html.main_text(f"<body>{MENU}{page}</body>") == "\n".join(PLAIN)
+    assert html.main_text(f"<body>{talk}</body>") == ""
+
+
+def test_prefixed_names_of_sidebars():
+    side = "".join(f"<p>{COMMENT[:80]}</p>" for _ in range(3))
+    for name in ("c-aside", "l-sidebar", "o-aside u-right", "m-promo"):
+        assert html.main_text(f"<body>{MENU}<div>{plain()}</div><div class='{name}'>{side}</div></body>") == "\n".join(PLAIN)
+
+
+@pytest.mark.parametrize("around", ["{}", "<div>{}</div>", "<div class=text>{}</div>"])
+def test_closing_paragraphs_after_a_link(around):
+    page = plain() + "<p><a href=x>Read on</a></p><p>So it ended.</p><p>The end.</p><p><a href=y>Next</a></p>"
+    assert html.main_text(f"<body>{MENU}{around.format(page)}<div><a href=z>Home</a></div><div>Made by us.</div></body>") == "\n".join([*PLAIN, "Read on", "So it ended.", "The end."])
+
+
+def test_title_in_the_header_of_the_page():
+    head = "<header><div>Site name</div><nav><a href=x>Menu</a></nav><h1>A title</h1><p>Some words of a slogan, which may be as long as they like, for a header.</p></header>"
+    assert html.main_text(f"<body>{head}{plain()}</body>") == "\n".join(["A title", *PLAIN])
+    assert html.main_text(f"<body>{head}<h1>Own title</h1>{plain()}</body>") == "\n".join(["Own title", *PLAIN])
+    assert html.main_text(f"<body>{head}<article>{plain()}</article></body>") == "\n".join(PLAIN)
+    assert html.main_text(f"<body>{head}</body>") == ""
+
+
 def test_empty_pages():
     for page in (None, "", "   ", MENU, "<script>var a = 1</script>", "<!-- open"):
         assert html.main_text(page) == ""
