@@ -2,86 +2,151 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Candidates of a problem, after pruning, and search steps beyond which its status is too_large or step_limit.
-MAX_CANDIDATES, MAX_STEPS = 400, 200_000
+MAX_CANDIDATES, MAX_STEPS = 2_000, 50_000
+#: Subgradient steps for the prices of the bound.
+PRICE_STEPS = 80
 #: Members of a pool beyond which pool_pairs() refuses it: pairs grow with the square.
 MAX_POOL = 500
 SCALE = 1_000_000
 
 
 class _Search:
-    """Depth-first search for the best k candidates; the bound is the sum of the largest weights left."""
+    """Branch and bound for the best k candidates.
+
+    The bound drops the pairs and gives every wanted category, and all others together, the best candidates for its
+    own slots, at most the room of a group in each. Caps of groups over several categories and the minimums of labels
+    have prices (Lagrange multipliers, found once by subgradient steps), so a quota on a low-scored category or a rare
+    label does not loosen it. Penalties and conflicts with chosen candidates count in full. A branch goes only if its
+    bound is below the best value, so of equal selections the one with the smaller ids is found.
+    """
 
     def __init__(self, rows: list[dict], edges: list[dict], k: int, cap: int, quotas: dict, minimums: dict) -> None:
-        rows = sorted(rows, key=lambda r: (not r["pinned"], -r["weight"]))
-        self.ids, self.weight, self.group, self.category = ([r[c] for r in rows] for c in ("item_id", "weight", "grp", "category"))
-        self.labels, self.pins = [set(r["labels"]) for r in rows], sum(r["pinned"] for r in rows)
-        self.k, self.cap, self.quotas, self.minimums = k, cap, quotas, minimums
+        rows = sorted(rows, key=lambda r: r["item_id"])
+        self.ids, self.weight = [r["item_id"] for r in rows], np.array([r["weight"] for r in rows], np.int64)
+        self.pins = [i for i, r in enumerate(rows) if r["pinned"]]
+        self.k, self.cap = k, cap
+        groups = {g: n for n, g in enumerate(dict.fromkeys(r["grp"] for r in rows))}
+        self.group = np.array([groups[r["grp"]] for r in rows], np.int64)
+        self.room = np.full(len(groups), cap)
+        wanted = {c: n for n, c in enumerate(quotas)}
+        self.kind = np.array([wanted.get(r["category"], len(wanted)) for r in rows], np.int64)
+        self.slots = np.array([*quotas.values(), k - sum(quotas.values())])
+        self.least = np.array(list(minimums.values()), np.int64)
+        self.has = np.array([[x in (r["labels"] if r["labels"] is not None else ()) for x in minimums] for r in rows], bool).reshape(len(rows), len(minimums))
         at = {i: p for p, i in enumerate(self.ids)}
-        self.cost: dict[int, dict[int, int | None]] = {}
+        self.cost: dict[int, dict[int, int | None]] = {i: {} for i in range(len(rows))}
         for e in edges:
             if e["left_id"] in at and e["right_id"] in at:
-                a, b = sorted((at[e["left_id"]], at[e["right_id"]]))
-                self.cost.setdefault(b, {})[a] = None if e["conflict"] else int(e["penalty"])
-        upto = [0]
-        for w in self.weight[self.pins :]:
-            upto.append(upto[-1] + w)
-        self.upto = upto
+                x, y = at[e["left_id"]], at[e["right_id"]]
+                self.cost[x][y] = self.cost[y][x] = None if e["conflict"] else int(e["penalty"])
         self.best: tuple[int, tuple[int, ...]] | None = None
         self.steps = 0
 
-    def _most(self, at: int, left: int) -> int:
-        start = max(at, self.pins) - self.pins
-        return self.upto[min(start + left, len(self.upto) - 1)] - self.upto[start]
+    def _fill(self, worth: np.ndarray, free: np.ndarray, room: np.ndarray, slots: np.ndarray) -> list[int] | None:
+        """The best free candidates for the slots of each kind, at most `room` of a group in each kind; None if some stay empty."""
+        found = []
+        order = np.flatnonzero(free)
+        order = order[np.argsort(-worth[order], kind="stable")]
+        for kind, n in enumerate(slots):
+            if n:
+                own, taken, start = order[self.kind[order] == kind], {}, len(found)
+                for i in own.tolist():
+                    g = int(self.group[i])
+                    if taken.get(g, 0) < room[g]:
+                        taken[g] = taken.get(g, 0) + 1
+                        found.append(i)
+                        if len(found) - start == n:
+                            break
+                if len(found) - start < n:
+                    return None
+        return found
+
+    def _prices(self) -> tuple[np.ndarray, np.ndarray]:
+        """Prices of groups and labels that make the bound of the whole problem small."""
+        price, pay = np.zeros(len(self.room)), np.zeros(len(self.least))
+        free, best, kept = np.ones(len(self.ids), bool), np.inf, (price, pay)
+        scale = float(np.ptp(self.weight)) / 4 if len(self.ids) else 0.0
+        for step in range(PRICE_STEPS):
+            found = self._fill(self.weight - price[self.group] + self.has @ pay, free, self.room, self.slots)
+            if found is None:
+                break
+            held, labels = np.bincount(self.group[found], minlength=len(price)), self.has[found].sum(axis=0)
+            bound = self.weight[found].sum() + price @ (self.cap - held) + pay @ (labels - self.least)
+            if bound < best:
+                best, kept = bound, (price, pay)
+            rate = scale / (1 + step / 4)
+            price, pay = np.maximum(0, price + rate * (held - self.cap)), np.maximum(0, pay - rate * (labels - self.least))
+        return kept
 
     def run(self) -> None:
-        stack = [(0, (), 0)]  # next candidate, chosen places, value
+        price, pay = self._prices()
+        worth = self.weight - price[self.group] + self.has @ pay
+        state = self._with(((), 0, np.ones(len(self.ids), bool), np.zeros(len(self.ids))), self.pins)
+        stack = [state] if state is not None else []
         while stack:
-            at, chosen, value = stack.pop()
+            chosen, value, free, due = stack.pop()
             self.steps += 1
             if self.steps > MAX_STEPS:
                 return
             if len(chosen) == self.k:
                 self._settle(chosen, value)
                 continue
-            left = self.k - len(chosen)
-            if at >= len(self.ids) or len(self.ids) - at < left:
+            of = list(chosen)
+            held, labels = np.bincount(self.group[of], minlength=len(self.room)), self.has[of].sum(axis=0)
+            slots, room = self.slots - np.bincount(self.kind[of], minlength=len(self.slots)), self.cap - held
+            if (labels + self.has[free].sum(axis=0) < self.least).any() or (self.least - labels > self.k - len(chosen)).any():
                 continue
-            if at >= self.pins and self.best and value + self._most(at, left) < self.best[0]:
+            now = worth - due
+            found = self._fill(now, free, room, slots)
+            if found is None:
                 continue
-            if at >= self.pins:
-                stack.append((at + 1, chosen, value))
-            gain = self._gain(at, chosen)
-            if gain is not None:
-                stack.append((at + 1, (*chosen, at), value + gain))
-
-    def _gain(self, at: int, chosen: tuple[int, ...]) -> int | None:
-        """What the candidate adds to the value; None if it may not join."""
-        if sum(self.group[c] == self.group[at] for c in chosen) >= self.cap:
-            return None
-        quota = self.quotas.get(self.category[at])
-        if quota is not None and sum(self.category[c] == self.category[at] for c in chosen) >= quota:
+            bound = value + now[found].sum() + price @ room + pay @ (labels - self.least)
+            if self.best and np.floor(bound + 0.01) < self.best[0]:
+                continue
+            whole = self._with((chosen, value, free, due), found)
+            if whole is not None:
+                self._settle(whole[0], whole[1])
+            pick = max(found, key=lambda i: (now[i], -i))
+            rest = free.copy()
+            rest[pick] = False
+            stack.append((chosen, value, rest, due))
+            taken = self._with((chosen, value, free, due), [pick])
+            if taken is not None:
+                stack.append(taken)
+
+    def _with(self, state: tuple, more: list[int]) -> tuple | None:
+        """(chosen, value, free, penalties due) after more candidates join; None if they may not."""
+        chosen, value, free, due = state
+        if not more:
+            return state
+        free, due = free.copy(), due.copy()
+        for i in more:
+            if not free[i]:
+                return None
+            chosen, value = (*chosen, i), value + int(self.weight[i]) - int(due[i])
+            free[i] = False
+            for j, cost in self.cost[i].items():
+                if cost is None:
+                    free[j] = False
+                else:
+                    due[j] += cost
+        of = list(chosen)
+        held = np.bincount(self.group[of], minlength=len(self.room))
+        if len(chosen) > self.k or (held > self.cap).any() or (np.bincount(self.kind[of], minlength=len(self.slots)) > self.slots).any():
             return None
-        gain, cost = self.weight[at], self.cost.get(at, {})
-        for c in chosen:
-            if c in cost:
-                if cost[c] is None:
-                    return None
-                gain -= cost[c]
-        return gain
+        free &= (held < self.cap)[self.group]
+        return chosen, value, free, due
 
     def _settle(self, chosen: tuple[int, ...], value: int) -> None:
-        if any(at not in chosen for at in range(self.pins)):
-            return
-        held, labels = Counter(self.category[c] for c in chosen), Counter(x for c in chosen for x in self.labels[c])
-        if any(held[c] != n for c, n in self.quotas.items()) or any(labels[x] < n for x, n in self.minimums.items()):
+        if len(chosen) < self.k or (self.has[list(chosen)].sum(axis=0) < self.least).any():
             return
         ids = tuple(sorted(self.ids[c] for c in chosen))
         if self.best is None or (-value, ids) < (-self.best[0], self.best[1]):

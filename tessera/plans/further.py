@@ -26,6 +26,16 @@ def _problems(spark, sf_dir):
     return candidates, edges.where("conflict or penalty > 0")
 
 
+@query()
+def g4_select_rules(spark, sf_dir):
+    """Six of 80 neighbouring parts: at most two of a type, two red ones, two rings at least, the first one pinned, neighbours in conflict or at a price."""
+    p = table(spark, sf_dir, "part").select(F.floor(F.col("p_partkey") / 80).alias("problem"), F.col("p_partkey").alias("item_id"), F.col("p_type").alias("grp"), "p_size", F.split("p_name", " ").alias("labels"))
+    candidates = p.select("problem", "item_id", "grp", F.get("labels", F.lit(0)).alias("category"), (F.col("p_size") / 50).alias("score"), "labels", (F.col("item_id") % 80 == 0).alias("pinned"))
+    right = p.select("problem", F.col("item_id").alias("right_id"), F.col("p_size").alias("size_2"), (F.col("item_id") - 1).alias("left_id"))
+    edges = p.withColumnRenamed("item_id", "left_id").join(right, ["problem", "left_id"]).select("problem", "left_id", "right_id", (F.col("p_size") + F.col("size_2") > 80).alias("conflict"), (F.abs(F.col("p_size") - F.col("size_2")) / 200).alias("penalty"))
+    return selection.select_constrained(candidates, edges, 6, 2, {"red": 2}, {"ring": 2})
+
+
 @query("""WITH l AS (SELECT l_orderkey, l_linenumber, max(l_quantity) AS l_quantity, min(l_linestatus) AS l_linestatus, min(l_returnflag) AS l_returnflag, min(l_suppkey) AS l_suppkey, min(l_tax) AS l_tax FROM lineitem GROUP BY 1, 2),
   c AS (SELECT l_orderkey AS problem, l_linenumber AS item_id, l_linestatus AS grp, l_returnflag AS cat, l_suppkey AS s, l_tax AS t, count(*) OVER (PARTITION BY l_orderkey) AS n,
     CAST(round(CAST(l_quantity AS DOUBLE) / 50 * 1000000) AS BIGINT) * (count(*) OVER (PARTITION BY l_orderkey) + 1) + count(*) OVER (PARTITION BY l_orderkey) + 1
