@@ -7,11 +7,12 @@ import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
-#: Folders of the tables written inside each open temporary_tables().
-_open: list[dict[int, str]] = []
+#: Tables written inside each open temporary_tables(), with their folders; a table that is held keeps its id.
+_open: list[dict[int, tuple[DataFrame, str]]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,7 +34,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     df.write.parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     if _open:
-        _open[-1][id(table)] = path
+        _open[-1][id(table)] = table, path
     return table
 
 
@@ -47,14 +48,29 @@ def temporary_tables(spark: SparkSession) -> Iterator[Callable[[DataFrame], Data
     kept: list[str] = []
 
     def keep(table: DataFrame) -> DataFrame:
-        kept.append(_open[-1][id(table)])
+        kept.append(_open[-1][id(table)][1])
         return table
 
     try:
         yield keep
     finally:
         jvm = spark.sparkContext._jvm
-        for path in _open.pop().values():
+        for _, path in _open.pop().values():
             if path not in kept:
                 folder = jvm.org.apache.hadoop.fs.Path(path)
                 folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def with_positions(df: DataFrame, *order: Column, name: str) -> DataFrame:
+    """df with each row's place, from 0, in an order over all rows: a range sort, then one count a partition at the driver."""
+    spark = df.sparkSession
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    placed = materialize(placed, "positions")
+    part, row = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("n")).orderBy("_part").collect()
+    starts, total = [], 0
+    for r in counts:
+        starts.append((r["_part"], total))
+        total += r["n"]
+    starts = spark.createDataFrame(starts, "_part long, _start long")
+    return placed.withColumn("_part", part).join(starts, "_part").withColumn(name, F.col("_start") + row).drop("_at", "_part", "_start")

@@ -81,3 +81,15 @@ def reasons(semantic: Column, aesthetic: Column, technical: Column) -> Column:
     """Sentences for the scores that are known."""
     said = lambda text, x: F.when(x.isNotNull(), F.format_string(text, F.round(x).cast("long")))
     return F.array_compact(F.array(said("meaning %d", semantic), said("aesthetic %d", aesthetic), said("technical %d", technical)))
+
+
+def grounded_reasons(semantic: Column, quality: Column, preference: Column, comparisons: Column, contextual: bool = False) -> Column:
+    """Why an item was taken, in sentences that only state its scores; an unknown meaning is not mentioned.
+
+    Fixed values: the sentences. With `contextual`, preference is the residual of a learned model.
+    """
+    learned = F.format_string("learned contextual utility residual %+.3f from %d comparisons" if contextual else "personal preference fit %.3f from %d comparisons", preference, comparisons)
+    return F.array_compact(F.array(
+        F.when(semantic.isNotNull(), F.format_string("semantic similarity %.3f", semantic)), F.format_string("quality %.1f/100", F.coalesce(quality, F.lit(0.0))),
+        F.lit("passes reject and collection constraints"), F.when(comparisons > 0, learned),
+    ))

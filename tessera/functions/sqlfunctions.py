@@ -86,7 +86,7 @@ def register(spark: SparkSession) -> None:
 def register_detector(spark: SparkSession, name: str, detect: Callable[[object], Iterable[tuple]], schema: str) -> None:
     """Make detect, which gives any number of rows for one value, a table function: FROM t, LATERAL name(t.column).
 
-    A null value has no rows; LEFT JOIN LATERAL keeps the rows that have none.
+    A null value has no rows.
     """
 
     class Detector:

@@ -6,6 +6,8 @@ nothing in a join and counts as its own group in an aggregate; empty tables give
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -94,6 +96,32 @@ def collection_summary(items: DataFrame) -> DataFrame:
     )
 
 
+def library_overview(collections: DataFrame, items: DataFrame, mentions: DataFrame, selections: DataFrame) -> DataFrame:
+    """collections with all their counts: items, analyzed, rejected, groups, embedded, embedding_provider, mentions, processed, entity_provider, selections.
+
+    items: collection_id, item_id, quality_score, blur_score, phash, dhash, auto_reject, group_id, file_size, mtime, and for
+    embedding_ and entity_ each provider, size, mtime; embedding_path and embedding_sha, processed. mentions: item_id;
+    selections: collection_id. A derived value counts if it was made from the file as it is now; a provider is named only
+    where it is the only one. One aggregate of each table, joined by collection; a collection without rows has zeros.
+    """
+    c = F.col
+    current = lambda kind: (c(f"{kind}_size") == c("file_size")) & (c(f"{kind}_mtime") == c("mtime"))
+    embedded = F.coalesce(c("embedding_path").isNotNull() & current("embedding") & c("embedding_sha").rlike("^[0-9a-f]{64}$"), F.lit(False))
+    processed = F.coalesce(c("processed") & current("entity"), F.lit(False))
+    only = lambda when, name: F.when(F.min(F.when(when, c(name))) == F.max(F.when(when, c(name))), F.max(F.when(when, c(name))))
+    whole = F.coalesce(c("quality_score"), c("blur_score")).isNotNull() & c("quality_score").isNotNull() & c("blur_score").isNotNull() & c("phash").isNotNull() & c("dhash").isNotNull()
+    of_items = items.groupBy("collection_id").agg(
+        F.count(F.lit(1)).alias("items"), F.count_if(whole).alias("analyzed"), F.count_if("auto_reject").alias("rejected"), F.countDistinct("group_id").alias("groups"),
+        F.count_if(embedded).alias("embedded"), only(embedded, "embedding_provider").alias("embedding_provider"), F.count_if(processed).alias("processed"), only(processed, "entity_provider").alias("entity_provider"),
+    )
+    per_item = mentions.groupBy("item_id").agg(F.count(F.lit(1)).alias("n"))
+    of_mentions = items.select("collection_id", "item_id").join(per_item, "item_id").groupBy("collection_id").agg(F.sum("n").alias("mentions"))
+    of_selections = selections.groupBy("collection_id").agg(F.count(F.lit(1)).alias("selections"))
+    joined = collections.join(of_items, "collection_id", "left").join(of_mentions, "collection_id", "left").join(of_selections, "collection_id", "left")
+    counts = ("items", "analyzed", "rejected", "groups", "embedded", "mentions", "processed", "selections")
+    return joined.withColumns({n: F.coalesce(c(n), F.lit(0)).cast("long") for n in counts})
+
+
 def entity_state(rows: DataFrame, by: str, done: Column) -> DataFrame:
     """Per group: processed rows, rows left, providers of the processed ones and the last."""
     ok = F.coalesce(done, F.lit(False))
@@ -129,6 +157,28 @@ def feasibility(candidates: DataFrame, problem: str, category: str, k: int, quot
     return candidates.groupBy(problem).agg(F.count(F.lit(1)).alias("_n"), *counts).select(problem, status.alias("status"))
 
 
+def selection_feasibility(candidates: DataFrame, required: DataFrame, k: int, cap: int, quotas: dict[str, int], minimums: dict[str, int]) -> DataFrame:
+    """problem, status: required_items_infeasible, category_quota_infeasible, infeasible or feasible, the first that holds.
+
+    candidates: problem, item_id, grp, category, labels; required: problem, item_id. Required items must be candidates and
+    not more than k; quotas must fit k and the candidates; label minimums too; groups of at most cap must leave k items. A
+    problem that only required names has no candidates. Repeated rows count once; a null group is one group.
+    """
+    one = candidates.dropDuplicates(["problem", "item_id"])
+    counts = [F.count_if(F.col("category") == x).alias(f"_q{n}") for n, x in enumerate(quotas)] + [F.count_if(F.array_contains("labels", x)).alias(f"_m{n}") for n, x in enumerate(minimums)]
+    held = one.groupBy("problem").agg(*counts, F.count(F.lit(1)).alias("_n"))
+    room = one.groupBy("problem", "grp").agg(F.least(F.count(F.lit(1)), F.lit(cap)).alias("_room")).groupBy("problem").agg(F.sum("_room").alias("_room"))
+    asked = required.select("problem", "item_id").distinct().join(one.select("problem", "item_id", F.lit(1).alias("_there")), ["problem", "item_id"], "left")
+    asked = asked.groupBy("problem").agg(F.count(F.lit(1)).alias("_asked"), F.count("_there").alias("_found"))
+    rows = held.join(room, "problem").join(asked, "problem", "full")
+    n = lambda name: F.coalesce(F.col(name), F.lit(0))
+    any_of = lambda tests: reduce(lambda a, b: a | b, tests, F.lit(False))
+    short = F.lit(sum(quotas.values()) > k) | any_of(n(f"_q{i}") < least for i, least in enumerate(quotas.values()))
+    few = any_of(F.lit(least > k) | (n(f"_m{i}") < least) for i, least in enumerate(minimums.values())) | (n("_room") < k)
+    status = F.when((n("_asked") > k) | (n("_asked") > n("_found")), "required_items_infeasible").when(short, "category_quota_infeasible").when(few, "infeasible").otherwise("feasible")
+    return rows.select("problem", status.alias("status"))
+
+
 def dim_conflicts(events: DataFrame, keys: list[str], vec: str) -> DataFrame:
     """Keys whose vectors have more than one length."""
     size = F.when(F.col(vec).isNotNull(), F.size(vec))

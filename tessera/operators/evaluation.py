@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.shared import with_positions
+
 
 def query_summary(queries: DataFrame, judgments: DataFrame) -> DataFrame:
     """query_id, judged, relevant of every query; queries without judgements have 0."""
@@ -68,11 +70,11 @@ def pair_agreement(cases: DataFrame, predictions: DataFrame, baseline: str, tie:
 def bootstrap_ci(values: DataFrame, group: str, value: str, draws: int = 2000, seed: int = 0) -> DataFrame:
     """mean, low, high (2.5 and 97.5 %) of the mean under resampling whole groups; nulls for fewer than 2 groups.
 
-    Groups are pre-aggregated and numbered; each draw picks as many numbers as there are groups by a hash
+    Groups are pre-aggregated and numbered by a range sort; each draw picks as many numbers as there are groups by a hash
     of (seed, draw, slot), so draws are rows that Spark spreads, and the same seed gives the same result.
     """
     sums = values.groupBy(group).agg(F.sum(value).alias("s"), F.count(value).alias("n"))
-    numbered = sums.withColumn("at", F.row_number().over(Window.orderBy(group)) - 1)
+    numbered = with_positions(sums, F.col(group), name="at")
     size = F.broadcast(numbered.agg(F.max("at").alias("top"), (F.sum("s") / F.sum("n")).alias("mean")).withColumn("one", F.lit(1)))
     spark = values.sparkSession
     slots = spark.range(draws).withColumnRenamed("id", "draw").withColumn("one", F.lit(1)).join(size, "one").withColumn("slot", F.explode(F.sequence(F.lit(0), F.col("top").cast("int"))))

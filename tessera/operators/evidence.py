@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import canonical_sha256, escaped
+from tessera.functions.text import canonical_sha256, escaped, redact_paths
+from tessera.operators.entities import set_digest
 
 
 def evidence_bundles(ranked: DataFrame, top: int = 20) -> DataFrame:
@@ -28,6 +29,63 @@ def prompt_payloads(rows: DataFrame, key: str, text: Column) -> DataFrame:
     return rows.select(key, payload.alias("payload"), F.sha2(payload, 256).alias("digest"))
 
 
+#: Names the form of the digests below.
+EVIDENCE_SCHEMA = "evidence/1"
+
+
+def evidence_snapshots(queries: DataFrame, candidates: DataFrame, ranked: DataFrame, top: int = 20) -> DataFrame:
+    """query_id, n, query_digest, candidate_digest, evidence_digest, violations: what a bundle rests on, as three digests.
+
+    queries: query_id, query, provider; candidates: query_id, item_id; ranked: query_id, rank, item_id, score, provider. The
+    query and the first `top` rows of evidence, in order, are canonical JSON; candidates are a set of any size and are summed
+    up, never listed. violations: repeated_item, repeated_rank, outside_candidates, provider, path (a local path in the name
+    of the provider). A query without evidence has the digest of none.
+    """
+    spark_json = lambda *columns: F.sha2(F.to_json(F.struct(*columns)), 256)
+    asked = queries.select("query_id", F.col("provider").alias("_provider"), spark_json(F.coalesce("query", F.lit("")).alias("query"), F.lit(EVIDENCE_SCHEMA).alias("schema")).alias("query_digest"))
+    pool = set_digest(candidates.distinct(), "query_id", "item_id", "candidate_digest").select("query_id", "candidate_digest")
+    order = Window.partitionBy("query_id").orderBy("rank", "item_id")
+    kept = ranked.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= top)
+    known = candidates.select("query_id", "item_id", F.lit(True).alias("_known")).distinct()
+    rows = kept.join(known, ["query_id", "item_id"], "left").join(asked.select("query_id", "_provider"), "query_id")
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("_rn", F.to_json(F.struct("item_id", "rank", "score")).alias("j")))), lambda x: x["j"])
+    told = rows.groupBy("query_id").agg(
+        F.count(F.lit(1)).alias("n"), lines.alias("lines"), (F.count_distinct("item_id") < F.count(F.lit(1))).alias("_item"), (F.count_distinct("rank") < F.count(F.lit(1))).alias("_rank"),
+        F.bool_or(F.col("_known").isNull()).alias("_outside"), F.bool_or(~F.col("provider").eqNullSafe(F.col("_provider"))).alias("_other"),
+    )
+    found = asked.join(pool, "query_id", "left").join(told, "query_id", "left")
+    flags = {"repeated_item": F.col("_item"), "repeated_rank": F.col("_rank"), "outside_candidates": F.col("_outside"), "provider": F.col("_other"), "path": redact_paths(F.col("_provider"))["n"] > 0}
+    whole = F.concat(F.lit('{"evidence":['), F.array_join(F.coalesce("lines", F.array().cast("array<string>")), ","), F.lit(f'],"schema":"{EVIDENCE_SCHEMA}"}}'))
+    return found.select(
+        "query_id", F.coalesce("n", F.lit(0)).alias("n"), "query_digest", "candidate_digest", F.sha2(whole, 256).alias("evidence_digest"),
+        F.array_compact(F.array(*(F.when(f, name) for name, f in flags.items()))).alias("violations"),
+    )
+
+
+def _safe(text: Column) -> Column:
+    return F.replace(F.replace(escaped(text), F.lit("\u2028"), F.lit("\\u2028")), F.lit("\u2029"), F.lit("\\u2029"))
+
+
+def prompt_packages(queries: DataFrame, evidence: DataFrame) -> DataFrame:
+    """query_id, payload, redacted: allowed ids, the task and the evidence as JSON, local paths taken out, boundaries safe.
+
+    queries: query_id, query; evidence: query_id, rank, item_id, caption, score, a bounded list a query (evidence_snapshots
+    checks it). Texts of the evidence cannot close the boundary: &, <, > and line separators are escaped. redacted counts
+    the paths taken out. A query without evidence has an empty list.
+    """
+    clean = evidence.withColumn("_c", redact_paths(F.coalesce("caption", F.lit(""))))
+    row = F.struct("rank", "item_id", F.to_json(F.struct(F.col("_c.text").alias("caption"), "item_id", "rank", "score")).alias("j"))
+    listed = clean.groupBy("query_id").agg(F.array_sort(F.collect_list(row)).alias("rows"), F.sum("_c.n").alias("hits"))
+    both = queries.withColumn("_q", redact_paths(F.coalesce("query", F.lit("")))).join(listed, "query_id", "left")
+    names = F.transform(F.coalesce("rows", F.array().cast(listed.schema["rows"].dataType)), lambda r: r["item_id"].cast("string"))
+    items = F.array_join(F.transform(F.coalesce("rows", F.array().cast(listed.schema["rows"].dataType)), lambda r: r["j"]), ",")
+    task = _safe(F.to_json(F.struct(F.col("_q.text").alias("query"))))
+    payload = F.concat(
+        F.lit("CONTROL "), _safe(F.to_json(F.struct(names.alias("allowed_ids")))), F.lit("\nTASK "), task, F.lit('\n<BEGIN_EVIDENCE>{"evidence":['), _safe(items), F.lit("]}<END_EVIDENCE>")
+    )
+    return both.select("query_id", payload.alias("payload"), (F.coalesce("hits", F.lit(0)) + F.col("_q.n")).cast("long").alias("redacted"))
+
+
 def validate_holdout(cases: DataFrame, predictions: DataFrame, methods: DataFrame) -> DataFrame:
     """case_id, violation: what is wrong with a holdout.
 

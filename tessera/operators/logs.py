@@ -105,12 +105,29 @@ def quota_plan(files: DataFrame, referenced: DataFrame, budget: int) -> DataFram
     )
 
 
-def snapshot_digest(rows: DataFrame, group: str, key: str, columns: list[str], buckets: int = 256) -> DataFrame:
-    """group, digest: SHA-256 of the group's rows in any order, folded by hash bucket so that no list is long."""
+#: Lines that one digest of a snapshot covers, about.
+DIGEST_LINES = 256
+
+
+def snapshot_digest(rows: DataFrame, group: str, key: str, columns: list[str]) -> DataFrame:
+    """group, digest: SHA-256 of the group's rows in any order, repeated ones counted.
+
+    Lines are hashed, those under one hash prefix are folded into its digest, then prefixes by 16 into the one that is a
+    digit shorter. The first prefix is as long as the group needs, so a list holds DIGEST_LINES lines or 16 digests or so,
+    whatever the group's size, and a hot group is spread over its prefixes.
+    """
     line = F.sha2(F.to_json(F.struct(key, *columns)), 256)
-    lines = rows.select(F.col(group), line.alias("line"))
-    parts = lines.groupBy(group, F.pmod(F.conv(F.substring("line", 1, 8), 16, 10).cast("long"), F.lit(buckets)).alias("bucket")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("line")), ""), 256).alias("part"))
-    return parts.groupBy(group).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "part"))), lambda x: x["part"]), ""), 256).alias("digest"))
+    lines = rows.select(F.col(group).alias("g"), line.alias("line")).groupBy("g", "line").agg(F.count(F.lit(1)).alias("n"))
+    sizes = lines.groupBy("g").agg(F.greatest(F.ceil(F.log(16.0, F.count(F.lit(1)) / DIGEST_LINES)), F.lit(0)).cast("int").alias("digits"))
+    deepest = sizes.agg(F.max("digits")).first()[0] or 0
+    sizes = sizes.withColumnRenamed("g", "_g")
+    fold = lambda t: t.groupBy("g", "prefix").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("item")), ""), 256).alias("item"))
+    parts = lines.join(sizes, F.col("g").eqNullSafe(F.col("_g"))).select("g", F.substring("line", F.lit(1), F.col("digits")).alias("prefix"), F.concat("line", F.lit(":"), F.col("n").cast("string")).alias("item"))
+    parts = fold(parts)
+    for digits in range(deepest, 0, -1):
+        up = parts.where(F.length("prefix") == digits).select("g", F.substring("prefix", 1, digits - 1).alias("prefix"), F.concat("prefix", F.lit("="), F.col("item")).alias("item"))
+        parts = parts.where(F.length("prefix") < digits).unionByName(fold(up))
+    return parts.select(F.col("g").alias(group), F.col("item").alias("digest"))
 
 
 def leakage(cases: DataFrame, digests: DataFrame, groups: DataFrame) -> DataFrame:

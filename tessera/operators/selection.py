@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass, replace
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,11 +14,26 @@ from pyspark.sql import functions as F
 MAX_CANDIDATES, MAX_STEPS = 2_000, 50_000
 #: Subgradient steps for the prices of the bound.
 PRICE_STEPS = 80
+#: Candidates up to which a problem is searched without prices.
+SMALL = 24
 #: Members of a pool beyond which pool_pairs() refuses it: pairs grow with the square.
 MAX_POOL = 500
 SCALE = 1_000_000
 
 
+@dataclass(frozen=True)
+class _State:
+    """Chosen candidates, their value, those that may still join by falling worth, and what is left of every limit."""
+
+    chosen: tuple[int, ...]
+    value: int
+    free: list[int]
+    due: dict[int, int]
+    room: list[int]
+    slots: list[int]
+    short: list[int]
+
+
 class _Search:
     """Branch and bound for the best k candidates.
 
@@ -30,127 +46,125 @@ class _Search:
 
     def __init__(self, rows: list[dict], edges: list[dict], k: int, cap: int, quotas: dict, minimums: dict) -> None:
         rows = sorted(rows, key=lambda r: r["item_id"])
-        self.ids, self.weight = [r["item_id"] for r in rows], np.array([r["weight"] for r in rows], np.int64)
+        self.ids, self.weight = [r["item_id"] for r in rows], [int(r["weight"]) for r in rows]
         self.pins = [i for i, r in enumerate(rows) if r["pinned"]]
         self.k, self.cap = k, cap
         groups = {g: n for n, g in enumerate(dict.fromkeys(r["grp"] for r in rows))}
-        self.group = np.array([groups[r["grp"]] for r in rows], np.int64)
-        self.room = np.full(len(groups), cap)
+        self.group, self.groups = [groups[r["grp"]] for r in rows], len(groups)
         wanted = {c: n for n, c in enumerate(quotas)}
-        self.kind = np.array([wanted.get(r["category"], len(wanted)) for r in rows], np.int64)
-        self.slots = np.array([*quotas.values(), k - sum(quotas.values())])
-        self.least = np.array(list(minimums.values()), np.int64)
-        self.has = np.array([[x in (r["labels"] if r["labels"] is not None else ()) for x in minimums] for r in rows], bool).reshape(len(rows), len(minimums))
+        self.kind = [wanted.get(r["category"], len(wanted)) for r in rows]
+        self.slots, self.least = [*quotas.values(), k - sum(quotas.values())], list(minimums.values())
+        self.labels = [[n for n, x in enumerate(minimums) if r["labels"] is not None and x in r["labels"]] for r in rows]
         at = {i: p for p, i in enumerate(self.ids)}
-        self.cost: dict[int, dict[int, int | None]] = {i: {} for i in range(len(rows))}
+        self.cost: dict[int, dict[int, int | None]] = {}
         for e in edges:
             if e["left_id"] in at and e["right_id"] in at:
                 x, y = at[e["left_id"]], at[e["right_id"]]
-                self.cost[x][y] = self.cost[y][x] = None if e["conflict"] else int(e["penalty"])
+                self.cost.setdefault(x, {})[y] = self.cost.setdefault(y, {})[x] = None if e["conflict"] else int(e["penalty"])
         self.best: tuple[int, tuple[int, ...]] | None = None
         self.steps = 0
 
-    def _fill(self, worth: np.ndarray, free: np.ndarray, room: np.ndarray, slots: np.ndarray) -> list[int] | None:
-        """The best free candidates for the slots of each kind, at most `room` of a group in each kind; None if some stay empty."""
-        found = []
-        order = np.flatnonzero(free)
-        order = order[np.argsort(-worth[order], kind="stable")]
-        for kind, n in enumerate(slots):
-            if n:
-                own, taken, start = order[self.kind[order] == kind], {}, len(found)
-                for i in own.tolist():
-                    g = int(self.group[i])
-                    if taken.get(g, 0) < room[g]:
-                        taken[g] = taken.get(g, 0) + 1
-                        found.append(i)
-                        if len(found) - start == n:
-                            break
-                if len(found) - start < n:
-                    return None
-        return found
-
-    def _prices(self) -> tuple[np.ndarray, np.ndarray]:
-        """Prices of groups and labels that make the bound of the whole problem small."""
-        price, pay = np.zeros(len(self.room)), np.zeros(len(self.least))
-        free, best, kept = np.ones(len(self.ids), bool), np.inf, (price, pay)
-        scale = float(np.ptp(self.weight)) / 4 if len(self.ids) else 0.0
-        for step in range(PRICE_STEPS):
-            found = self._fill(self.weight - price[self.group] + self.has @ pay, free, self.room, self.slots)
+    def _fill(self, order: list[int], room: list[int], slots: list[int]) -> list[int] | None:
+        """The first of these for the slots of each kind, at most `room` of a group in each kind; None if some stay empty."""
+        found, taken, left, open_ = [], {}, list(slots), sum(slots)
+        for i in order:
+            if not open_:
+                break
+            kind, g = self.kind[i], self.group[i]
+            if left[kind] and taken.get((kind, g), 0) < room[g]:
+                taken[kind, g] = taken.get((kind, g), 0) + 1
+                left[kind] -= 1
+                open_ -= 1
+                found.append(i)
+        return None if open_ else found
+
+    def _worth(self, price: list[float], pay: list[float]) -> list[float]:
+        return [w - price[g] + sum(pay[x] for x in own) for w, g, own in zip(self.weight, self.group, self.labels, strict=True)]
+
+    def _prices(self) -> tuple[list[float], list[float]]:
+        """Prices of groups and labels that make the bound of the whole problem small; none where nothing is short."""
+        price, pay = [0.0] * self.groups, [0.0] * len(self.least)
+        best, kept = math.inf, (price, pay)
+        scale = (max(self.weight, default=0) - min(self.weight, default=0)) / 4
+        for step in range(PRICE_STEPS if len(self.ids) > SMALL else 0):
+            worth = self._worth(price, pay)
+            found = self._fill(sorted(range(len(worth)), key=lambda i: -worth[i]), [self.cap] * self.groups, self.slots)
             if found is None:
                 break
-            held, labels = np.bincount(self.group[found], minlength=len(price)), self.has[found].sum(axis=0)
-            bound = self.weight[found].sum() + price @ (self.cap - held) + pay @ (labels - self.least)
+            over, short = [-self.cap] * self.groups, list(self.least)
+            for i in found:
+                over[self.group[i]] += 1
+                for x in self.labels[i]:
+                    short[x] -= 1
+            bound = sum(worth[i] for i in found) + self.cap * sum(price) - sum(p * n for p, n in zip(pay, self.least, strict=True))
             if bound < best:
                 best, kept = bound, (price, pay)
+            if not step and max(over) <= 0 and max(short, default=0) <= 0:
+                break
             rate = scale / (1 + step / 4)
-            price, pay = np.maximum(0, price + rate * (held - self.cap)), np.maximum(0, pay - rate * (labels - self.least))
+            price, pay = [max(0.0, p + rate * n) for p, n in zip(price, over, strict=True)], [max(0.0, p + rate * n) for p, n in zip(pay, short, strict=True)]
         return kept
 
     def run(self) -> None:
         price, pay = self._prices()
-        worth = self.weight - price[self.group] + self.has @ pay
-        state = self._with(((), 0, np.ones(len(self.ids), bool), np.zeros(len(self.ids))), self.pins)
-        stack = [state] if state is not None else []
+        worth = self._worth(price, pay)
+        order = sorted(range(len(worth)), key=lambda i: -worth[i])
+        stack = [self._with(_State((), 0, order, {}, [self.cap] * self.groups, self.slots, self.least), self.pins)]
         while stack:
-            chosen, value, free, due = stack.pop()
+            state = stack.pop()
+            if state is None:
+                continue
             self.steps += 1
             if self.steps > MAX_STEPS:
                 return
-            if len(chosen) == self.k:
-                self._settle(chosen, value)
+            left = self.k - len(state.chosen)
+            if not left:
+                self._settle(state)
                 continue
-            of = list(chosen)
-            held, labels = np.bincount(self.group[of], minlength=len(self.room)), self.has[of].sum(axis=0)
-            slots, room = self.slots - np.bincount(self.kind[of], minlength=len(self.slots)), self.cap - held
-            if (labels + self.has[free].sum(axis=0) < self.least).any() or (self.least - labels > self.k - len(chosen)).any():
+            if max(state.short, default=0) > left:
                 continue
-            now = worth - due
-            found = self._fill(now, free, room, slots)
+            due = state.due
+            free = sorted(state.free, key=lambda i: due.get(i, 0) - worth[i]) if due else state.free
+            found = self._fill(free, state.room, state.slots)
             if found is None:
                 continue
-            bound = value + now[found].sum() + price @ room + pay @ (labels - self.least)
-            if self.best and np.floor(bound + 0.01) < self.best[0]:
+            bound = state.value + sum(worth[i] - due.get(i, 0) for i in found) + sum(p * n for p, n in zip(price, state.room, strict=True)) - sum(p * n for p, n in zip(pay, state.short, strict=True))
+            if self.best and math.floor(bound + 0.01) < self.best[0]:
                 continue
-            whole = self._with((chosen, value, free, due), found)
+            whole = self._with(state, found)
             if whole is not None:
-                self._settle(whole[0], whole[1])
-            pick = max(found, key=lambda i: (now[i], -i))
-            rest = free.copy()
-            rest[pick] = False
-            stack.append((chosen, value, rest, due))
-            taken = self._with((chosen, value, free, due), [pick])
-            if taken is not None:
-                stack.append(taken)
-
-    def _with(self, state: tuple, more: list[int]) -> tuple | None:
-        """(chosen, value, free, penalties due) after more candidates join; None if they may not."""
-        chosen, value, free, due = state
-        if not more:
-            return state
-        free, due = free.copy(), due.copy()
+                self._settle(whole)
+            pick = max(found, key=lambda i: (worth[i] - due.get(i, 0), -i))
+            stack.append(replace(state, free=[i for i in state.free if i != pick]))
+            stack.append(self._with(state, [pick]))
+
+    def _with(self, state: _State, more: list[int]) -> _State | None:
+        """The state after more candidates join; None if they may not."""
+        value, due, room, slots, short = state.value, dict(state.due), list(state.room), list(state.slots), list(state.short)
+        gone: set[int] = set()
         for i in more:
-            if not free[i]:
+            g, kind = self.group[i], self.kind[i]
+            if i in gone or not room[g] or not slots[kind]:
                 return None
-            chosen, value = (*chosen, i), value + int(self.weight[i]) - int(due[i])
-            free[i] = False
-            for j, cost in self.cost[i].items():
+            room[g] -= 1
+            slots[kind] -= 1
+            value += self.weight[i] - due.get(i, 0)
+            gone.add(i)
+            for x in self.labels[i]:
+                short[x] -= 1
+            for j, cost in self.cost.get(i, {}).items():
                 if cost is None:
-                    free[j] = False
-                else:
-                    due[j] += cost
-        of = list(chosen)
-        held = np.bincount(self.group[of], minlength=len(self.room))
-        if len(chosen) > self.k or (held > self.cap).any() or (np.bincount(self.kind[of], minlength=len(self.slots)) > self.slots).any():
-            return None
-        free &= (held < self.cap)[self.group]
-        return chosen, value, free, due
-
-    def _settle(self, chosen: tuple[int, ...], value: int) -> None:
-        if len(chosen) < self.k or (self.has[list(chosen)].sum(axis=0) < self.least).any():
+                    gone.add(j)
+                elif cost:
+                    due[j] = due.get(j, 0) + cost
+        return _State((*state.chosen, *more), value, [i for i in state.free if i not in gone and room[self.group[i]]], due, room, slots, short)
+
+    def _settle(self, state: _State) -> None:
+        if len(state.chosen) < self.k or max(state.short, default=0) > 0:
             return
-        ids = tuple(sorted(self.ids[c] for c in chosen))
-        if self.best is None or (-value, ids) < (-self.best[0], self.best[1]):
-            self.best = value, ids
+        ids = tuple(sorted(self.ids[c] for c in state.chosen))
+        if self.best is None or (-state.value, ids) < (-self.best[0], self.best[1]):
+            self.best = state.value, ids
 
 
 def select_constrained(

@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from tessera.functions import requests, sqlfunctions
 from tessera.functions import scalars as S
-from tessera.operators import acquisition, agglomeration, learning
-from tessera.plans.extended import _luma, _v2_sql, part_signals
+from tessera.functions import signals as G
+from tessera.operators import acquisition, agglomeration, catalog, evidence, learning
+from tessera.plans.extended import _luma, _ranked, _v2_sql, part_signals
 from tessera.plans.registry import ORACLE_SQL, query
-from tessera.sources.views import items, items_dup, pref_events, table
+from tessera.sources.views import ITEMS_SQL, items, items_dup, pref_events, table
 from tessera.streaming import weights
 
 RANK = 4
@@ -141,3 +142,77 @@ def m4_sql_redact(spark, sf_dir):
     table(spark, sf_dir, "customer").createOrReplaceTempView("m4_customer")
     return spark.sql("""SELECT c_custkey, r.text, r.n FROM (SELECT c_custkey, redact_paths(CASE c_custkey % 3 WHEN 0 THEN concat('saved to /home/ann/', c_name, '.txt')
       WHEN 1 THEN concat('see http://example.com/a/', c_custkey) ELSE c_mktsegment END) AS r FROM m4_customer)""")
+
+
+_LIBRARY = """i AS (SELECT o_custkey AS collection_id, o_orderkey AS item_id, o_orderkey AS k, CASE WHEN o_orderkey % 7 > 0 THEN o_totalprice END AS q, o_orderkey % 11 > 0 AS blur, o_orderkey % 13 > 0 AS ph,
+  o_orderkey % 17 > 0 AS dh, o_orderkey % 5 = 0 AS rej, CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey // 9 END AS g, o_orderkey % 4 > 0 AND o_orderkey % 19 > 0 AND o_orderkey % 23 > 0 AS emb, 'e' || (o_orderkey % 31 // 30) AS ep,
+  o_orderkey % 6 > 0 AND o_orderkey % 29 > 0 AS ent, CASE WHEN o_orderkey % 37 > 0 THEN 'f' || (o_orderkey % 41 // 40) END AS fp FROM orders)"""
+
+
+@query(f"""WITH {_LIBRARY}, a AS (SELECT collection_id, count(*) AS items, count(*) FILTER (q IS NOT NULL AND blur AND ph AND dh) AS analyzed, count(*) FILTER (rej) AS rejected, count(DISTINCT g) AS groups, count(*) FILTER (emb) AS embedded,
+    CASE WHEN count(DISTINCT ep) FILTER (emb) = 1 THEN max(ep) FILTER (emb) END AS embedding_provider, count(*) FILTER (ent) AS processed, CASE WHEN count(DISTINCT fp) FILTER (ent) = 1 THEN max(fp) FILTER (ent) END AS entity_provider FROM i GROUP BY 1),
+  m AS (SELECT collection_id, count(*) AS n FROM i JOIN lineitem ON l_orderkey = item_id GROUP BY 1), s AS (SELECT user_id AS collection_id, count(*) AS n FROM events GROUP BY 1)
+  SELECT c_custkey AS collection_id, coalesce(items, 0) AS items, coalesce(analyzed, 0) AS analyzed, coalesce(rejected, 0) AS rejected, coalesce(groups, 0) AS groups, coalesce(embedded, 0) AS embedded, embedding_provider,
+    coalesce(m.n, 0) AS mentions, coalesce(processed, 0) AS processed, entity_provider, coalesce(s.n, 0) AS selections
+  FROM customer LEFT JOIN a ON a.collection_id = c_custkey LEFT JOIN m ON m.collection_id = c_custkey LEFT JOIN s ON s.collection_id = c_custkey""")
+def d1_library_overview(spark, sf_dir):
+    """Customers as collections, orders as items with stale and current derived values, lines as mentions, events as selections."""
+    k = F.col("o_orderkey")
+    some = lambda n, value: F.when(k % n > 0, value)
+    named = lambda letter, n: F.concat(F.lit(letter), F.floor(k % n / (n - 1)).cast("string"))
+    orders = table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("collection_id"), k.alias("item_id"), some(7, F.col("o_totalprice")).alias("quality_score"), some(11, F.lit(1.0)).alias("blur_score"), some(13, k).alias("phash"), some(17, k).alias("dhash"),
+        (k % 5 == 0).alias("auto_reject"), F.when(k % 3 == 0, F.floor(k / 9)).alias("group_id"), (k * 3).alias("file_size"), (k * 5).alias("mtime"), some(4, F.lit("v")).alias("embedding_path"),
+        (k * 3 + (k % 19 == 0).cast("long")).alias("embedding_size"), (k * 5).alias("embedding_mtime"), F.when(k % 23 > 0, F.sha2(k.cast("string"), 256)).otherwise("G" * 64).alias("embedding_sha"), named("e", 31).alias("embedding_provider"),
+        (k % 6 > 0).alias("processed"), (k * 3).alias("entity_size"), F.when(k % 29 > 0, k * 5).alias("entity_mtime"), some(37, named("f", 41)).alias("entity_provider"),
+    )
+    collections = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("collection_id"))
+    mentions = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("item_id"))
+    return catalog.library_overview(collections, orders, mentions, table(spark, sf_dir, "events").select(F.col("user_id").alias("collection_id")))
+
+
+@query("""WITH c AS (SELECT DISTINCT o_custkey AS problem, o_orderkey AS item_id, o_orderpriority AS grp, o_orderstatus AS cat, o_orderkey % 4 AS l FROM orders),
+  r AS (SELECT DISTINCT o_custkey AS problem, o_orderkey + CASE WHEN o_orderkey % 67 = 0 THEN 1 ELSE 0 END AS item_id FROM orders WHERE o_orderkey % 9 = 0),
+  q AS (SELECT problem, count(*) AS asked, count(c.item_id) AS there FROM r LEFT JOIN c USING (problem, item_id) GROUP BY 1),
+  h AS (SELECT problem, count(*) FILTER (cat = 'O') AS o, count(*) FILTER (l = 1) AS l FROM c GROUP BY 1), m AS (SELECT problem, sum(least(n, 2)) AS room FROM (SELECT problem, grp, count(*) AS n FROM c GROUP BY 1, 2) GROUP BY 1)
+  SELECT problem, CASE WHEN coalesce(asked, 0) > 6 OR coalesce(asked, 0) > coalesce(there, 0) THEN 'required_items_infeasible' WHEN coalesce(o, 0) < 3 THEN 'category_quota_infeasible'
+    WHEN coalesce(l, 0) < 2 OR coalesce(room, 0) < 6 THEN 'infeasible' ELSE 'feasible' END AS status FROM h FULL JOIN m USING (problem) FULL JOIN q USING (problem)""")
+def g5_selection_feasibility(spark, sf_dir):
+    k = F.col("o_orderkey")
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("problem"), k.alias("item_id"), F.col("o_orderpriority").alias("grp"), F.col("o_orderstatus").alias("category"), F.array((k % 4).cast("string")).alias("labels"))
+    required = o.where("item_id % 9 = 0").select("problem", (F.col("item_id") + (F.col("item_id") % 67 == 0).cast("int")).alias("item_id"))
+    return catalog.selection_feasibility(o, required, 6, 2, {"O": 3}, {"1": 2})
+
+
+@query(f"""WITH {ITEMS_SQL} SELECT item_id, concat_ws('; ', CASE WHEN item_no % 3 > 0 THEN 'semantic similarity ' || printf('%.3f', item_no % 1000 / 1000.0) END, 'quality ' || printf('%.1f', quality_score) || '/100',
+    'passes reject and collection constraints', CASE WHEN item_no % 4 > 0 THEN 'personal preference fit ' || printf('%.3f', item_no % 500 / 500.0) || ' from ' || (item_no % 4) || ' comparisons' END) AS plain,
+  CASE WHEN item_no % 4 > 0 THEN 'learned contextual utility residual ' || printf('%+.3f', item_no % 500 / 500.0 - 0.5) || ' from ' || (item_no % 4) || ' comparisons' ELSE 'passes reject and collection constraints' END AS learned FROM items""")
+def i36_grounded_reasons(spark, sf_dir):
+    n = F.col("item_no")
+    meaning, fit, seen = F.when(n % 3 > 0, n % 1000 / 1000.0), n % 500 / 500.0, (n % 4).cast("int")
+    plain = G.grounded_reasons(meaning, F.col("quality_score"), fit, seen)
+    learned = G.grounded_reasons(meaning, F.col("quality_score"), fit - 0.5, seen, contextual=True)
+    return items(spark, sf_dir).select("item_id", F.array_join(plain, "; ").alias("plain"), F.element_at(learned, -1).alias("learned"))
+
+
+@query(f"""WITH r AS ({ORACLE_SQL["c1_search"]}), s AS (SELECT query_id, item_id, rank, 'm' || CASE WHEN rank = 7 AND query_id LIKE '%40' THEN 1 ELSE 0 END AS p FROM r),
+  e AS (SELECT query_id, count(*) AS n, '{{"evidence":[' || string_agg('{{"item_id":"' || item_id || '","rank":' || rank || ',"score":' || CAST(rank AS DOUBLE) / 2 || '}}', ',' ORDER BY rank) || '],"schema":"evidence/1"}}' AS j,
+    bool_or(p <> 'm0') AS other, bool_or(item_id LIKE '%9') AS outside FROM s GROUP BY 1)
+  SELECT query_id, CAST(n AS BIGINT) AS n, sha256('{{"query":"like ' || query_id || '","schema":"evidence/1"}}') AS query_digest, sha256(j) AS evidence_digest, concat_ws(',', CASE WHEN outside THEN 'outside_candidates' END, CASE WHEN other THEN 'provider' END) AS violations FROM e""")
+def j2_evidence_snapshots(spark, sf_dir):
+    ranked = _ranked(spark, sf_dir).select("query_id", "item_id", "rank", (F.col("rank") / 2).alias("score"), F.when((F.col("rank") == 7) & F.col("query_id").endswith("40"), "m1").otherwise("m0").alias("provider"))
+    queries = ranked.select("query_id").distinct().withColumns({"query": F.concat(F.lit("like "), "query_id"), "provider": F.lit("m0")})
+    found = evidence.evidence_snapshots(queries, ranked.where("item_id not like '%9'").select("query_id", "item_id"), ranked, 10)
+    return found.select("query_id", "n", "query_digest", "evidence_digest", F.array_join("violations", ",").alias("violations"))
+
+
+@query("""WITH q AS (SELECT DISTINCT conv_id FROM conversations), e AS (SELECT conv_id, turn, min(role) AS role FROM conversations GROUP BY 1, 2),
+  l AS (SELECT conv_id, string_agg('"' || turn || '"', ',' ORDER BY turn) AS ids, string_agg('{"caption":"\\u003cb\\u003e \\u0026 ' || role || ' in [path]","item_id":' || turn || ',"rank":' || turn || ',"score":0.5}', ',' ORDER BY turn) AS rows, count(*) AS n FROM e GROUP BY 1)
+  SELECT conv_id AS query_id, sha256('CONTROL {"allowed_ids":[' || ids || ']}' || chr(10) || 'TASK {"query":"what is in [path]"}' || chr(10) || '<BEGIN_EVIDENCE>{"evidence":[' || rows || ']}<END_EVIDENCE>') AS digest, CAST(n + 1 AS BIGINT) AS redacted FROM l""")
+def j4_prompt_packages(spark, sf_dir):
+    """Turns as evidence of their conversation; markup and local paths in captions and in the question are made harmless."""
+    c = table(spark, sf_dir, "conversations").groupBy("conv_id", "turn").agg(F.min("role").alias("role"))
+    queries = c.select(F.col("conv_id").alias("query_id")).distinct().withColumn("query", F.concat(F.lit("what is in /home/ann/"), F.col("query_id").cast("string")))
+    caption = F.concat(F.lit("<b> & "), "role", F.lit(" in /home/ann/"), F.col("turn").cast("string"))
+    rows = c.select(F.col("conv_id").alias("query_id"), F.col("turn").alias("rank"), F.col("turn").alias("item_id"), caption.alias("caption"), F.lit(0.5).alias("score"))
+    return evidence.prompt_packages(queries, rows).select("query_id", F.sha2("payload", 256).alias("digest"), "redacted")

@@ -68,10 +68,18 @@ def c4_exclude_in_order(spark, sf_dir):
 
 @query()
 def e5_e7_cluster_bursts(spark, sf_dir):
-    i = items_dup(spark, sf_dir)
-    rows = i.select("collection_id", "item_no", F.timestamp_seconds(F.floor(F.col("item_no") / 10) * 97 % 86400).alias("ts"), F.when(F.col("item_no") % 10 >= 2, F.floor(F.col("item_no") / 10)).alias("burst"))
-    pairs = M.cosine_pairs(i, 0.9).select("left_no", "right_no", (1 - F.col("cosine")).alias("distance"))
-    return bursts.cluster_bursts(rows, pairs, threshold=0.05)
+    """Items and their copies by the final similarity of those with matched points; the last two copies of an item are a burst."""
+    no, origin, copy = F.col("item_no"), F.floor(F.col("item_no") / 10), F.col("item_no") % 10
+    known = lambda when, value: F.when(when, value)
+    i = M.with_hashes(items_dup(spark, sf_dir)).select(
+        "collection_id", "item_no", F.timestamp_seconds(origin * 97 % 86400 + copy * 20).alias("ts"), F.format_string("IMG_%04d.jpg", origin * 3 + copy).alias("file_name"), "ph", "dh",
+        known(no % 5 != 0, F.col("ph")).alias("wh"), F.lit(None).cast("long").alias("ah"), known(no % 3 != 0, F.array(F.lit(0.6), F.lit(0.8))).alias("color"), F.concat(F.lit("camera "), (origin % 4).cast("string")).alias("camera"),
+        known(no % 4 != 0, F.lit("lens")).alias("lens"), F.lit("50mm").alias("focal"), F.lit(None).cast("string").alias("aperture"), known(origin % 2 == 0, F.lit(48.0)).alias("lat"), known(origin % 2 == 0, 9.0 + copy / 10000).alias("lon"),
+        "auto_reject", (F.col("quality_score") - copy * 12).alias("quality_score"), known(copy >= 2, origin).alias("burst"),
+    )
+    copies = i.select(origin.alias("o"), F.col("item_no").alias("left_no"))
+    inliers = copies.join(copies.select("o", F.col("left_no").alias("right_no")), "o").where("left_no < right_no").select("left_no", "right_no", (90 - 25 * (F.col("right_no") - F.col("left_no"))).alias("inliers"))
+    return bursts.cluster_bursts(i.select("collection_id", "item_no", "ts", "burst"), bursts.final_distances(i.drop("burst"), inliers))
 
 
 @query("""WITH t AS (SELECT conv_id AS run_id, CAST(sum(length(text) * 1000) AS BIGINT) AS bytes, CAST(sum((turn + 1) * length(text)) AS BIGINT) AS pixels FROM conversations GROUP BY 1)

@@ -367,7 +367,10 @@ def d15_usage_report(spark, sf_dir):
     return L.usage_report(_files(spark, sf_dir), 100000)
 
 
-@query()
+@query(f"""WITH {ITEMS_SQL}, l AS (SELECT collection_id, sha256('{{"item_id":"' || item_id || '","quality_score":' || quality_score || ',"file_size":' || file_size || '}}') AS line FROM items),
+  n AS (SELECT collection_id, line, count(*) AS n FROM l GROUP BY 1, 2), s AS (SELECT *, count(*) OVER (PARTITION BY collection_id) AS m FROM n),
+  p AS (SELECT collection_id, CASE WHEN m > 256 THEN line[1:1] ELSE '' END AS prefix, sha256(string_agg(line || ':' || n, '' ORDER BY line)) AS item FROM s GROUP BY 1, 2)
+  SELECT collection_id, CASE WHEN count(*) = 1 AND max(prefix) = '' THEN max(item) ELSE sha256(string_agg(prefix || '=' || item, '' ORDER BY prefix)) END AS digest FROM p GROUP BY 1""")
 def d18_snapshot_digest(spark, sf_dir):
     return L.snapshot_digest(items(spark, sf_dir).drop("vec"), "collection_id", "item_id", ["quality_score", "file_size"])
 

@@ -1,4 +1,5 @@
 import itertools
+import math
 import random
 
 import duckdb
@@ -103,6 +104,34 @@ def test_bursts_keep_to_segments_and_caps(spark):
     assert bursts.cluster_bursts(items.limit(0), pairs).count() == 0
 
 
+def test_linkage_in_rounds_equals_tasks(spark):
+    rng = random.Random(7)
+    rows = [(f"c{i % 3}", i, rng.randrange(40_000), rng.choice([None, None, i // 5])) for i in range(120)]
+    items = spark.createDataFrame(rows, "collection_id string, item_no long, s long, burst int").withColumn("ts", F.timestamp_seconds("s"))
+    near = [(a, b, rng.randrange(0, 10) / 20) for a in range(120) for b in range(a + 3, min(a + 19, 120), 3) if rng.random() < 0.8]
+    pairs = spark.createDataFrame(near, "left_no long, right_no long, distance double")
+    key = lambda df: sorted(tuple(r) for r in df.collect())
+    want = key(bursts.cluster_bursts(items, pairs, limit=4, gap_seconds=90_000))
+    assert max(sum(r[2] == g for r in want) for g in {r[2] for r in want}) > 2
+    assert key(bursts.cluster_bursts(items, pairs, limit=4, gap_seconds=90_000, max_members=2)) == want
+
+
+def test_final_distances(spark):
+    kinds = "collection_id string, item_no long, s double, file_name string, ph long, dh long, wh long, ah long, color array<double>, camera string, lens string, focal string, aperture string, lat double, lon double, auto_reject boolean, quality_score double"
+    full = (-1, -1, -1, -1, [1.0], "A", "L", "50mm", "f/2", 48.0, 9.0, False, 50.0)
+    rows = [("c", 0, 0.0, "IMG_1.jpg", *full), ("c", 1, 1.0, "IMG_2.jpg", -2, *full[1:]), ("c", 2, 3900.0, "IMG_3.jpg", *full), ("c", 3, 2.0, "x", 0, 0, 0, 0, None, "B", None, None, None, None, None, True, 90.0), ("d", 4, 0.0, "IMG_1.jpg", *full), ("c", 5, None, None, *[None] * 13)]
+    items = spark.createDataFrame(rows, kinds).withColumn("ts", F.timestamp_seconds("s")).drop("s")
+    matched = [(1, 0, 12), (0, 2, 95), (0, 3, 40), (3, 1, 100), (0, 4, 99), (0, 5, 5), (2, 1, 4), (0, 1, 3)]
+    got = {(r["left_no"], r["right_no"]): r["distance"] for r in bursts.final_distances(items, spark.createDataFrame(matched, "left_no long, right_no long, inliers long")).collect()}
+    hashes, time, name = 0.4 * 63 / 64 + 0.6, math.exp(-1 / 60), 29 / 30
+    assert set(got) == {(0, 1), (0, 3), (1, 3)} - {(0, 3), (1, 3)}  # no hash in common and no color: the base decides there
+    assert abs(got[0, 1] - (1 - (0.32 * hashes + 0.22 + 0.18 * time + 0.12 + 0.10 * name + 0.06))) < 1e-9
+    medium = spark.createDataFrame([(0, 1, 30), (0, 2, 90)], "left_no long, right_no long, inliers long")
+    assert {(r[0], r[1]) for r in bursts.final_distances(items, medium).collect()} == {(0, 1)}
+    with pytest.raises(ValueError):
+        bursts.final_distances(items, medium, 0.45)
+
+
 def test_ordered_exclusion_equals_the_scan(spark):
     rng = random.Random(9)
     rows, base = [], [(rng.getrandbits(63), rng.getrandbits(63)) for _ in range(12)]
