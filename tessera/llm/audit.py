@@ -117,4 +117,4 @@ def audit(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     No documents give no rows; extra columns are not read; null and empty texts, ties and repeated rows as `masks` says.
     """
-    return interactions(masks(docs, labels))
+    return interactions(materialize(masks(docs, labels), "audit-masks"))
