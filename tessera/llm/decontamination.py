@@ -20,9 +20,6 @@ from tessera.llm.inputs import documents
 
 #: Word positions that each mask looks at: whichever 2 of 13 words differ, one of these fits between them.
 LOSSLESS = ((0, 1, 2, 4, 5, 6, 7), (0, 1, 3, 6, 8, 9, 10), (0, 1, 3, 4, 5, 8, 9))
-#: The masks and span of the oracle's SQL, which miss some overlaps; the operator does not use them.
-MASKS = ((0, 1, 2, 4, 5, 7, 9, 10), (0, 1, 3, 5, 6, 8, 9, 10))
-SPAN = 11
 #: A diagonal is an overlap if some WINDOW words of the item in a row have SIMILAR equal to the document's.
 WINDOW = 13
 SIMILAR = 0.8

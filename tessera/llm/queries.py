@@ -140,14 +140,17 @@ FROM d LEFT JOIN a USING (doc_id)
 
 
 def _op8_sql() -> str:
-    keys = [f"'{m} ' || concat_ws(' ', " + ", ".join(f"w[p + {k + 1}]" for k in mask) + ")" for m, mask in enumerate(decontamination.MASKS)]
+    """Every diagonal with enough equal words is compared, without seeds."""
     words = r"regexp_extract_all(lower(text), '([\p{L}\p{N}]+)', 1)"
     return f"""
 WITH d AS (SELECT doc_id, {words} AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
 b AS (SELECT DISTINCT item_id, {words} AS w FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
-ds AS (SELECT doc_id, p, unnest([{", ".join(keys)}]) AS k FROM (SELECT doc_id, w, unnest(range(0, len(w) - {decontamination.SPAN - 1})) AS p FROM d)),
-bs AS (SELECT item_id, p, unnest([{", ".join(keys)}]) AS k FROM (SELECT item_id, w, unnest(range(0, len(w) - {decontamination.SPAN - 1})) AS p FROM b)),
-hits AS (SELECT DISTINCT doc_id, item_id, ds.p - bs.p AS diagonal FROM ds JOIN bs USING (k)),
+dw AS (SELECT doc_id, unnest(range(0, len(w))) AS p, unnest(w) AS word FROM d),
+bw AS (SELECT item_id, len(w) AS n, unnest(range(0, len(w))) AS p, unnest(w) AS word FROM b),
+hits AS (
+  SELECT doc_id, item_id, dw.p - bw.p AS diagonal FROM dw JOIN bw USING (word)
+  GROUP BY doc_id, item_id, diagonal, n HAVING count(*) >= ceil(least({decontamination.WINDOW}, n) * {decontamination.SIMILAR})
+),
 pairs AS (
   SELECT doc_id, item_id, len(b.w) AS n, least({decontamination.WINDOW}, len(b.w)) AS width,
          list_transform(range(0, len(b.w)), lambda j: CASE WHEN j + diagonal >= 0 AND d.w[j + diagonal + 1] = b.w[j + 1] THEN 1 ELSE 0 END) AS eq
@@ -215,7 +218,8 @@ orders AS (
   WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5
 ), d AS (
   SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text,
-         list_filter(string_split_regex(coalesce(text, ''), '[ 	-]+'), lambda w: w <> '') AS w FROM documents
+         list_filter(string_split_regex(coalesce(text, ''), '[ 	-
+]+'), lambda w: w <> '') AS w FROM documents
 ), m AS (SELECT doc_id, max(quality = 1) AS good, max(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
 f AS (
   SELECT part, CASE WHEN len(w) < 200 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' ELSE '' END

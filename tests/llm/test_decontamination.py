@@ -52,3 +52,14 @@ def test_overlaps_equal_all_diagonals(spark):
     want = brute(docs, items)
     assert {(r["doc_id"], r["item_id"]): (r["matched"], r["item_words"], r["best"]) for r in got} == want
     assert len(got) == len(want) and any(n < 11 for _, n, _ in want.values())
+
+
+def test_odd_rows(spark):
+    text = " ".join(f"w{k}" for k in range(20))
+    docs = spark.createDataFrame([(1, text, 5), (1, text, 5), (None, text, 5), (2, None, 5), (3, "x", 5)], "doc_id long, text string, item_id int")
+    items = spark.createDataFrame([(7, text, 1), (7, text, 1), (None, text, 1), (8, None, 1)], "item_id long, text string, doc_id int")
+    assert [tuple(r) for r in D.overlaps(docs, items).select("doc_id", "item_id", "matched", "item_words", "best").collect()] == [(1, 7, 20, 20, 13)]
+    left = D.decontaminate(docs, items)
+    assert left.columns == docs.columns and sorted(str(r["doc_id"]) for r in left.collect()) == ["2", "3", "None"]
+    assert D.overlaps(docs.limit(0), items).count() == 0 == D.overlaps(docs, items.limit(0)).count()
+    assert D.decontaminate(docs, items.limit(0)).count() == 5

@@ -2,6 +2,7 @@
 
 import bisect
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -101,15 +102,16 @@ def test_decontamination(spark, stages):
     before, after = map(texts_of, found["decontamination"])
     words = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
     items = {r["item_id"]: words(r["text"]) for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()}
-    keys = lambda w: ((m, tuple(w[p + k] for k in mask), p) for p in range(len(w) - D.SPAN + 1) for m, mask in enumerate(D.MASKS))
-    seeds = {}
+    at = {}
     for i, w in items.items():
-        for m, key, p in keys(w):
-            seeds.setdefault((m, key), []).append((i, p))
+        for q, word in enumerate(w):
+            at.setdefault(word, []).append((i, q))
     leaked = set()
     for d, text in before.items():
         w = words(text)
-        for item, shift in {(i, p - q) for m, key, p in keys(w) for i, q in seeds.get((m, key), ())}:
+        for (item, shift), n in Counter((i, p - q) for p, word in enumerate(w) for i, q in at.get(word, ())).items():
+            if n < np.ceil(min(D.WINDOW, len(items[item])) * D.SIMILAR):
+                continue
             same = [0 <= j + shift < len(w) and w[j + shift] == x for j, x in enumerate(items[item])]
             width = min(D.WINDOW, len(same))
             if max(sum(same[s : s + width]) for s in range(len(same) - width + 1)) >= np.ceil(width * D.SIMILAR):
