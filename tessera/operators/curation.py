@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,16 +53,52 @@ def vector_violations(rows: DataFrame, key: str, vec: str, dimension: int) -> Da
     return validate_rows(rows, key, {"dimension": F.size(v) == dimension, "finite": finite, "zero": norm(v) > 0})
 
 
+#: Items and queries of a block of search(): one product of two such blocks is what a task works on at a time.
+SEARCH_ITEMS, SEARCH_QUERIES = 4_096, 512
+#: More than rounding to 6 decimals can change the order by.
+ROUNDING = 2e-6
+
+
+def _blocks(rows: DataFrame, key: str, size: int, part: str) -> tuple[DataFrame, DataFrame]:
+    """(collection_id, dim, part, rows) in blocks of about `size` by a hash of key, and (collection_id, dim, parts)."""
+    known = rows.where(F.col("collection_id").isNotNull() & F.col(key).isNotNull() & (F.size("v") > 0) & ~F.exists("v", lambda x: x.isNull())).withColumn("dim", F.size("v"))
+    parts = known.groupBy("collection_id", "dim").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias(f"{part}s"))
+    dealt = known.join(parts, ["collection_id", "dim"]).withColumn(part, F.pmod(F.xxhash64(key), F.col(f"{part}s")).cast("int"))
+    return dealt.groupBy("collection_id", "dim", part).agg(F.collect_list(F.struct(*(c for c in rows.columns if c != "collection_id"))).alias(f"{part}_rows")), parts
+
+
 def search(items: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """query_id, rank, item_id, score: the k best items of the query's collection.
 
     queries: query_id, collection_id, query_vec. The order is score (6 decimals) and quality, largest
-    first, then item_id; the query's own item is left out. Spark keeps k rows a query and task before the
-    shuffle by query.
+    first, then item_id; the query's own item is left out. Blocks of items meet blocks of queries as products of
+    matrices, spread over all tasks by (collection, block, block), so a large collection is many tasks; a block gives
+    each query the items that can be among its k best, and only those are ranked. Null vectors, vectors of another
+    length and null ids or collections are not found and find nothing.
     """
-    scored = items.join(queries, "collection_id").where("item_id <> query_id").select("query_id", "item_id", "quality_score", F.round(dot("vec", "query_vec"), 6).alias("score"))
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), F.coalesce(F.col("quality_score"), F.lit(0.0)).desc(), "item_id")
-    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "item_id", "score")
+    left = items.select("collection_id", "item_id", F.col("quality_score").cast("double").alias("quality"), F.col("vec").cast("array<double>").alias("v"))
+    right = queries.select("collection_id", "query_id", F.col("query_vec").cast("array<double>").alias("v"))
+    (i, i_parts), (q, q_parts) = _blocks(left, "item_id", SEARCH_ITEMS, "i"), _blocks(right, "query_id", SEARCH_QUERIES, "q")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    i = i.join(q_parts, ["collection_id", "dim"]).withColumn("q", every("qs")).drop("qs")
+    q = q.join(i_parts, ["collection_id", "dim"]).withColumn("i", every("is")).drop("is")
+    kinds = [f"{n} {d.schema[n].dataType.simpleString()}" for d, n in ((right, "query_id"), (left, "item_id"))]
+
+    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for own, asked in zip(batch["i_rows"], batch["q_rows"], strict=True):
+                score = np.array([a["v"] for a in asked], float) @ np.array([x["v"] for x in own], float).T
+                ids, names = (np.array([r[n] for r in rows], object) for rows, n in ((own, "item_id"), (asked, "query_id")))
+                score[names[:, None] == ids[None, :]] = -np.inf
+                least = np.partition(score, -k, axis=1)[:, -k] if k < score.shape[1] else np.full(len(score), -np.inf)
+                a, b = np.nonzero((score >= (least - ROUNDING)[:, None]) & (score > -np.inf))
+                quality = np.array([x["quality"] for x in own], float)
+                yield pd.DataFrame({"query_id": names[a], "item_id": ids[b], "quality": quality[b], "raw": score[a, b]})
+
+    found = i.join(q, ["collection_id", "dim", "i", "q"]).select("i_rows", "q_rows").mapInPandas(best, f"{', '.join(kinds)}, quality double, raw double")
+    scored = found.withColumn("score", F.round("raw", 6))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.coalesce(F.nanvl("quality", F.lit(0.0)), F.lit(0.0)).desc(), "item_id")
+    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "item_id", "score")
 
 
 def search_by_item(items: DataFrame, refs: DataFrame, k: int) -> DataFrame:
@@ -120,6 +160,26 @@ def page(rows: DataFrame, order: list, limit: int, offset: int) -> DataFrame:
     return rows.orderBy(*order).offset(offset).limit(limit)
 
 
+#: Listing orders by name, as SQL before the path; an unknown capture time or quality comes last.
+LISTINGS = {"path": (), "quality": ("-quality_score",), "capture_time": ("capture_ts",)}
+
+
+def list_items(items: DataFrame, mode: str, limit: int, offset: int = 0, include_rejects: bool = True) -> DataFrame:
+    """The items of one page of every collection, in the order of `mode` (path, quality or capture_time), with place and total.
+
+    items: collection_id, path, quality_score, capture_ts, auto_reject and more; place counts from 1 over the whole listing
+    of a collection, total is its length. Spark keeps offset + limit rows a collection and task before the shuffle, and
+    totals are partial sums, so a large collection costs what its page costs. A collection with no row has no page.
+    """
+    if mode not in LISTINGS:
+        raise ValueError(f"mode must be one of {sorted(LISTINGS)}")
+    shown = items if include_rejects else items.where(~F.coalesce("auto_reject", F.lit(False)))
+    totals = shown.groupBy(F.col("collection_id").alias("_c")).agg(F.count(F.lit(1)).alias("total"))
+    order = Window.partitionBy("collection_id").orderBy(*(F.expr(x).asc_nulls_last() for x in LISTINGS[mode]), "path")
+    paged = shown.withColumn("place", F.row_number().over(order)).where(F.col("place") <= offset + limit).where(F.col("place") > offset)
+    return paged.join(totals, F.col("collection_id").eqNullSafe(F.col("_c"))).drop("_c")
+
+
 def classify(items: DataFrame, prototypes: DataFrame, margin: float = 0.015) -> DataFrame:
     """item_id, label: the nearest prototype, or `uncertain` if the second is within the margin; ties by label.
 

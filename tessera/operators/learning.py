@@ -14,6 +14,8 @@ from tessera.functions.scalars import binary_entropy, logistic
 from tessera.functions.shared import materialize, temporary_tables
 
 _VEC = T.ArrayType(T.DoubleType())
+#: Events of a key that are fitted in one part, about, and hot keys that may be broadcast.
+PART_EVENTS, HOT_KEYS = 50_000, 100_000
 
 
 def projection_matrix(dim: int, rank: int) -> np.ndarray:
@@ -133,12 +135,18 @@ def _newton_move(row: dict, sums: np.ndarray, dim: int, ridge: float, rounds: in
     return row | moved | {"rounds": used, "converged": bool(settled), "done": bool(settled) or used >= rounds}
 
 
+def _small(hot: DataFrame) -> DataFrame:
+    """Keys with over PART_EVENTS events each: sent to all tasks if they are as few as they should be."""
+    return F.broadcast(hot) if hot.count() <= HOT_KEYS else hot
+
+
 def fit_by_key(events: DataFrame, key: str, dim: int, ridge: float = 1.0, rounds: int = 50) -> DataFrame:
     """key, mean, covariance (dim * dim values by rows), value, rounds, converged: fit_preference() for every key at once.
 
     events: key, features (array of dim doubles), margin. A pass joins each event with the point its key tries and adds
-    up partial sums, so the events of a key are never one group and a hot key is spread like any other; a key is one
-    small row of the state table. Keys that are settled are no longer read. Rows with a null, or features of another
+    up partial sums, so the events of a key are never one group. A key with more than PART_EVENTS events is dealt into
+    parts, to each of which its point is sent, so a hot key is spread over tasks; a key is one small row of the state
+    table. Keys that are settled are no longer read. Rows with a null, or features of another
     length, are left out, and so are keys that have no others; repeated rows count as often as they occur; an empty
     table gives no rows.
     """
@@ -170,11 +178,20 @@ def fit_by_key(events: DataFrame, key: str, dim: int, ridge: float = 1.0, rounds
     with temporary_tables(spark) as keep:
         known = events.select(F.col(key).alias("_key"), "features", F.col("margin").cast("double").alias("margin"))
         known = materialize(known.where(F.col("_key").isNotNull() & F.col("margin").isNotNull() & (F.size("features") == dim) & ~F.exists("features", lambda x: x.isNull())), "events")
+        parts = known.groupBy("_key").agg(F.ceil(F.count(F.lit(1)) / PART_EVENTS).cast("int").alias("_parts"))
+        hot = materialize(parts.where("_parts > 1"), "hot-keys")
+        if not hot.isEmpty():
+            dealt = known.join(_small(hot), "_key", "left").withColumn("_part", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.coalesce("_parts", F.lit(1))).cast("int"))
+            known = materialize(dealt.drop("_parts"), "events")
+        else:
+            known = known.withColumn("_part", F.lit(0))
         zeros = F.array_repeat(F.lit(0.0), dim)
         first = {"theta": zeros, "value": F.lit(0.0), "bend": zeros, "step": zeros, "gain": F.lit(0.0), "size": F.lit(1.0), "trial": zeros, "rounds": F.lit(-1), "converged": F.lit(False), "done": F.lit(False)}
         state = materialize(known.select("_key").distinct().withColumns(first), "state")
         while not state.where("not done").isEmpty():
-            tried = known.join(state.where("not done").select("_key", "trial"), "_key").mapInPandas(partial, f"_key {kind}, sums {vectors}")
+            points = state.where("not done").select("_key", "trial").join(_small(hot), "_key", "left")
+            points = points.select("_key", "trial", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)).alias("_part"))
+            tried = known.join(points, ["_key", "_part"]).mapInPandas(partial, f"_key {kind}, sums {vectors}")
             summed = tried.select("_key", F.posexplode("sums")).groupBy("_key", "pos").agg(F.sum("col").alias("col"))
             whole = summed.groupBy("_key").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "col"))), lambda e: e["col"]).alias("sums"))  # 1 + dim + dim * dim values
             state = materialize(state.join(whole, "_key", "left").mapInPandas(move, state_schema), "state")

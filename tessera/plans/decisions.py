@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from tessera.functions import requests, sqlfunctions
 from tessera.functions import scalars as S
 from tessera.functions import signals as G
-from tessera.operators import acquisition, agglomeration, catalog, evidence, learning
+from tessera.operators import acquisition, agglomeration, catalog, curation, evidence, learning
 from tessera.plans.extended import _luma, _ranked, _v2_sql, part_signals
 from tessera.plans.registry import ORACLE_SQL, query
 from tessera.sources.views import ITEMS_SQL, items, items_dup, pref_events, table
@@ -216,3 +218,17 @@ def j4_prompt_packages(spark, sf_dir):
     caption = F.concat(F.lit("<b> & "), "role", F.lit(" in /home/ann/"), F.col("turn").cast("string"))
     rows = c.select(F.col("conv_id").alias("query_id"), F.col("turn").alias("rank"), F.col("turn").alias("item_id"), caption.alias("caption"), F.lit(0.5).alias("score"))
     return evidence.prompt_packages(queries, rows).select("query_id", F.sha2("payload", 256).alias("digest"), "redacted")
+
+
+@query(f"""WITH {ITEMS_SQL}, x AS (SELECT item_no, collection_id, file_name AS path, CASE WHEN item_no % 13 > 0 THEN quality_score END AS q, CASE WHEN item_no % 5 > 0 THEN capture_ts END AS t, auto_reject FROM items),
+  r AS (SELECT 'path' AS mode, item_no, collection_id, row_number() OVER (PARTITION BY collection_id ORDER BY path) AS place, count(*) OVER (PARTITION BY collection_id) AS total FROM x
+    UNION ALL SELECT 'quality', item_no, collection_id, row_number() OVER (PARTITION BY collection_id ORDER BY q DESC NULLS LAST, path), count(*) OVER (PARTITION BY collection_id) FROM x WHERE NOT auto_reject
+    UNION ALL SELECT 'capture_time', item_no, collection_id, row_number() OVER (PARTITION BY collection_id ORDER BY t NULLS LAST, path), count(*) OVER (PARTITION BY collection_id) FROM x)
+  SELECT mode, collection_id, item_no, CAST(place AS INTEGER) AS place, total FROM r WHERE place > 5 AND place <= 25""")
+def g1_list_items(spark, sf_dir):
+    """The second to fifth page of five of every collection, in each listing order; by quality without rejected items."""
+    i = items(spark, sf_dir).select(
+        "item_no", "collection_id", F.col("file_name").alias("path"), "auto_reject", F.when(F.col("item_no") % 13 > 0, F.col("quality_score")).alias("quality_score"), F.when(F.col("item_no") % 5 > 0, F.col("capture_ts")).alias("capture_ts")
+    )
+    pages = [curation.list_items(i, m, 20, 5, include_rejects=m != "quality").select(F.lit(m).alias("mode"), "collection_id", "item_no", "place", "total") for m in curation.LISTINGS]
+    return reduce(lambda a, b: a.unionByName(b), pages)

@@ -47,25 +47,33 @@ def run_available(result: DataFrame, label: str, mode: str = "complete") -> Data
     return spark.read.schema(result.schema).parquet(f"{root}/out")
 
 
+#: Partitions of the event log, by a hash of the key.
+LOG_BUCKETS = 64
+
+
 def refresh_models(stream: DataFrame, key: str, dim: int, label: str) -> DataFrame:
     """The active model of every key after the available input: key, mean, covariance, value, rounds, converged, version.
 
-    stream: key, features, margin. Each micro-batch joins the log of events, and the keys it touches are fitted again
-    over all their events of the log; version is the number of the batch. A batch that is run again after a failure
+    stream: key, features, margin. Each micro-batch joins the log of events, which is partitioned by a hash of the key, and
+    the keys it touches are fitted again over all their events; only their partitions of the log are read. version is the
+    number of the batch. A batch that is run again after a failure
     replaces what it wrote, so no event counts twice. An empty input, or one without a usable event, gives no rows.
     """
     spark = stream.sparkSession
     root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     rows = stream.select(key, "features", "margin")
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    logged = ", ".join(f"{n} {k}" for n, k in kinds.items()) + ", bucket int"
     ran: list[int] = []
 
     def refresh(batch: DataFrame, number: int) -> None:
         ran.append(number)
-        batch.write.mode("overwrite").parquet(f"{root}/log/batch={number}")
-        log = spark.read.schema(rows.schema).parquet(f"{root}/log").drop("batch")
-        touched = spark.read.schema(rows.schema).parquet(f"{root}/log/batch={number}").select(key).distinct()
-        fit_by_key(log.join(touched, key, "left_semi"), key, dim).write.mode("overwrite").parquet(f"{root}/models/version={number}")
+        hashed = batch.withColumn("bucket", F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(LOG_BUCKETS)).cast("int"))
+        hashed.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{root}/log/batch={number}")
+        new = spark.read.schema(logged).parquet(f"{root}/log/batch={number}")
+        buckets = [r["bucket"] for r in new.select("bucket").distinct().collect()]  # LOG_BUCKETS at most
+        log = spark.read.schema(f"{logged}, batch int").parquet(f"{root}/log").where(F.col("bucket").isin(buckets)).drop("bucket", "batch")
+        fit_by_key(log.join(new.select(key).distinct(), key, "left_semi"), key, dim).write.mode("overwrite").parquet(f"{root}/models/version={number}")
 
     query = rows.writeStream.option("checkpointLocation", f"{root}/state").trigger(availableNow=True).foreachBatch(refresh).start()
     query.awaitTermination()

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tessera.functions import scalars as S
 from tessera.functions import signals as G
 from tessera.functions import sqlfunctions
-from tessera.operators import catalog, evaluation, evidence, learning, logs
+from tessera.operators import catalog, curation, evaluation, evidence, learning, logs
 from tessera.sources import files
 
 
@@ -139,3 +139,35 @@ def test_reasons(spark, contextual, last):
     df = spark.createDataFrame([(0.5, 81.25, 0.25, 3), (None, None, 0.1, 0)], "s double, q double, p double, n int")
     found = [r[0] for r in df.select(G.grounded_reasons(*(F.col(c) for c in "sqpn"), contextual=contextual)).collect()]
     assert found[0][0] == "semantic similarity 0.500" and found[0][-1] == last and found[1] == ["quality 0.0/100", "passes reject and collection constraints"]
+
+
+def test_search_equals_all_products(spark, monkeypatch):
+    monkeypatch.setattr(curation, "SEARCH_ITEMS", 20)
+    monkeypatch.setattr(curation, "SEARCH_QUERIES", 3)
+    rng = np.random.default_rng(5)
+    vectors = np.round(rng.normal(size=(90, 8)), 1)
+    vectors[40:60] = vectors[3]  # ties, told apart by quality and id
+    rows = [(f"i{n:03d}", f"c{n % 2}" if n % 11 else None, v.tolist(), float(n % 3) if n % 4 else None, 1) for n, v in enumerate(vectors)] + [("x1", "c1", None, 1.0, 1), ("x2", "c1", [1.0], 1.0, 1), (None, "c1", [1.0] * 8, 1.0, 1)]
+    items = spark.createDataFrame(rows, "item_id string, collection_id string, vec array<double>, quality_score double, i int")
+    asked = [r for r in rows if r[0] and r[2] and r[1] and len(r[2]) == 8][::5]
+    queries = spark.createDataFrame([(r[0], r[1], r[2]) for r in asked] + [("q", "c0", None), ("z", "c9", [1.0] * 8)], "query_id string, collection_id string, query_vec array<double>")
+    got = {}
+    for r in curation.search(items.repartition(4), queries, 7).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["item_id"]))
+    for q in asked:
+        near = [r for r in rows if r[1] == q[1] and r[0] and r[0] != q[0] and r[2] and len(r[2]) == 8]
+        near.sort(key=lambda r: (-round(float(np.dot(r[2], q[2])), 6), -(r[3] or 0.0), r[0]))
+        assert sorted(got[q[0]]) == [(n, r[0]) for n, r in enumerate(near[:7], 1)]
+    assert set(got) == {q[0] for q in asked}
+    assert curation.search(items, queries.limit(0), 3).count() == 0
+
+
+def test_listing_orders(spark):
+    rows = [("a", "p3", 1.0, None, False), ("a", "p1", None, 5, True), ("a", "p2", 9.0, 3, False), (None, "p9", 1.0, 1, None), ("a", "p0", 9.0, None, False)]
+    df = spark.createDataFrame(rows, "collection_id string, path string, quality_score double, capture_ts long, auto_reject boolean")
+    show = lambda *a, **k: [r["path"] for r in sorted(curation.list_items(df, *a, **k).where("collection_id = 'a'").collect(), key=lambda r: r["place"])]
+    assert show("path", 3) == ["p0", "p1", "p2"] and show("quality", 9) == ["p0", "p2", "p3", "p1"] and show("capture_time", 2, 1) == ["p1", "p0"]
+    assert show("path", 9, include_rejects=False) == ["p0", "p2", "p3"]
+    assert {r["collection_id"]: r["total"] for r in curation.list_items(df, "path", 1).collect()} == {"a": 4, None: 1}
+    with pytest.raises(ValueError):
+        curation.list_items(df, "size", 1)

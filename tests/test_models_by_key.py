@@ -36,6 +36,11 @@ def test_every_key_has_the_model_of_its_own_events(spark, rows):
     assert learning.fit_by_key(spark.createDataFrame([], SCHEMA), "user_id", 3).count() == 0
 
 
+def test_hot_keys_are_dealt_into_parts(spark, rows, monkeypatch):
+    monkeypatch.setattr(learning, "PART_EVENTS", 10)
+    check(learning.fit_by_key(spark.createDataFrame([*rows, *rows[:5]], SCHEMA).repartition(3), "user_id", 3).collect(), [*rows, *rows[:5]], spark)
+
+
 def test_a_key_stops_at_its_round_limit(spark, rows):
     got = learning.fit_by_key(spark.createDataFrame(rows, SCHEMA), "user_id", 3, rounds=1).collect()
     assert {r["rounds"] for r in got} == {1} and not all(r["converged"] for r in got)
