@@ -27,8 +27,6 @@ from tessera.llm.packing import encoding, ordinary_ids, ranks_path
 
 DIVISOR, HELD_OUT = 7, 2
 ROUNDS, STEPS, RATE = 2, 300, 0.01
-#: Windows of a chunk from which on each round learns from its own share of them: one pass over all in total.
-MANY = 20_000
 #: Weight of the attention model against the corpus share of the word, for words that training documents have.
 MIXED = 0.5
 #: Training tasks average in this many groups before the driver adds up the last few.
@@ -97,9 +95,7 @@ def _windows(words: Words, ids: np.ndarray, sizes: np.ndarray, learn: np.ndarray
 
 
 def _turn(rows: np.ndarray, round_: int) -> np.ndarray:
-    """The rows of a round: all of them if they are few, else a share by hash, so that the rounds together are one pass."""
-    if len(rows) < MANY:
-        return rows
+    """The rows of a round, a share by hash whatever their number, so that the rounds together see every row."""
     return rows[mix(np.arange(len(rows), dtype=np.uint64)) % np.uint64(ROUNDS) == round_]
 
 

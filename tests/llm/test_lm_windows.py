@@ -19,6 +19,6 @@ def test_every_subword_is_a_target_once():
 
 
 def test_rounds_cover_all_windows():
-    for n in (10, lm.MANY + 7):
+    for n in (1, 10, 50_000):
         rows = np.arange(n)[:, None]
         assert set(np.concatenate([lm._turn(rows, k) for k in range(lm.ROUNDS)]).ravel().tolist()) == set(range(n))
