@@ -15,6 +15,8 @@ their 5-word shingles differ in far more than 3 of 64 bits, so it covers a wider
 32 bits, over the distinct words of a text, with the same code: a part is replicated to every anchor within the
 covering radius, and as the code is perfect that is one anchor. Texts that meet at an anchor are candidates, and
 the exact similarity of their shingle sets decides. A group is joined by stars first, so it leaves no all pairs.
+Most candidates share little. A bitmap of a text's shingles bounds from above how many two texts have in common, so
+sets are made, and meet, only for the pairs that this bound leaves.
 """
 
 from __future__ import annotations
@@ -50,6 +52,8 @@ _STREAMS = (np.arange(SLICES // 2, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C
 FEW = 12
 #: Texts whose sketches a task holds at once.
 BATCH = 250
+#: Bits of a bitmap for each shingle, at least.
+BITS = 4
 #: Rows of ids that may be broadcast; beyond, an ordinary join finds them.
 BROADCAST_IDS = 500_000
 
@@ -273,17 +277,37 @@ def _node(hashes: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(hashes.tobytes(), seed=SEED)).view(np.int64))
 
 
+def bitmap(hashes: np.ndarray) -> bytes:
+    """The bits that the lowest bits of the hashes name, in a power of two of bits; the least is a byte."""
+    size = max(8, 1 << (BITS * len(hashes) - 1).bit_length()) if len(hashes) else 8
+    bits = np.zeros(size, bool)
+    bits[hashes & (size - 1)] = True
+    return np.packbits(bits).tobytes()
+
+
+def most_common(n: int, one: bytes, m: int, two: bytes) -> int:
+    """No fewer than the hashes that sets of n and m have in common, from their bitmaps.
+
+    Each of them sets one bit in both; a set has as many hashes more than bits as others hide.
+    """
+    a, b = np.frombuffer(one, np.uint8), np.frombuffer(two, np.uint8)
+    size = min(len(a), len(b))
+    a, b = (np.bitwise_or.reduce(x.reshape(-1, size)) for x in (a, b))
+    shared, here, there = (int(np.bitwise_count(x).sum()) for x in (a & b, a, b))
+    return shared + min(n - here, m - there)
+
+
 def sketches(docs: DataFrame, words: int = SIMILAR_WORDS) -> DataFrame:
-    """doc_id, node (names the set of shingles), n (its size), wide (the fingerprint) of every whole text."""
+    """doc_id, node (names the set of shingles), n (its size), wide (the fingerprint), bits (the bitmap) of every whole text."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in (b.iloc[at : at + BATCH] for b in batches for at in range(0, len(b), BATCH)):
             sets = [shingle_set(t, words) for t in batch["text"]]
             wide = [wide_fingerprint(t).astype(np.uint32).tobytes() for t in batch["text"]]
             columns = {"doc_id": batch["doc_id"].astype("Int64"), "node": [_node(s) for s in sets], "n": [len(s) for s in sets], "wide": wide}
-            yield pd.DataFrame(columns, index=batch.index)
+            yield pd.DataFrame(columns | {"bits": [bitmap(s) for s in sets]}, index=batch.index)
 
-    return documents(docs).mapInPandas(run, "doc_id long, node long, n long, wide binary")
+    return documents(docs).mapInPandas(run, "doc_id long, node long, n long, wide binary, bits binary")
 
 
 def _anchored_nodes(nodes: DataFrame) -> DataFrame:
@@ -317,13 +341,30 @@ def _sets(docs: DataFrame, rows: DataFrame, named: DataFrame, words: int) -> Dat
     return materialize(used.mapInPandas(run, "node long, hashes array<long>").join(named, "node", "left_semi").dropDuplicates(["node"]), "sets")
 
 
-def _similar(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
+def _possible(pairs: DataFrame, nodes: DataFrame, similar: float) -> DataFrame:
+    """src, dst: the distinct pairs whose bitmaps leave it open that they are similar enough."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            n, m = batch["n"].to_numpy(), batch["m"].to_numpy()
+            common = np.fromiter(map(most_common, n, batch["a"], m, batch["b"]), np.int64, len(batch))
+            yield batch[common >= similar * (n + m - common) - 1e-9][["src", "dst"]]
+
+    left = nodes.select(F.col("node").alias("src"), "n", F.col("bits").alias("a"))
+    right = nodes.select(F.col("node").alias("dst"), F.col("n").alias("m"), F.col("bits").alias("b"))
+    met = pairs.distinct().join(left, "src").join(right, "dst").where(_near(F.col("n"), F.col("m"), similar))
+    return materialize(met.select("src", "dst", "n", "m", "a", "b").mapInPandas(run, "src long, dst long"), "possible")
+
+
+def _similar(pairs: DataFrame, docs: DataFrame, rows: DataFrame, nodes: DataFrame, words: int, similar: float) -> DataFrame:
     """src, dst: the pairs whose sets are similar enough, exactly."""
+    pairs = _possible(pairs, nodes, similar)
+    sets = _sets(docs, rows, pairs.select(F.col("src").alias("node")).unionByName(pairs.select(F.col("dst").alias("node"))), words)
     left = sets.select(F.col("node").alias("src"), F.col("hashes").alias("a"))
     right = sets.select(F.col("node").alias("dst"), F.col("hashes").alias("b"))
     common = F.size(F.array_intersect("a", "b"))
     enough = common >= F.lit(similar) * (F.size("a") + F.size("b") - common) - 1e-9
-    return materialize(pairs.distinct().join(left, "src").join(right, "dst").where(enough).select("src", "dst"), "links")
+    return materialize(pairs.join(left, "src").join(right, "dst").where(enough).select("src", "dst"), "links")
 
 
 def _parts(members: DataFrame, links: DataFrame) -> DataFrame:
@@ -378,21 +419,21 @@ def similar_components(docs: DataFrame, words: int = SIMILAR_WORDS, similar: flo
     """
     with temporary_tables(docs.sparkSession) as keep:
         rows = materialize(sketches(docs, words), "sketches")
-        nodes = materialize(rows.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("wide").alias("wide")), "nodes")
+        nodes = materialize(rows.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("wide").alias("wide"), F.first("bits").alias("bits")), "nodes")
         at = materialize(_anchored_nodes(nodes), "anchors")
         shared = materialize(at.groupBy("anchor").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("anchor"), "shared")
         met = materialize(at.join(_few(shared), "anchor"), "met")
         members = materialize(met.join(met.groupBy("anchor").agg(F.min(F.struct("node", "n")).alias("least")), "anchor"), "members")
-        sets = _sets(docs, rows, members.select("node"), words)
+        known = docs, rows, nodes, words, similar
         stars = members.where("node <> least.node").where(_near(F.col("n"), F.col("least.n"), similar)).groupBy("node").agg(F.min("least.node").alias("src"))
-        links = _similar(stars.select("src", F.col("node").alias("dst")), sets, similar)
+        links = _similar(stars.select("src", F.col("node").alias("dst")), *known)
         left = _parts(met, links)
         stars = left.where("part <> least.part").where(_near(F.col("n"), F.col("least.n"), similar)).select(F.col("least.node").alias("src"), F.col("node").alias("dst"))
-        links = links.unionByName(_similar(stars, sets, similar))
+        links = links.unionByName(_similar(stars, *known))
         left = _parts(left.select("anchor", "node", "n"), links)
         few, many = left.where(F.col("members") <= FEW), left.where(F.col("members") > FEW)
-        rest = _pairs_by_anchor(few, similar).unionByName(_pairs_by_prefix(many, sets, similar))
-        found = connected_components(links.unionByName(_similar(rest, sets, similar)))
+        rest = _pairs_by_anchor(few, similar).unionByName(_pairs_by_prefix(many, _sets(docs, rows, many.select("node"), words), similar))
+        found = connected_components(links.unionByName(_similar(rest, *known)))
         named = nodes.join(found, nodes["node"] == found["id"]).groupBy("component").agg(F.min("first").alias("smallest"))
         of = found.join(named, "component").select(F.col("id").alias("node"), "smallest")
         label = materialize(nodes.join(of, "node", "left").select("node", F.coalesce("smallest", "first").alias("component_id")), "labels")

@@ -91,3 +91,40 @@ def test_common_passage_in_many_texts(spark, monkeypatch):
         monkeypatch.setattr(simhash, "FEW", few)
         got = {r["doc_id"] for r in simhash.keep_one_similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
         assert got == kept(rows)
+
+
+def test_sets_only_of_pairs_that_can_be_similar(spark, monkeypatch):
+    rng = random.Random(11)
+    base = [f"w{k}" for k in range(120)]
+    rows = [(k, " ".join(rng.sample(base, 120))) for k in range(150)]  # the same words in other orders: all meet, none is similar
+    rows += [(1000, " ".join(base)), (1001, " ".join([*base, "more"]))]
+    made, materialize = [], simhash.materialize
+
+    def watched(df, label):
+        table = materialize(df, label)
+        if label == "sets":
+            made.extend(r["node"] for r in table.select("node").collect())
+        return table
+
+    monkeypatch.setattr(simhash, "materialize", watched)
+    monkeypatch.setattr(simhash, "FEW", 1000)  # pairs by anchor, which need no sets
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"]: r["component_id"] for r in simhash.similar_components(docs).collect()}
+    assert found == {**{k: k for k in range(150)}, 1000: 1000, 1001: 1000}
+    assert set(made) == {simhash._node(simhash.shingle_set(t)) for i, t in rows if i >= 1000}
+
+
+def test_bitmaps_bound_what_is_common():
+    rng = np.random.default_rng(4)
+    passed = 0
+    for _ in range(400):
+        n = rng.integers(0, 400)
+        m = rng.integers(n * 4 // 5, n + 1)
+        both = rng.integers(0, min(n, m) + 1)
+        hashes = rng.integers(-(1 << 62), 1 << 62, n + m - both)
+        one, two = np.unique(hashes[:n]), np.unique(hashes[n - both :])
+        common = len(np.intersect1d(one, two))
+        most = simhash.most_common(len(one), simhash.bitmap(one), len(two), simhash.bitmap(two))
+        assert common <= most <= min(len(one), len(two))
+        passed += most <= common + 0.5 * min(len(one), len(two))
+    assert passed > 390  # and it is of use for sets of sizes near each other
