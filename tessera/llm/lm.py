@@ -74,19 +74,19 @@ class Words:
         return ((int(b), slice(int(edges[b]), int(edges[b + 1]))) for b in np.flatnonzero(np.diff(edges)))
 
 
-def _spread(ids: np.ndarray, sizes: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(subwords of a run of words, how many each has)."""
+def _spread(ids: np.ndarray, sizes: np.ndarray, word: np.ndarray, begin: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(subwords of a run of words, how many each has); begin: where each word's start, if known: it takes a pass over all words."""
     n = sizes[word]
-    begin = (np.cumsum(sizes) - sizes)[word]
+    begin = (np.cumsum(sizes) - sizes if begin is None else begin)[word]
     return ids[np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum())].astype(np.int64), n
 
 
 def _windows(words: Words, ids: np.ndarray, sizes: np.ndarray, learn: np.ndarray) -> np.ndarray:
     """All training texts as rows of CONTEXT + 1 ids, each from the last id of the row before; -1: the start, -2: nothing."""
-    upto = np.r_[0, np.cumsum(words.counts)]
+    upto, begin = np.r_[0, np.cumsum(words.counts)], np.cumsum(sizes) - sizes
     rows = [np.empty((0, A.CONTEXT + 1), np.int32)]
     for t in np.flatnonzero(learn).tolist():
-        own, _ = _spread(ids, sizes, words.word[upto[t] : upto[t + 1]])
+        own, _ = _spread(ids, sizes, words.word[upto[t] : upto[t + 1]], begin)
         n = -(-(len(own) + 1) // A.CONTEXT)
         full = np.full(n * A.CONTEXT + 1, -2, np.int32)
         full[0], full[1 : len(own) + 1], full[len(own) + 1] = -1, own, A.END

@@ -22,3 +22,17 @@ def test_rounds_cover_all_windows():
     for n in (1, 10, 50_000):
         rows = np.arange(n)[:, None]
         assert set(np.concatenate([lm._turn(rows, k) for k in range(lm.ROUNDS)]).ravel().tolist()) == set(range(n))
+
+
+def test_windows_place_the_words_once_a_chunk(monkeypatch):
+    words = lm.Words([b"one two three", b"two four", b"", b"one five six seven"])
+    ids, sizes = words.subwords(packing.ranks_path())
+    begins, spread = [], lm._spread
+
+    def watched(ids, sizes, word, begin=None):
+        begins.append(begin)
+        return spread(ids, sizes, word, begin)
+
+    monkeypatch.setattr(lm, "_spread", watched)
+    lm._windows(words, ids, sizes, np.array([True] * 4))
+    assert len(begins) == 4 and begins[0] is not None and all(b is begins[0] for b in begins)  # not a pass over all words for each text
