@@ -14,7 +14,8 @@ similar_components() serves a similarity of texts instead of a distance of finge
 their 5-word shingles differ in far more than 3 of 64 bits, so it covers a wider fingerprint of SLICES parts of
 32 bits, over the distinct words of a text, with the same code: a part is replicated to every anchor within the
 covering radius, and as the code is perfect that is one anchor. Texts that meet at an anchor are candidates, and
-the exact similarity of their shingle sets decides. A group is joined by stars first, so it leaves no all pairs.
+the exact similarity of their shingle sets decides. A group is joined by stars first, around a text of each anchor and
+of each rare shingle, so it leaves no all pairs.
 Most candidates share little. A bitmap of a text's shingles bounds from above how many two texts have in common, so
 sets are made, and meet, only for the pairs that this bound leaves.
 """
@@ -342,7 +343,7 @@ def _sets(docs: DataFrame, rows: DataFrame, named: DataFrame, words: int) -> Dat
 
 
 def _possible(pairs: DataFrame, nodes: DataFrame, similar: float) -> DataFrame:
-    """src, dst: the distinct pairs whose bitmaps leave it open that they are similar enough."""
+    """src, dst: the pairs whose bitmaps leave it open that they are similar enough."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -352,7 +353,7 @@ def _possible(pairs: DataFrame, nodes: DataFrame, similar: float) -> DataFrame:
 
     left = nodes.select(F.col("node").alias("src"), "n", F.col("bits").alias("a"))
     right = nodes.select(F.col("node").alias("dst"), F.col("n").alias("m"), F.col("bits").alias("b"))
-    met = pairs.distinct().join(left, "src").join(right, "dst").where(_near(F.col("n"), F.col("m"), similar))
+    met = pairs.join(left, "src").join(right, "dst").where(_near(F.col("n"), F.col("m"), similar))
     return materialize(met.select("src", "dst", "n", "m", "a", "b").mapInPandas(run, "src long, dst long"), "possible")
 
 
@@ -387,31 +388,64 @@ def _pairs_by_anchor(few: DataFrame, similar: float) -> DataFrame:
     return one.join(two, "anchor").where((F.col("src") < F.col("dst")) & (F.col("part") != F.col("with")) & _near(F.col("n"), F.col("m"), similar)).select("src", "dst")
 
 
-def _pairs_by_prefix(many: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
-    """src, dst: the pairs of nodes of different parts that can be similar, for anchors where very many meet.
+def _prefixes(many: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
+    """shingle, node, n, at: the rarest shingles of the nodes at anchors where very many meet.
 
     Texts with a common passage may all meet at an anchor. If their shingles are put in order of frequency, the
     rarest first, similar sets share one among the first (1 - similar) of each, and from the places of the first
     one they share follows how many they can share at most. So the passage itself makes no pairs.
     """
-    nodes = materialize(many.select("node", "n", "part").distinct(), "crowded")
-    every = sets.join(nodes, "node").select("node", "n", "part", F.explode("hashes").alias("shingle"))
+    nodes = materialize(many.select("node", "n").distinct(), "crowded")
+    every = sets.join(nodes, "node").select("node", "n", F.explode("hashes").alias("shingle"))
     often = every.groupBy("shingle").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
     ranked = every.join(often, "shingle", "left").withColumn("at", F.row_number().over(Window.partitionBy("node").orderBy(F.coalesce("often", F.lit(1)), "shingle")) - 1)
-    first = materialize(ranked.where((F.col("often") > 1) & (F.col("at") <= F.col("n") * (1 - similar) + 1e-9)).select("shingle", "node", "n", "part", "at"), "prefixes")
-    other = first.select("shingle", F.col("node").alias("dst"), F.col("n").alias("m"), F.col("part").alias("with"), F.col("at").alias("place"))
-    most = F.least(F.col("n") - F.col("at"), F.col("m") - F.col("place"))  # true of the first shingle that two share
-    enough = most >= (F.col("n") + F.col("m")) * F.lit(similar / (1 + similar)) - 1e-9
-    kept = (F.col("node") < F.col("dst")) & (F.col("part") != F.col("with")) & _near(F.col("n"), F.col("m"), similar) & enough
-    return first.join(other, "shingle").where(kept).select(F.col("node").alias("src"), "dst")
+    return materialize(ranked.where((F.col("often") > 1) & (F.col("at") <= F.col("n") * (1 - similar) + 1e-9)).select("shingle", "node", "n", "at"), "prefixes")
+
+
+def _in_parts(prefixes: DataFrame, links: DataFrame) -> DataFrame:
+    """prefixes with `part`, the component of the links so far."""
+    joined = connected_components(links).withColumnRenamed("id", "node")
+    return materialize(prefixes.join(joined, "node", "left").select("shingle", "node", "n", "at", F.coalesce("component", "node").alias("part")), "parts")
+
+
+def _enough(similar: float) -> Column:
+    """Whether node and dst, of different parts, can be similar; true if the shingle is the first that two similar ones share."""
+    most = F.least(F.col("n") - F.col("at"), F.col("m") - F.col("place"))
+    return (F.col("part") != F.col("with")) & _near(F.col("n"), F.col("m"), similar) & (most >= (F.col("n") + F.col("m")) * F.lit(similar / (1 + similar)) - 1e-9)
+
+
+def _pairs_by_hub(prefixes: DataFrame, similar: float) -> DataFrame:
+    """src, dst: for each shingle, its nodes with the one that has the fewest rarer shingles.
+
+    In a group of near copies that one has the fewest words of its own, so most are similar to it if to any.
+    """
+    hubs = prefixes.groupBy("shingle").agg(F.min(F.struct("at", "node", "n", "part")).alias("hub"))
+    other = materialize(hubs.selectExpr("shingle", "hub.node AS dst", "hub.n AS m", "hub.part AS with", "hub.at AS place"), "hubs")
+    return prefixes.join(other, "shingle").where(_enough(similar)).select(F.least("node", "dst").alias("src"), F.greatest("node", "dst").alias("dst"))
+
+
+def _pairs_by_prefix(prefixes: DataFrame, similar: float) -> DataFrame:
+    """src, dst: all pairs of nodes of different parts that can be similar."""
+    other = prefixes.select("shingle", F.col("node").alias("dst"), F.col("n").alias("m"), F.col("part").alias("with"), F.col("at").alias("place"))
+    return prefixes.join(other, "shingle").where((F.col("node") < F.col("dst")) & _enough(similar)).select(F.col("node").alias("src"), "dst")
+
+
+def _new(pairs: DataFrame, *tested: DataFrame) -> DataFrame:
+    """src, dst: the distinct pairs that have not been compared; src is the smaller in all of them."""
+    pairs = pairs.distinct()
+    for known in tested:
+        pairs = pairs.join(known, ["src", "dst"], "left_anti")
+    return materialize(pairs, "pairs")
 
 
 def similar_components(docs: DataFrame, words: int = SIMILAR_WORDS, similar: float = SIMILAR) -> DataFrame:
     """Per document: doc_id, component_id (smallest doc_id that links of similar texts reach; iterative).
 
     First each text is compared with one smaller text that it meets, then at each anchor whose texts are not
-    joined by that with the smallest text there. Then the pairs of each anchor that are in different components
-    still are compared, all of them; where very many meet, all that can be similar by their rarest shingles.
+    joined by that with the smallest text there. Where very many meet, those that can be similar by their rarest
+    shingles are then compared with one text for each such shingle. Last, the pairs of each anchor that are in
+    different components still are compared, all of them; where very many meet, all that can be similar by their
+    rarest shingles. No pair is compared twice.
 
     A null text is an empty one, and texts without words are copies of each other. Rows that repeat a doc_id
     get a row each. A null doc_id is never a component's name unless it is alone. An empty table gives no
@@ -426,14 +460,19 @@ def similar_components(docs: DataFrame, words: int = SIMILAR_WORDS, similar: flo
         members = materialize(met.join(met.groupBy("anchor").agg(F.min(F.struct("node", "n")).alias("least")), "anchor"), "members")
         known = docs, rows, nodes, words, similar
         stars = members.where("node <> least.node").where(_near(F.col("n"), F.col("least.n"), similar)).groupBy("node").agg(F.min("least.node").alias("src"))
-        links = _similar(stars.select("src", F.col("node").alias("dst")), *known)
+        one = _new(stars.select("src", F.col("node").alias("dst")))
+        links = _similar(one, *known)
         left = _parts(met, links)
         stars = left.where("part <> least.part").where(_near(F.col("n"), F.col("least.n"), similar)).select(F.col("least.node").alias("src"), F.col("node").alias("dst"))
-        links = links.unionByName(_similar(stars, *known))
+        two = _new(stars, one)
+        links = links.unionByName(_similar(two, *known))
         left = _parts(left.select("anchor", "node", "n"), links)
         few, many = left.where(F.col("members") <= FEW), left.where(F.col("members") > FEW)
-        rest = _pairs_by_anchor(few, similar).unionByName(_pairs_by_prefix(many, _sets(docs, rows, many.select("node"), words), similar))
-        found = connected_components(links.unionByName(_similar(rest, *known)))
+        crowded = _prefixes(many, _sets(docs, rows, many.select("node"), words), similar)
+        three = _new(_pairs_by_hub(_in_parts(crowded, links), similar), one, two)
+        links = links.unionByName(_similar(three, *known))
+        rest = _pairs_by_anchor(few, similar).unionByName(_pairs_by_prefix(_in_parts(crowded, links), similar))
+        found = connected_components(links.unionByName(_similar(_new(rest, one, two, three), *known)))
         named = nodes.join(found, nodes["node"] == found["id"]).groupBy("component").agg(F.min("first").alias("smallest"))
         of = found.join(named, "component").select(F.col("id").alias("node"), "smallest")
         label = materialize(nodes.join(of, "node", "left").select("node", F.coalesce("smallest", "first").alias("component_id")), "labels")

@@ -128,3 +128,25 @@ def test_bitmaps_bound_what_is_common():
         assert common <= most <= min(len(one), len(two))
         passed += most <= common + 0.5 * min(len(one), len(two))
     assert passed > 390  # and it is of use for sets of sizes near each other
+
+
+def test_group_of_near_copies_leaves_no_all_pairs(spark, monkeypatch):
+    """Near copies of one text that are not all similar to each other: compared with a few of the group, not with all of it."""
+    rng = random.Random(6)
+    base = [f"base{k}" for k in range(200)]
+    rows = []
+    for k in range(240):
+        words = base.copy()
+        for at in rng.sample(range(200), 1 if k % 2 else 4):  # those with 4 are similar to few but the base and those with 1
+            words[at] = f"own{k}x{at}"
+        rows.append((k, " ".join(words)))
+    compared, possible = [], simhash._possible
+
+    def watched(pairs, *args):
+        compared.extend((r["src"], r["dst"]) for r in pairs.collect())
+        return possible(pairs, *args)
+
+    monkeypatch.setattr(simhash, "_possible", watched)
+    got = {r["doc_id"] for r in simhash.keep_one_similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == kept(rows)
+    assert len(compared) == len(set(compared)) < 7_170  # a quarter of all pairs
