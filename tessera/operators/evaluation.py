@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.shared import with_positions
+from tessera.functions.shared import materialize, with_positions
+
+#: Groups of bootstrap_ci() that are sent to all tasks, at most; more are joined by a sort.
+SENT_GROUPS = 2_000_000
 
 
 def query_summary(queries: DataFrame, judgments: DataFrame) -> DataFrame:
@@ -71,15 +74,17 @@ def bootstrap_ci(values: DataFrame, group: str, value: str, draws: int = 2000, s
     """mean, low, high (2.5 and 97.5 %) of the mean under resampling whole groups; nulls for fewer than 2 groups.
 
     Groups are pre-aggregated and numbered by a range sort; each draw picks as many numbers as there are groups by a hash
-    of (seed, draw, slot), so draws are rows that Spark spreads, and the same seed gives the same result.
+    of (seed, draw, slot), so draws are rows that Spark spreads, and the same seed gives the same result. The sums of the
+    groups go to the draws: Spark takes the draws, made up from a small range, for the smaller side, and must not send them.
     """
     sums = values.groupBy(group).agg(F.sum(value).alias("s"), F.count(value).alias("n"))
-    numbered = with_positions(sums, F.col(group), name="at")
+    numbered = materialize(with_positions(sums, F.col(group), name="at").select("at", "s", "n"), "groups")
     size = F.broadcast(numbered.agg(F.max("at").alias("top"), (F.sum("s") / F.sum("n")).alias("mean")).withColumn("one", F.lit(1)))
     spark = values.sparkSession
     slots = spark.range(draws).withColumnRenamed("id", "draw").withColumn("one", F.lit(1)).join(size, "one").withColumn("slot", F.explode(F.sequence(F.lit(0), F.col("top").cast("int"))))
     picked = slots.withColumn("at", F.pmod(F.xxhash64(F.lit(seed), "draw", "slot"), F.col("top") + 1))
-    means = picked.join(numbered, "at").groupBy("draw").agg((F.sum("s") / F.sum("n")).alias("m"), F.max("mean").alias("mean"), F.max("top").alias("top"))
+    looked_up = F.broadcast(numbered) if numbered.count() <= SENT_GROUPS else numbered.hint("merge")
+    means = picked.join(looked_up, "at").groupBy("draw").agg((F.sum("s") / F.sum("n")).alias("m"), F.max("mean").alias("mean"), F.max("top").alias("top"))
     edge = lambda p: F.when(F.max("top") >= 1, F.percentile("m", F.lit(p)))
     return means.agg(F.max("mean").alias("mean"), edge(0.025).alias("low"), edge(0.975).alias("high"))
 
