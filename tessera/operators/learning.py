@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions.scalars import binary_entropy, logistic
-from tessera.functions.shared import materialize, temporary_tables
+from tessera.functions.shared import discard, materialize, temporary_tables
 
 _VEC = T.ArrayType(T.DoubleType())
-#: Events of a key that are fitted in one part, about, and hot keys that may be broadcast.
+#: Events of a key that are fitted in one task, in parts of about so many if it has more, and hot keys that may be broadcast.
 PART_EVENTS, HOT_KEYS = 50_000, 100_000
 
 
@@ -63,6 +63,13 @@ def pair_events(pairs: DataFrame, items: DataFrame) -> DataFrame:
     return both.select(*pairs.columns, F.zip_with("_preferred", "_rejected", lambda x, y: x - y).alias("features"), (F.col("_preferred_cos") - F.col("_rejected_cos")).alias("margin"))
 
 
+def _sums(x: np.ndarray, margin: np.ndarray, theta: np.ndarray) -> np.ndarray:
+    """Loss, gradient and Hessian of some events at theta, as 1 + d + d * d numbers."""
+    m = margin + x @ theta
+    p = 1 / (1 + np.exp(-np.clip(m, -500, 500)))
+    return np.concatenate([[np.logaddexp(0, -m).sum()], x.T @ (p - 1), (x.T @ (x * (p * (1 - p))[:, None])).ravel()])
+
+
 def _pass(events: DataFrame, theta: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
     """Loss, gradient and Hessian at theta: partial sums of each task, summed by Spark; d * d + d + 1 numbers come back."""
     d = len(theta)
@@ -71,10 +78,7 @@ def _pass(events: DataFrame, theta: np.ndarray) -> tuple[float, np.ndarray, np.n
         total = np.zeros(1 + d + d * d)
         for batch in batches:
             if len(batch):
-                x = np.stack(batch["features"].to_numpy())
-                m = batch["margin"].to_numpy(float) + x @ theta
-                p = 1 / (1 + np.exp(-np.clip(m, -500, 500)))
-                total += np.concatenate([[np.logaddexp(0, -m).sum()], x.T @ (p - 1), (x.T @ (x * (p * (1 - p))[:, None])).ravel()])
+                total += _sums(np.stack(batch["features"].to_numpy()), batch["margin"].to_numpy(float), theta)
         yield pd.DataFrame({"k": np.arange(len(total)), "v": total})
 
     sums = events.select("features", "margin").mapInPandas(partial, "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()
@@ -143,10 +147,10 @@ def _small(hot: DataFrame) -> DataFrame:
 def fit_by_key(events: DataFrame, key: str, dim: int, ridge: float = 1.0, rounds: int = 50) -> DataFrame:
     """key, mean, covariance (dim * dim values by rows), value, rounds, converged: fit_preference() for every key at once.
 
-    events: key, features (array of dim doubles), margin. A pass joins each event with the point its key tries and adds
-    up partial sums, so the events of a key are never one group. A key with more than PART_EVENTS events is dealt into
-    parts, to each of which its point is sent, so a hot key is spread over tasks; a key is one small row of the state
-    table. Keys that are settled are no longer read. Rows with a null, or features of another
+    events: key, features (array of dim doubles), margin. A key with up to PART_EVENTS events is fitted in one grouped task,
+    which makes all its rounds over the rows it holds; events meet in one shuffle and nothing is written between rounds.
+    A hot key is never one group: its events are dealt into parts, its point is sent to each, and a round over the tables adds
+    up their partial sums; only hot keys are rows of the state table, of which the last one is kept. Rows with a null, or features of another
     length, are left out, and so are keys that have no others; repeated rows count as often as they occur; an empty
     table gives no rows.
     """
@@ -154,15 +158,25 @@ def fit_by_key(events: DataFrame, key: str, dim: int, ridge: float = 1.0, rounds
     kind = events.schema[key].dataType.simpleString()
     state_schema = f"_key {kind}, theta {vectors}, value double, bend {vectors}, step {vectors}, gain double, size double, trial {vectors}, rounds int, converged boolean, done boolean"
     names = [part.split()[0] for part in state_schema.split(", ")]
+    schema = f"_key {kind}, theta {vectors}, covariance {vectors}, value double, rounds int, converged boolean"
+
+    def model(row: dict) -> list:
+        inverse = np.linalg.inv(np.asarray(row["bend"], float).reshape(dim, dim))
+        return [row["_key"], row["theta"], ((inverse + inverse.T) / 2).ravel(), row["value"], row["rounds"], row["converged"]]
+
+    def fit(who: tuple, own: pd.DataFrame) -> pd.DataFrame:
+        x, margin = np.stack(own["features"].to_numpy()).astype(float), own["margin"].to_numpy(float)
+        row = {"_key": who[0], "trial": np.zeros(dim), "theta": np.zeros(dim), "value": 0.0, "rounds": -1, "converged": False, "done": False}
+        while not row["done"]:
+            row = _newton_move(row, _sums(x, margin, np.asarray(row["trial"], float)), dim, ridge, rounds)
+        return pd.DataFrame([model(row)], columns=["_key", "theta", "covariance", "value", "rounds", "converged"])
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
-            for who, own in batch.groupby("_key", sort=False):
-                x = np.stack(own["features"].to_numpy()).astype(float)
-                m = own["margin"].to_numpy(float) + x @ np.asarray(own["trial"].iloc[0], float)
-                p = 1 / (1 + np.exp(-np.clip(m, -500, 500)))
-                out.append((who, np.concatenate([[np.logaddexp(0, -m).sum()], x.T @ (p - 1), (x.T @ (x * (p * (1 - p))[:, None])).ravel()])))
+            out = [
+                (who, _sums(np.stack(own["features"].to_numpy()).astype(float), own["margin"].to_numpy(float), np.asarray(own["trial"].iloc[0], float)))
+                for who, own in batch.groupby("_key", sort=False)
+            ]
             yield pd.DataFrame(out, columns=["_key", "sums"])
 
     def move(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -172,31 +186,30 @@ def fit_by_key(events: DataFrame, key: str, dim: int, ridge: float = 1.0, rounds
 
     def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            inverses = [np.linalg.inv(np.asarray(b, float).reshape(dim, dim)) for b in batch["bend"]]
-            yield batch[["_key", "theta"]].assign(covariance=[((a + a.T) / 2).ravel() for a in inverses], value=batch["value"], rounds=batch["rounds"], converged=batch["converged"])
+            yield pd.DataFrame([model(r) for r in batch.to_dict("records")], columns=["_key", "theta", "covariance", "value", "rounds", "converged"])
 
     with temporary_tables(spark) as keep:
         known = events.select(F.col(key).alias("_key"), "features", F.col("margin").cast("double").alias("margin"))
-        known = materialize(known.where(F.col("_key").isNotNull() & F.col("margin").isNotNull() & (F.size("features") == dim) & ~F.exists("features", lambda x: x.isNull())), "events")
+        known = known.where(F.col("_key").isNotNull() & F.col("margin").isNotNull() & (F.size("features") == dim) & ~F.exists("features", lambda x: x.isNull()))
         parts = known.groupBy("_key").agg(F.ceil(F.count(F.lit(1)) / PART_EVENTS).cast("int").alias("_parts"))
         hot = materialize(parts.where("_parts > 1"), "hot-keys")
-        if not hot.isEmpty():
-            dealt = known.join(_small(hot), "_key", "left").withColumn("_part", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.coalesce("_parts", F.lit(1))).cast("int"))
-            known = materialize(dealt.drop("_parts"), "events")
-        else:
-            known = known.withColumn("_part", F.lit(0))
+        if hot.isEmpty():
+            return keep(materialize(known.groupBy("_key").applyInPandas(fit, schema).withColumnsRenamed({"_key": key, "theta": "mean"}), "models"))
+        dealt = known.join(_small(hot), "_key").withColumn("_part", F.pmod(F.xxhash64(F.monotonically_increasing_id()), "_parts").cast("int"))
+        dealt = materialize(dealt.drop("_parts"), "events")
         zeros = F.array_repeat(F.lit(0.0), dim)
         first = {"theta": zeros, "value": F.lit(0.0), "bend": zeros, "step": zeros, "gain": F.lit(0.0), "size": F.lit(1.0), "trial": zeros, "rounds": F.lit(-1), "converged": F.lit(False), "done": F.lit(False)}
-        state = materialize(known.select("_key").distinct().withColumns(first), "state")
+        state = materialize(hot.select("_key").withColumns(first), "state")
         while not state.where("not done").isEmpty():
-            points = state.where("not done").select("_key", "trial").join(_small(hot), "_key", "left")
-            points = points.select("_key", "trial", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)).alias("_part"))
-            tried = known.join(points, ["_key", "_part"]).mapInPandas(partial, f"_key {kind}, sums {vectors}")
+            points = state.where("not done").select("_key", "trial").join(_small(hot), "_key")
+            points = points.select("_key", "trial", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"))
+            tried = dealt.join(points, ["_key", "_part"]).mapInPandas(partial, f"_key {kind}, sums {vectors}")
             summed = tried.select("_key", F.posexplode("sums")).groupBy("_key", "pos").agg(F.sum("col").alias("col"))
             whole = summed.groupBy("_key").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "col"))), lambda e: e["col"]).alias("sums"))  # 1 + dim + dim * dim values
-            state = materialize(state.join(whole, "_key", "left").mapInPandas(move, state_schema), "state")
-        schema = f"_key {kind}, theta {vectors}, covariance {vectors}, value double, rounds int, converged boolean"
-        return keep(materialize(state.mapInPandas(finish, schema).withColumnsRenamed({"_key": key, "theta": "mean"}), "models"))
+            before, state = state, materialize(state.join(whole, "_key", "left").mapInPandas(move, state_schema), "state")
+            discard(before)
+        fitted = known.join(_small(hot), "_key", "left_anti").groupBy("_key").applyInPandas(fit, schema).unionByName(state.mapInPandas(finish, schema))
+        return keep(materialize(fitted.withColumnsRenamed({"_key": key, "theta": "mean"}), "models"))
 
 
 def next_weights(weights: np.ndarray, n: int, x: np.ndarray) -> np.ndarray:

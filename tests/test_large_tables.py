@@ -1,8 +1,10 @@
 """What larger tables showed: plans that must not grow, and results that must stay those of the SQL."""
 
+import random
+
 from pyspark.sql import functions as F
 
-from tessera.operators import evaluation
+from tessera.operators import evaluation, learning
 
 
 def plan(df):
@@ -19,3 +21,17 @@ def test_draws_of_the_bootstrap_are_not_sent_to_the_driver(spark, monkeypatch):
         assert joined and not any("BuildLeft" in line for line in joined)
         found.append(ci.first())
     assert found[0] == found[1]
+
+
+def test_few_events_of_a_key_are_fitted_without_a_table_a_round(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [(f"u{i % 9}", [rng.gauss(0, 1) for _ in range(3)], rng.gauss(0, 1)) for i in range(200)]
+    events = spark.createDataFrame(rows, "user_id string, features array<double>, margin double")
+    written = []
+    write = learning.materialize
+    monkeypatch.setattr(learning, "materialize", lambda df, label: written.append(label) or write(df, label))
+    models = lambda: {r["user_id"]: (r["rounds"], r["converged"], [round(x, 9) for x in r["mean"] + r["covariance"]]) for r in learning.fit_by_key(events, "user_id", 3).collect()}
+    small = models()
+    assert len(small) == 9 and "state" not in written and "events" not in written
+    monkeypatch.setattr(learning, "PART_EVENTS", 22)
+    assert models() == small and written.count("state") > 2
