@@ -4,8 +4,11 @@ import random
 from collections import Counter
 from hashlib import sha256
 
-from pyspark.sql import functions as F
+import duckdb
+import pytest
 
+import __spark_entry__  # noqa: F401  (registers all queries)
+from tessera.plans import registry
 from tessera.operators import evaluation, learning, logs, preferences
 
 
@@ -67,3 +70,12 @@ def test_a_snapshot_digest_has_one_digit_of_prefixes_whatever_the_size(spark, mo
         want[g] = joined("") if len(lines) <= 4 else of("".join(f"{d}={joined(d)}" for d in sorted({x[0] for x in lines})))
     df = spark.createDataFrame(rows, "g string, k long, v long").repartition(7)
     assert {r["g"]: r["digest"] for r in logs.snapshot_digest(df, "g", "k", ["v"]).collect()} == want
+
+
+def test_group_names_are_cut_like_those_of_the_sql(spark, monkeypatch):
+    names = spark.createDataFrame([(1, "sim_1000"), (2, "sim_007"), (3, None)], "item_no long, group_id string")
+    monkeypatch.setattr(registry, "items_dup", lambda *_: None)
+    for f, result in (("with_hashes", None), ("hamming_pairs", None), ("similarity_groups", names)):
+        monkeypatch.setattr(registry.M, f, lambda *_, result=result: result)
+    cut = duckdb.sql("SELECT 'sim_' || lpad('1000', 3, '0')").fetchall()[0][0]
+    assert [r["group_id"] for r in registry.e2_similarity_groups(None, "").collect()] == [cut, "sim_007", None]
