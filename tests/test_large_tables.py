@@ -12,6 +12,29 @@ from tessera.plans import registry
 from tessera.operators import evaluation, learning, logs, preferences
 
 
+@pytest.fixture(scope="module")
+def wide(spark, tmp_path_factory):
+    """Tables with items of over four digits, some of them named like others in the first four."""
+    root, rng = str(tmp_path_factory.mktemp("wide")), random.Random(1)
+    numbers = [*range(0, 40), *range(990, 1012), *range(9990, 10130, 2), *range(10130, 10180)]
+    rows = [(n, [rng.gauss(0, 1) for _ in range(64)], rng.randrange(3)) for n in numbers]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{root}/embeddings.parquet")
+    parts = [(n, 1 + n % 50, 900.0 + n % 97) for n in range(400)]
+    spark.createDataFrame(parts, "p_partkey long, p_size int, p_retailprice double").write.parquet(f"{root}/part.parquet")
+    return root
+
+
+def against_sql(spark, root, name):
+    """(rows of the query, rows of its SQL), sorted."""
+    with duckdb.connect() as db:
+        for t in ("embeddings", "part"):
+            db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{root}/{t}.parquet/*.parquet'")
+        found = db.execute(registry.ORACLE_SQL[name])
+        columns, want = [c[0] for c in found.description], found.fetchall()
+    got = registry.QUERIES[name](spark, root).select(*columns).collect()
+    return sorted(map(tuple, got), key=repr), sorted(want, key=repr)
+
+
 def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
@@ -79,3 +102,9 @@ def test_group_names_are_cut_like_those_of_the_sql(spark, monkeypatch):
         monkeypatch.setattr(registry.M, f, lambda *_, result=result: result)
     cut = duckdb.sql("SELECT 'sim_' || lpad('1000', 3, '0')").fetchall()[0][0]
     assert [r["group_id"] for r in registry.e2_similarity_groups(None, "").collect()] == [cut, "sim_007", None]
+
+
+@pytest.mark.parametrize("name", ["f6_detect_bursts"])
+def test_numbers_of_more_than_four_digits_stay_whole(spark, wide, name):
+    got, want = against_sql(spark, wide, name)
+    assert got == want and len(got) > 100
