@@ -104,7 +104,7 @@ def test_group_names_are_cut_like_those_of_the_sql(spark, monkeypatch):
     assert [r["group_id"] for r in registry.e2_similarity_groups(None, "").collect()] == [cut, "sim_007", None]
 
 
-@pytest.mark.parametrize("name", ["f6_detect_bursts"])
+@pytest.mark.parametrize("name", ["f6_detect_bursts", "i7_name_sim"])
 def test_numbers_of_more_than_four_digits_stay_whole(spark, wide, name):
     got, want = against_sql(spark, wide, name)
     assert got == want and len(got) > 100
