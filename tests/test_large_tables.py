@@ -108,3 +108,9 @@ def test_group_names_are_cut_like_those_of_the_sql(spark, monkeypatch):
 def test_numbers_of_more_than_four_digits_stay_whole(spark, wide, name):
     got, want = against_sql(spark, wide, name)
     assert got == want and len(got) > 100
+
+
+def test_parts_that_no_item_can_name_are_not_sent(spark, wide):
+    sent = registry.items(spark, wide)._jdf.queryExecution().optimizedPlan().toString()
+    assert "p_partkey#" in sent and "<= 199" in sent and "rightHint=(strategy=broadcast)" in sent.replace(" ", "")
+    assert registry.items(spark, wide).count() == spark.read.parquet(f"{wide}/embeddings.parquet").count()
