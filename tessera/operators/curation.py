@@ -164,18 +164,19 @@ def page(rows: DataFrame, order: list, limit: int, offset: int) -> DataFrame:
 LISTINGS = {"path": (), "quality": ("-quality_score",), "capture_time": ("capture_ts",)}
 
 
-def list_items(items: DataFrame, mode: str, limit: int, offset: int = 0, include_rejects: bool = True) -> DataFrame:
+def list_items(items: DataFrame, mode: str, limit: int, offset: int = 0, include_rejects: bool = True, tie: str | None = None) -> DataFrame:
     """The items of one page of every collection, in the order of `mode` (path, quality or capture_time), with place and total.
 
     items: collection_id, path, quality_score, capture_ts, auto_reject and more; place counts from 1 over the whole listing
     of a collection, total is its length. Spark keeps offset + limit rows a collection and task before the shuffle, and
-    totals are partial sums, so a large collection costs what its page costs. A collection with no row has no page.
+    totals are partial sums, so a large collection costs what its page costs. A collection with no row has no page. Items of
+    one path are in the order of the column `tie`; without it their order is open.
     """
     if mode not in LISTINGS:
         raise ValueError(f"mode must be one of {sorted(LISTINGS)}")
     shown = items if include_rejects else items.where(~F.coalesce("auto_reject", F.lit(False)))
     totals = shown.groupBy(F.col("collection_id").alias("_c")).agg(F.count(F.lit(1)).alias("total"))
-    order = Window.partitionBy("collection_id").orderBy(*(F.expr(x).asc_nulls_last() for x in LISTINGS[mode]), "path")
+    order = Window.partitionBy("collection_id").orderBy(*(F.expr(x).asc_nulls_last() for x in LISTINGS[mode]), "path", *([tie] if tie else []))
     paged = shown.withColumn("place", F.row_number().over(order)).where(F.col("place") <= offset + limit).where(F.col("place") > offset)
     return paged.join(totals, F.col("collection_id").eqNullSafe(F.col("_c"))).drop("_c")
 

@@ -230,5 +230,5 @@ def g1_list_items(spark, sf_dir):
     i = items(spark, sf_dir).select(
         "item_no", "collection_id", F.col("file_name").alias("path"), "auto_reject", F.when(F.col("item_no") % 13 > 0, F.col("quality_score")).alias("quality_score"), F.when(F.col("item_no") % 5 > 0, F.col("capture_ts")).alias("capture_ts")
     )
-    pages = [curation.list_items(i, m, 20, 5, include_rejects=m != "quality").select(F.lit(m).alias("mode"), "collection_id", "item_no", "place", "total") for m in curation.LISTINGS]
+    pages = [curation.list_items(i, m, 20, 5, include_rejects=m != "quality", tie="item_no").select(F.lit(m).alias("mode"), "collection_id", "item_no", "place", "total") for m in curation.LISTINGS]
     return reduce(lambda a, b: a.unionByName(b), pages)

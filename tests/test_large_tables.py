@@ -9,7 +9,7 @@ import pytest
 
 import __spark_entry__  # noqa: F401  (registers all queries)
 from tessera.plans import registry
-from tessera.operators import evaluation, learning, logs, preferences
+from tessera.operators import curation, evaluation, learning, logs, preferences
 
 
 @pytest.fixture(scope="module")
@@ -114,3 +114,11 @@ def test_parts_that_no_item_can_name_are_not_sent(spark, wide):
     sent = registry.items(spark, wide)._jdf.queryExecution().optimizedPlan().toString()
     assert "p_partkey#" in sent and "<= 199" in sent and "rightHint=(strategy=broadcast)" in sent.replace(" ", "")
     assert registry.items(spark, wide).count() == spark.read.parquet(f"{wide}/embeddings.parquet").count()
+
+
+def test_items_of_one_path_are_listed_in_the_order_named(spark):
+    rows = [("a", "p1", k, 1.0, None, False) for k in (5, 3, 9, 1)] + [("a", "p0", 7, 1.0, None, False)]
+    df = spark.createDataFrame(rows, "collection_id string, path string, item_no long, quality_score double, capture_ts long, auto_reject boolean")
+    for mode in curation.LISTINGS:
+        shown = curation.list_items(df.repartition(3), mode, 4, 1, tie="item_no").collect()
+        assert [r["item_no"] for r in sorted(shown, key=lambda r: r["place"])] == [1, 3, 5, 9]
