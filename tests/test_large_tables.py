@@ -124,7 +124,7 @@ def test_items_of_one_path_are_listed_in_the_order_named(spark):
         assert [r["item_no"] for r in sorted(shown, key=lambda r: r["place"])] == [1, 3, 5, 9]
 
 
-@pytest.mark.parametrize("name", ["d7_retrieval_metrics", "c10_judged_candidates", "d9_binary_metrics"])
+@pytest.mark.parametrize("name", ["d7_retrieval_metrics", "c10_judged_candidates", "d9_binary_metrics", "d8_macro_metrics"])
 def test_judgements_are_looked_up_not_listed(spark, wide, name):
     got, want = against_sql(spark, wide, name)
     # a mean that lies on half a millionth is rounded either way
