@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__  # noqa: F401  (registers all queries)
-from tessera.operators import curation, evaluation, learning, logs, preferences
+from tessera.operators import curation, evaluation, learning, logs, preferences, similarity
 from tessera.plans import registry
 from tessera.sources import files
 
@@ -158,3 +158,18 @@ def test_large_files_are_hashed_in_pieces(spark, tmp_path, monkeypatch):
         assert len(files.content_digests(spark, str(tmp_path), ["bin"]).collect()) == len(bodies) - 1
     finally:
         spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+
+
+def test_vectors_travel_in_tiles(spark, monkeypatch):
+    rng = random.Random(2)
+    base = [[rng.gauss(0, 1) for _ in range(16)] for _ in range(30)]
+    rows = [(f"c{k % 2}" if k % 9 else None, k, [x + rng.gauss(0, 0.05) for x in base[k % 30]]) for k in range(700)]
+    items = spark.createDataFrame(rows, "collection_id string, item_no long, vec array<double>")
+    links = lambda: {(r["collection_id"], r["left_no"], r["right_no"]) for r in similarity.cosine_pairs(items, 0.9).collect()}
+    one = links()
+    for name, size in (("BLOCK_ITEMS", 8), ("TILE_ITEMS", 40), ("MOST_TILE_ITEMS", 100), ("TILES", 3)):
+        monkeypatch.setattr(similarity, name, size)
+    assert links() == one and len(one) > 1000
+    # every block of a collection of 311 goes to as many pairs of tiles as there are tiles, not to as many as there are blocks
+    tasks = similarity.cosine_pairs(items, 0.9).rdd.getNumPartitions()
+    assert tasks <= 3 * 10
